@@ -152,7 +152,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
                 size.append(s)
                 pairs += p
                 if len(blocks) > 1:
-                    block.unpersist()
+                    vars(block).pop("_value", None)  # the worker reads it again from its disk for the next slice
             hit = A.covered(np.concatenate(at), np.concatenate(size), len(one))
             names: dict[int, set] = {}
             for r, name in pairs:

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tracewright.llm import decontaminate
+from tracewright.llm import decontaminate, substring_dedup, suffix_dedup
 
-QUERIES = {**decontaminate.QUERIES}
+QUERIES = {**decontaminate.QUERIES, **suffix_dedup.QUERIES, **substring_dedup.QUERIES}
