@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tracewright.llm import decontaminate, substring_dedup, suffix_dedup
+from tracewright.llm import decontaminate, mixing, near_duplicates, pii, quality, substring_dedup, suffix_dedup
 
-QUERIES = {**decontaminate.QUERIES, **suffix_dedup.QUERIES, **substring_dedup.QUERIES}
+QUERIES = {**pii.QUERIES, **quality.QUERIES, **decontaminate.QUERIES, **near_duplicates.QUERIES, **mixing.QUERIES, **suffix_dedup.QUERIES, **substring_dedup.QUERIES}
