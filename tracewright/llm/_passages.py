@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
-from tracewright.llm._session import arrow_rows
+from tracewright.llm._session import arrow_rows, cut
 
 SPACES = A.word_table(lower_ascii_words=False)
 
@@ -39,8 +39,9 @@ def runs(values: np.ndarray, first: np.ndarray, length: int, k: int) -> tuple[np
     prefix = A.Prefix(values, A.BASE_WORDS)
     grams = prefix.all(k)
     chosen = A.sliding_first_min(grams, length - k + 1)
-    row = np.searchsorted(first, np.arange(n), side="right") - 1
-    valid = np.arange(n) + length <= first[row + 1]
+    sizes = np.diff(first)
+    row = np.repeat(np.arange(len(sizes)), sizes)[:n]
+    valid = np.arange(length, n + length) <= np.repeat(first[1:], sizes)[:n]
     begins = valid.copy()
     begins[1:] &= ~valid[:-1] | (chosen[1:] != chosen[:-1])
     at = np.flatnonzero(begins)
@@ -75,6 +76,15 @@ def stretches(docs: DataFrame, *, words: bool, length: int, k: int) -> DataFrame
     return docs.select("doc_id", "text", "h").mapInArrow(run, f"doc_id {kind}, h long, start int, n int, anchor long, body long")
 
 
+def candidates(found: DataFrame, *, other_ids: bool) -> DataFrame:
+    """The stretches whose anchor has another stretch, or one of another id; what is counted is a row for each anchor."""
+    if other_ids:
+        anchors = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    else:
+        anchors = found.groupBy("anchor").agg(F.count("*").alias("total")).where("total > 1")
+    return cut(found.join(anchors.select("anchor"), "anchor", "left_semi"))
+
+
 def _with(docs: DataFrame, grouped: DataFrame, how: str) -> DataFrame:
     """Documents with what is known of them; rows without id keep theirs."""
     g = grouped.hint("shuffle_hash")

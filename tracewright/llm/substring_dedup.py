@@ -83,10 +83,10 @@ class Automaton:
 
 def earlier_words(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, h, start, n: ranges of words of ``_passages.keyed`` documents that a document of smaller id has."""
-    found = P.stretches(docs, words=True, length=length, k=k).where("doc_id is not null")
-    bodies = found.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("one"), F.max("doc_id").alias("last"))
-    anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies"), F.min("one.doc_id").alias("low"), F.max("last").alias("high")).where("low < high")
-    known = bodies.join(anchors.select("anchor", "bodies"), "anchor")
+    found = P.candidates(P.stretches(docs.where("doc_id is not null"), words=True, length=length, k=k), other_ids=True)
+    bodies = found.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("one"), F.count("*").alias("copies"))
+    anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies"))
+    known = bodies.join(anchors, "anchor")
     several = known.where("bodies > 1").select("one.*", "anchor", "body", F.col("one.doc_id").cast("long").alias("extra"))
     content = P.contents(docs, several, words=True, length=length)
 

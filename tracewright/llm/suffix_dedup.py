@@ -43,9 +43,9 @@ def repeated_windows(parts: list[bytes], length: int) -> list[tuple[np.ndarray,
 
 def repeated_bytes(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, h, start, n: ranges of bytes of ``_passages.keyed`` documents that a repeated window covers."""
-    found = P.stretches(docs, words=False, length=length, k=k)
+    found = P.candidates(P.stretches(docs, words=False, length=length, k=k), other_ids=False)
     bodies = found.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("one"), F.count("*").alias("copies"))
-    anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies"), F.sum("copies").alias("total")).where("total > 1")
+    anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies"))
     known = bodies.join(anchors, "anchor")
     several = known.where("bodies > 1").select("one.*", "anchor", "body", F.col("copies").alias("extra"))
     content = P.contents(docs, several, words=False, length=length)
