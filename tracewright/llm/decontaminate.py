@@ -117,14 +117,8 @@ def hits(block: dict, one: np.ndarray, second: Callable[[], A.Prefix], first: np
     return np.concatenate(at) if at else empty, np.concatenate(size) if size else empty, sorted(pairs)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (array, sorted as strings), spans (array of word ranges hit, end exclusive).
-
-    A null or empty text has no words and no hit. Repeated rows are answered each. Items without words or id match
-    nothing; an empty benchmark leaves all documents clean. Other columns of either table are not read.
-    """
-    spark = docs.sparkSession
-    arrow_rows(spark)
+def benchmark_blocks(items: DataFrame, item_id: str, item_text: str, window: int, k: int, block_words: int) -> list:
+    """Broadcasts of the tables of all blocks; each has about half of block_words words, whatever the benchmark's size."""
     pieces = item_words(items, item_id, item_text, window)
     total = pieces.agg(F.sum("words")).first()[0] or 0
     count = max(1, -(-2 * total // block_words))
@@ -132,28 +126,43 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     for b in range(count if total else 0):
         part = block_tables(pieces.where(F.pmod(F.xxhash64("item", "one"), F.lit(count)) == b).collect(), window, k)
         if part["names"]:
-            blocks.append(spark.sparkContext.broadcast(part))
+            blocks.append(items.sparkSession.sparkContext.broadcast(part))
+    return blocks
+
+
+def searched(column: pa.Array, blocks: list, window: int, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
+    """First word of each row, which words are hit, and the pairs of row and item, of a slice."""
+    data, offsets = A.text_bytes(column)
+    data = A.lower_table()[data]
+    starts, ends, first = A.word_bounds(data, offsets, A.word_table(lower_ascii_words=True))
+    one = A.word_hashes(data, starts, ends)
+    second = functools.cache(lambda: A.Prefix(A.word_hashes(data, starts, ends, A.BASE_CHECK), A.BASE_CHECK))
+    at, size, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    for block in blocks:
+        tables = block.value
+        if "sieve" not in tables:
+            tables["sieve"] = _sieve(tables["prints"])
+        a, s, p = hits(tables, one, second, first, window, k)
+        at.append(a)
+        size.append(s)
+        pairs += p
+        if len(blocks) > 1:
+            vars(block).pop("_value", None)  # the worker reads it again from its disk for the next slice
+    return first, A.covered(np.concatenate(at), np.concatenate(size), len(one)), pairs
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Per document: doc_id, n_words, n_hit, items (array, sorted as strings), spans (array of word ranges hit, end exclusive).
+
+    A null or empty text has no words and no hit. Repeated rows are answered each. Items without words or id match
+    nothing; an empty benchmark leaves all documents clean. Other columns of either table are not read.
+    """
+    arrow_rows(docs.sparkSession)
+    blocks = benchmark_blocks(items, item_id, item_text, window, k, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, lower = A.word_table(lower_ascii_words=True), A.lower_table()
         for batch in A.slices(batches, "text"):
-            data, offsets = A.text_bytes(batch.column(1))
-            data = lower[data]
-            starts, ends, first = A.word_bounds(data, offsets, table)
-            one = A.word_hashes(data, starts, ends)
-            second = functools.cache(lambda d=data, s=starts, e=ends: A.Prefix(A.word_hashes(d, s, e, A.BASE_CHECK), A.BASE_CHECK))
-            at, size, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-            for block in blocks:
-                tables = block.value
-                if "sieve" not in tables:
-                    tables["sieve"] = _sieve(tables["prints"])
-                a, s, p = hits(tables, one, second, first, window, k)
-                at.append(a)
-                size.append(s)
-                pairs += p
-                if len(blocks) > 1:
-                    vars(block).pop("_value", None)  # the worker reads it again from its disk for the next slice
-            hit = A.covered(np.concatenate(at), np.concatenate(size), len(one))
+            first, hit, pairs = searched(batch.column(1), blocks, window, k)
             names: dict[int, set] = {}
             for r, name in pairs:
                 names.setdefault(r, set()).add(name)
@@ -174,6 +183,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     return narrow.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
 
 
+def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows, all columns, none of whose words is hit; decided row by row, in one pass."""
+    arrow_rows(docs.sparkSession)
+    blocks = benchmark_blocks(items, item_id, item_text, window, k, block_words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in A.slices(batches, text):
+            first, hit, _ = searched(batch.column(batch.schema.get_field_index(text)), blocks, window, k)
+            total = np.append(0, np.cumsum(hit))
+            yield batch.filter(pa.array(total[first[1:]] == total[first[:-1]]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Digest of ``decontaminate`` over the whole of documents against the whole of benchmark."""
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
