@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tracewright.llm import _arrays as A
-from tracewright.llm import decontaminate, substring_dedup, suffix_dedup
+from tracewright.llm import _passages, decontaminate, substring_dedup, suffix_dedup
 from tracewright.llm._suffix import common_prefixes, suffix_array
 
 SCHEMA = "doc_id long, text string, n int, start int, words string"
@@ -46,6 +46,13 @@ def test_suffix_array_and_prefixes(seed):
             assert lcp[b] == n
 
 
+def test_suffix_array_of_words():
+    rng = np.random.default_rng(4)
+    for n in (500, 4000):
+        t = np.append(np.concatenate([rng.permutation([5, 9, 9, 7, 8, 6])[: rng.integers(2, 7)] for _ in range(n)]), 0)
+        assert suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i : i + 300].tolist())
+
+
 def test_hashes_over_several_tiles():
     data = np.tile(np.frombuffer(b"some words of text ", np.uint8), A.TILE // 19 * 3)
     starts, ends, _ = A.word_bounds(data, np.array([0, len(data)]), A.word_table(lower_ascii_words=False))
@@ -53,16 +60,18 @@ def test_hashes_over_several_tiles():
     assert len(np.unique(A.Prefix(data, A.BASE_WORDS).all(19))) == 19
 
 
-@pytest.mark.parametrize(("seed", "length", "k"), [(1, 60, 8), (2, 25, 4), (3, 40, 16)])
-def test_repeated_bytes(spark, seed, length, k):
+@pytest.mark.parametrize(("seed", "length", "k", "hot"), [(1, 60, 8, 1000), (2, 25, 4, 2), (3, 40, 16, 1)])
+def test_repeated_bytes(spark, monkeypatch, seed, length, k, hot):
+    monkeypatch.setattr(_passages, "HOT", hot)
     docs = fixture(seed)
     got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeated_bytes(frame(spark, docs), length=length, k=k).collect()}
     want = suffix_dedup.brute_force([(t or "").encode() for _, t in docs], length)
     assert got == {i: w for (i, _), w in zip(docs, want, strict=True)}
 
 
-@pytest.mark.parametrize(("seed", "length", "k"), [(1, 12, 3), (2, 5, 2), (3, 20, 5)])
-def test_earlier_words(spark, seed, length, k):
+@pytest.mark.parametrize(("seed", "length", "k", "hot"), [(1, 12, 3, 1000), (2, 5, 2, 2), (3, 20, 5, 1)])
+def test_earlier_words(spark, monkeypatch, seed, length, k, hot):
+    monkeypatch.setattr(_passages, "HOT", hot)
     docs = fixture(seed)
     got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.remove_earlier_words(frame(spark, docs), length=length, k=k).collect())
     assert got == substring_dedup.brute_force(docs, length)
