@@ -60,7 +60,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The rows again, in slices of about that many bytes of text, one row at least."""
     for batch in batches:
         sizes = np.diff(text_bytes(batch.column(batch.schema.get_field_index(text)))[1])

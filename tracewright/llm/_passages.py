@@ -13,12 +13,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
 from tracewright.llm._session import arrow_rows, cut
 
+HOT = 1000
+NAMES = ["anchor", "body", "a", "m", "extra", "w", "x"]
 SPACES = A.word_table(lower_ascii_words=False)
 
 
@@ -85,6 +87,61 @@ def candidates(found: DataFrame, *, other_ids: bool) -> DataFrame:
     return cut(found.join(anchors.select("anchor"), "anchor", "left_semi"))
 
 
+def content_of(found: DataFrame, docs: DataFrame, extra: Column, *, words: bool, length: int) -> tuple[DataFrame, DataFrame]:
+    """The content of one stretch of each body, dealt by anchor where the anchor has several, and the bodies alone under theirs.
+
+    An anchor of more than ``HOT`` bodies is dealt by body instead, and ``by_window`` compares its windows.
+    """
+    bodies = found.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("one"), F.count("*").alias("copies"))
+    anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies"))
+    known = bodies.join(anchors, "anchor")
+    several = known.where("bodies > 1").select("one.*", "anchor", "body", extra.cast("long").alias("extra"), (F.col("bodies") > HOT).alias("hot"))
+    content = contents(docs, several, words=words, length=length)
+    salt = F.when(F.col("hot"), F.col("body")).otherwise(F.lit(0))
+    dealt = content.repartition(F.col("anchor"), salt).sortWithinPartitions("anchor")
+    return dealt, known.where("bodies = 1").select("anchor", "body", F.lit(0).alias("a"), F.col("one.n").alias("m"), extra.cast("long").alias("extra"))
+
+
+def compared(dealt: DataFrame, shard: Callable[[pa.Table], tuple], resolve: Callable[[DataFrame], DataFrame], *, words: bool, length: int, most: int) -> DataFrame:
+    """anchor, body, a, m and extra: what ``shard`` says of tables of whole anchors, and ``resolve`` of hot windows.
+
+    shard: (row, a, m, extra) arrays of ranges of windows of a row. resolve: w and x, two hashes of a window, with extra
+    of all its occurrences, to (w, x, found); a null leaves the window out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot: list[pa.RecordBatch] = []
+
+        def cold() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flag = batch.column("hot")
+                hot.append(batch.filter(flag))
+                yield batch.filter(pc.invert(flag))
+
+        for table in by_anchor(cold(), most):
+            row, a, m, extra = shard(table)
+            take = pa.array(row)
+            none = pa.nulls(len(row), pa.int64())
+            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(take) for c in ("anchor", "body")] + [pa.array(a, pa.int32()), pa.array(m, pa.int32()), pa.array(extra, pa.int64()), none, none], names=NAMES)
+            yield from windows(hot)
+        yield from windows(hot)
+
+    def windows(hot: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        while hot:
+            batch = hot.pop()
+            for anchor, body, extra, content in zip(*(batch.column(c).to_pylist() for c in ("anchor", "body", "extra", "content")), strict=True):
+                values = np.frombuffer(content, np.uint64 if words else np.uint8)
+                w, x = (A.Prefix(values, base).all(length).view(np.int64) for base in (A.BASE_WORDS, A.BASE_CHECK))
+                n = len(w)
+                same = lambda v, n=n: pa.array(np.full(n, v, np.int64))
+                yield pa.RecordBatch.from_arrays([same(anchor), same(body), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.ones(n, np.int32)), same(extra), pa.array(w), pa.array(x)], names=NAMES)
+
+    out = cut(dealt.mapInArrow(run, "anchor long, body long, a int, m int, extra long, w long, x long"))
+    many = out.where("w is not null")
+    met = many.drop("extra").join(resolve(many), ["w", "x"]).where("found is not null").select("anchor", "body", "a", "m", F.col("found").alias("extra"))
+    return out.where("w is null").drop("w", "x").unionByName(met)
+
+
 def _with(docs: DataFrame, grouped: DataFrame, how: str) -> DataFrame:
     """Documents with what is known of them; rows without id keep theirs."""
     g = grouped.hint("shuffle_hash")
@@ -92,8 +149,8 @@ def _with(docs: DataFrame, grouped: DataFrame, how: str) -> DataFrame:
 
 
 def contents(docs: DataFrame, wanted: DataFrame, *, words: bool, length: int) -> DataFrame:
-    """The content of the wanted stretches (columns of ``stretches`` and ``extra``): bytes, or the words' hashes."""
-    grouped = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "anchor", "body", "extra")).alias("cuts"))
+    """The content of the wanted stretches (columns of ``stretches``, extra and hot): bytes, or the words' hashes."""
+    grouped = wanted.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "anchor", "body", "extra", "hot")).alias("cuts"))
     joined = _with(docs, grouped, "inner").select("text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,9 +165,9 @@ def contents(docs: DataFrame, wanted: DataFrame, *, words: bool, length: int) ->
             raw = values.tobytes()
             size = values.itemsize
             body = pa.array([raw[x * size : y * size] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("body"), flat.field("extra"), body], names=["anchor", "body", "extra", "content"])
+            yield pa.RecordBatch.from_arrays([flat.field("anchor"), flat.field("body"), flat.field("extra"), flat.field("hot"), body], names=["anchor", "body", "extra", "hot", "content"])
 
-    return joined.mapInArrow(run, "anchor long, body long, extra long, content binary")
+    return joined.mapInArrow(run, "anchor long, body long, extra long, hot boolean, content binary")
 
 
 def by_anchor(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:

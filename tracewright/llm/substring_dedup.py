@@ -6,14 +6,12 @@ document id that it ends in. All stretches of the shard are streamed through it
 window whose match is at least ``length`` words is removed from every document but the first that has it.
 
 Broadcasting automata of the whole reference has no size bound, so a shard's automaton goes only to the documents
-that share an anchor with it.
+that share an anchor with it; windows under an anchor with too many different stretches are compared by hash.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import _passages as P
 
-LENGTH, K, SHARD_BYTES = 50, 5, 1 << 20
+LENGTH, K, SHARD_BYTES = 50, 10, 1 << 19
 
 
 class Automaton:
@@ -84,31 +82,25 @@ class Automaton:
 def earlier_words(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, h, start, n: ranges of words of ``_passages.keyed`` documents that a document of smaller id has."""
     found = P.candidates(P.stretches(docs.where("doc_id is not null"), words=True, length=length, k=k), other_ids=True)
-    bodies = found.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("one"), F.count("*").alias("copies"))
-    anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies"))
-    known = bodies.join(anchors, "anchor")
-    several = known.where("bodies > 1").select("one.*", "anchor", "body", F.col("one.doc_id").cast("long").alias("extra"))
-    content = P.contents(docs, several, words=True, length=length)
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in P.by_anchor(batches, SHARD_BYTES):
-            sequences = [np.frombuffer(x, np.uint64).tolist() for x in table.column("content").to_pylist()]
-            automaton = Automaton(sequences, table.column("extra").to_pylist())
-            rows: list[tuple[int, int, int, int]] = []
-            for i, sequence in enumerate(sequences):
-                owners, a = automaton.first_owner(sequence, length), 0
-                for b in range(1, len(owners) + 1):
-                    if b == len(owners) or owners[b] != owners[a]:
-                        if owners[a] is not None:
-                            rows.append((i, a, b - a, owners[a]))
-                        a = b
-            i, a, m, low = zip(*rows, strict=True)
-            take = pa.array(i)
-            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(take) for c in ("anchor", "body")] + [pa.array(a, pa.int32()), pa.array(m, pa.int32()), pa.array(low, pa.int64())], names=["anchor", "body", "a", "m", "low"])
-
-    compared = content.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, "anchor long, body long, a int, m int, low long")
-    copied = known.where("bodies = 1").select("anchor", "body", F.lit(0).alias("a"), F.col("one.n").alias("m"), F.col("one.doc_id").cast("long").alias("low"))
-    marks = compared.unionByName(copied)
+    dealt, copied = P.content_of(found, docs, F.col("one.doc_id"), words=True, length=length)
+
+    def shard(table: pa.Table) -> tuple:
+        sequences = [np.frombuffer(x, np.uint64).tolist() for x in table.column("content").to_pylist()]
+        automaton = Automaton(sequences, table.column("extra").to_pylist())
+        rows: list[tuple[int, int, int, int]] = []
+        for i, sequence in enumerate(sequences):
+            owners, a = automaton.first_owner(sequence, length), 0
+            for b in range(1, len(owners) + 1):
+                if b == len(owners) or owners[b] != owners[a]:
+                    if owners[a] is not None:
+                        rows.append((i, a, b - a, owners[a]))
+                    a = b
+        return tuple(zip(*rows, strict=True))
+
+    def resolve(windows: DataFrame) -> DataFrame:
+        return windows.groupBy("w", "x").agg(F.min("extra").alias("found"))
+
+    marks = P.compared(dealt, shard, resolve, words=True, length=length, most=SHARD_BYTES).unionByName(copied).withColumnRenamed("extra", "low")
     return found.join(marks, ["anchor", "body"]).where(F.col("low") < F.col("doc_id")).select("doc_id", "h", (F.col("start") + F.col("a")).alias("start"), (F.col("m") + (length - 1)).alias("n"))
 
 

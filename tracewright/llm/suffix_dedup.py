@@ -4,14 +4,13 @@ Every ``length``-byte window is named after its anchor (``_passages``), so equal
 one, meet in one shard. A shard's distinct stretches are joined by separators and their suffix array is induced:
 suffixes are classified, leftmost-smaller substrings sorted and named, their order induced on all others. Permuted
 common prefixes then tell which windows have an equal neighbour. Stretches that are the same throughout are counted
-before and need no sorting. Text is dealt by document id twice, to cut out the stretches and to remove what was found.
+before and need no sorting; where an anchor has too many different ones for a shard, its windows are counted by hash.
+Text is dealt by document id twice, to cut out the stretches and to remove what was found.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from tracewright.llm import _passages as P
 from tracewright.llm._suffix import common_prefixes, suffix_array
 
-LENGTH, K, SHARD_BYTES = 400, 16, 1 << 21
+LENGTH, K, SHARD_BYTES = 400, 64, 1 << 19
 
 
 def repeated_windows(parts: list[bytes], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -44,27 +43,20 @@ def repeated_windows(parts: list[bytes], length: int) -> list[tuple[np.ndarray,
 def repeated_bytes(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, h, start, n: ranges of bytes of ``_passages.keyed`` documents that a repeated window covers."""
     found = P.candidates(P.stretches(docs, words=False, length=length, k=k), other_ids=False)
-    bodies = found.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "h", "start", "n")).alias("one"), F.count("*").alias("copies"))
-    anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies"))
-    known = bodies.join(anchors, "anchor")
-    several = known.where("bodies > 1").select("one.*", "anchor", "body", F.col("copies").alias("extra"))
-    content = P.contents(docs, several, words=False, length=length)
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in P.by_anchor(batches, SHARD_BYTES):
-            parts = table.column("content").to_pylist()
-            copies = table.column("extra").to_numpy()
-            found = repeated_windows(parts, length)
-            whole = [(np.zeros(1, np.int64), np.array([len(x) - length + 1])) for x in parts]
-            each = [w if c > 1 else f for f, w, c in zip(found, whole, copies, strict=True)]
-            many = np.array([len(a) for a, _ in each])
-            take = pa.array(np.repeat(np.arange(len(parts)), many))
-            a, n = (np.concatenate(x) for x in zip(*each, strict=True))
-            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks().take(take) for c in ("anchor", "body")] + [pa.array(a.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "body", "a", "m"])
-
-    compared = content.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(shard, "anchor long, body long, a int, m int")
-    copied = known.where("bodies = 1").select("anchor", "body", F.lit(0).alias("a"), F.col("one.n").alias("m"))
-    marks = compared.unionByName(copied)
+    dealt, copied = P.content_of(found, docs, F.col("copies"), words=False, length=length)
+
+    def shard(table: pa.Table) -> tuple:
+        parts = table.column("content").to_pylist()
+        copies = table.column("extra").to_numpy()
+        whole = [(np.zeros(1, np.int64), np.array([len(x) - length + 1])) for x in parts]
+        each = [w if c > 1 else f for f, w, c in zip(repeated_windows(parts, length), whole, copies, strict=True)]
+        a, n = (np.concatenate(x) for x in zip(*each, strict=True))
+        return np.repeat(np.arange(len(parts)), [len(x) for x, _ in each]), a, n, np.ones(len(a), np.int64)
+
+    def resolve(windows: DataFrame) -> DataFrame:
+        return windows.groupBy("w", "x").agg(F.sum("extra").alias("found")).where("found > 1")
+
+    marks = P.compared(dealt, shard, resolve, words=False, length=length, most=SHARD_BYTES).unionByName(copied)
     return found.select("doc_id", "h", "start", "anchor", "body").join(marks, ["anchor", "body"]).select("doc_id", "h", (F.col("start") + F.col("a")).alias("start"), (F.col("m") + (length - 1)).alias("n"))
 
 
