@@ -119,3 +119,11 @@ def masked(assignment: Column) -> Column:
     """NAME=value with the value masked where the name looks like a secret's."""
     name = F.split_part(assignment, F.lit("="), F.lit(1))
     return F.when(assignment.contains("=") & name.rlike(T.SECRET_NAME), F.concat(name, F.lit("=****[MASKED]"))).otherwise(assignment)
+
+
+def in_zone(ts: Column, zone: str, raw: Column) -> Column:
+    """The time in a zone, ISO with offset; the raw text where there is no time."""
+    local = F.from_utc_timestamp(ts, zone)
+    minutes = F.round((F.unix_micros(local) - F.unix_micros(ts)) / 60e6).cast("int")
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"), F.floor(F.abs(minutes) / 60).cast("int"), F.abs(minutes) % 60)
+    return F.coalesce(F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset), raw)

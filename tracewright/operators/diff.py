@@ -49,3 +49,11 @@ def largest(deltas_: DataFrame) -> DataFrame:
 def totals(changes_: DataFrame) -> DataFrame:
     added = F.col("change") == "added"
     return changes_.agg(F.count("*").alias("total_changes"), F.count_if(added).alias("added"), F.count_if(~added).alias("removed"), F.coalesce(F.bool_or(added & F.col("severity").isin("high", "critical")), F.lit(False)).alias("has_new_high_severity"))
+
+
+def added_by_category(changes_: DataFrame) -> DataFrame:
+    return changes_.where("change = 'added'").groupBy("category").agg(F.count("*").alias("added"))
+
+
+def summary_line(totals_: DataFrame) -> DataFrame:
+    return totals_.withColumn("summary", F.format_string("%d changes: %d added, %d removed%s", "total_changes", "added", "removed", F.when(F.col("has_new_high_severity"), ", new high severity").otherwise("")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import tables as T
 from tracewright.functions.scalar import escape_cef_extension, escape_cef_header, formula_safe, is_ip, iso, lookup
 from tracewright.operators.records import attack_tags
+from tracewright.operators.timeline import between, equal_text
 
 REASON = "No timeline events were observed between adjacent evidence entries."
 HOST_KEYS = ("target_host", "target_hostname", "hostname", "host", "computer", "destination_host")
@@ -116,3 +117,19 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def write_table(rows: DataFrame, path: str, *, partition: str = "case_id") -> None:
     rows.write.partitionBy(partition).parquet(path) if partition in rows.columns else rows.write.parquet(path)
+
+
+def run(events: DataFrame, path: str, form: str, *, severity: str | None = None, category: str | None = None, since=None, until=None, attack_only: bool = False, parser: str = "tracewright") -> None:
+    """Filters, then writes one of jsonl, csv and timesketch."""
+    events = between(events, since, until)
+    events = equal_text(events, "severity", severity) if severity else events
+    events = equal_text(events, "category", category) if category else events
+    events = events.where(F.size(attack_tags(events)) > 0) if attack_only else events
+    if form == "csv":
+        write_csv(all_columns_csv(events), path)
+    elif form == "jsonl":
+        write_lines(json_lines(events), path)
+    elif form == "timesketch":
+        timesketch(events, parser=parser).write.json(path)
+    else:
+        raise ValueError(f"no such form: {form}")

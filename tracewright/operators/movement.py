@@ -83,3 +83,7 @@ def report(chains_: DataFrame) -> DataFrame:
 
 def through_host(chains_: DataFrame, host: str) -> DataFrame:
     return chains_.where(F.array_contains("target_hosts", host.lower()))
+
+
+def summary_line(chains_: DataFrame) -> DataFrame:
+    return chains_.withColumn("summary", F.format_string("[%s] %s by %s: %s", "severity", "pattern", F.coalesce("source_ip", F.lit("-")), F.array_join("target_hosts", " > ")))
