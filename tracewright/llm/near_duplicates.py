@@ -272,10 +272,11 @@ def _repeated(rows: DataFrame) -> bool:
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, all columns, with one row left of each class; rows without words all stay."""
     kept = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("first").groupBy("doc_id", "h").agg(F.count("*").alias("n")).alias("k")
-    d = docs.withColumn("__h", F.xxhash64(F.col(f"`{text}`"))).alias("d")
-    joined = d.join(kept.hint("shuffle_hash"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("k.doc_id")) & (F.col("d.__h") == F.col("k.h")))
+    d = docs.alias("d")
+    joined = d.join(kept.hint("shuffle_hash"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("k.h")))
     nth = F.row_number().over(Window.partitionBy(F.col("k.doc_id"), F.col("k.h")).orderBy(F.lit(1)))
-    return joined.withColumn("__nth", nth).where(F.col("__nth") <= F.col("n")).select(*(F.col(f"d.`{c}`") for c in docs.columns))
+    rows = joined.select(F.struct(*(F.col(f"d.`{c}`") for c in docs.columns)).alias("d"), nth.alias("nth"), F.col("k.n").alias("n"))
+    return rows.where("nth <= n").select("d.*")
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

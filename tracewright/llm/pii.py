@@ -173,8 +173,8 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opt
         return F.when(s["start"] >= a["at"], fresh).otherwise(inside)
 
     rest = F.aggregate(F.col("f.spans"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")).cast(z), add, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(t, (a["at"] + 1).cast("int")))), ""))
-    d = docs.withColumn("__h", F.xxhash64(F.col(f"`{text}`"))).alias("d")
-    joined = d.join(found.hint("shuffle_hash"), F.col(f"d.`{doc_id}`").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__h") == F.col("f.h")), "left")
+    same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(t) == F.col("f.h"))
+    joined = docs.alias("d").join(found.hint("shuffle_hash"), same, "left")
     return joined.select(*(F.when(F.col("f.spans").isNotNull(), rest).otherwise(t).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns))
 
 
