@@ -46,9 +46,9 @@ def any_time(*columns: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits per character; 0 for an empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    share = lambda cs: F.transform(F.array_distinct(cs), lambda c: F.size(F.filter(cs, lambda x: x == c)) / F.size(cs))
-    return -F.aggregate(share(chars), F.lit(0.0), lambda a, p: a + p * F.log2(p))
+    chars = F.array_distinct(F.filter(F.split(text, ""), lambda c: c != ""))
+    share = F.transform(chars, lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(text))
+    return F.lit(0.0) - F.aggregate(share, F.lit(0.0), lambda a, p: a + p * F.log2(p))
 
 
 def clean_address(address: Column) -> Column:

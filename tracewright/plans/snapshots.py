@@ -105,9 +105,10 @@ QUERIES = {
     "internal_addresses": (lambda s, d: view(s, d, "connections").groupBy("remote_addr").agg(F.bool_or(internal(F.col("remote_addr"))).alias("internal"), F.bool_or(is_ip(F.col("remote_addr"))).alias("is_ip"), F.count("*").alias("n")), f"{N} SELECT remote_addr, {INTERNAL} internal, NOT starts_with(remote_addr, '[') is_ip, count(*) n FROM t GROUP BY 1"),
     "name_entropy": (lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.round(entropy(F.col("p_name")), 6).alias("bits")), "SELECT p_partkey, round(-sum(c / n * log2(c / n)), 6) bits FROM (SELECT p_partkey, ch, count(*) c, max(n) n FROM (SELECT p_partkey, length(p_name) n, unnest(string_split(p_name, '')) ch FROM part) GROUP BY 1, 2) GROUP BY 1"),
     "script_risk": (lambda s, d: checks.script_risk(checks.script_checks(view(s, d, "scripts"))).select("artifact_id", F.array_join("checks.check_id", ",").alias("checks"), F.col("risk_score").cast("long").alias("risk_score"), "threat_level"), f"{S}, c AS (SELECT artifact_id, {SCRIPT} checks FROM t), w AS (SELECT *, CASE checks WHEN '' THEN 0 WHEN 'PSA-003' THEN 30 WHEN 'PSA-004' THEN 25 WHEN 'PSA-005' THEN 25 WHEN 'PSA-006' THEN 20 WHEN 'PSA-001,PSA-007' THEN 90 ELSE 45 END r FROM c) SELECT artifact_id, checks, CAST(r AS BIGINT) risk_score, CASE WHEN r >= 70 THEN 'CRITICAL' WHEN r >= 40 THEN 'HIGH' WHEN r >= 20 THEN 'MEDIUM' ELSE 'LOW' END threat_level FROM w"),
-    "script_scan_of_documents": (lambda s, d: checks.script_checks(s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("command_text"))).select("doc_id", F.array_join("checks.check_id", ",").alias("checks")), r"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)-EncodedCommand|-enc\b|-e\b') THEN 'PSA-001' END, CASE WHEN regexp_matches(text, '(?i)System\.Management\.Automation\.AmsiUtils|amsiContext|AmsiScanBuffer') OR regexp_matches(text, '(?is)bypass.*amsi|amsi.*bypass') THEN 'PSA-002' END,
-CASE WHEN regexp_matches(text, '(?i)\b(?:IEX|Invoke-Expression)\b') AND regexp_matches(text, '(?i)Net\.WebClient|WebRequest|DownloadString|DownloadFile|curl|wget') THEN 'PSA-003' END, CASE WHEN regexp_matches(text, '(?i)-ExecutionPolicy\s+Bypass|-ep\s+Bypass|Set-ExecutionPolicy\s+(?:Bypass|Unrestricted)') THEN 'PSA-004' END, CASE WHEN regexp_matches(text, '(?i)\b(?:certutil|mshta|rundll32|regsvr32|wscript|cscript|msiexec|installutil)\b') THEN 'PSA-005' END,
-CASE WHEN regexp_matches(text, '`[A-Za-z]') OR regexp_matches(text, '(?i)\[char\[\]\]') OR len(regexp_extract_all(text, '"\s*\+\s*"')) + len(regexp_extract_all(text, '''\s*\+\s*''')) >= 3 THEN 'PSA-006' END, CASE WHEN regexp_matches(text, '(?i)Mimikatz|mimi\b|sekurlsa|kerberos::|PowerView|Invoke-BloodHound|SharpHound|Empire|Cobalt\s*Strike') THEN 'PSA-007' END) checks FROM documents"""),
+    # RE2's word boundary knows ASCII only, so the SQL names what may stand beside a word
+    "script_scan_of_documents": (lambda s, d: checks.script_checks(s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("command_text"))).select("doc_id", F.array_join("checks.check_id", ",").alias("checks")), r"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)-EncodedCommand|-enc' || '(?:$|[^\p{L}\p{N}_])' || '|-e' || '(?:$|[^\p{L}\p{N}_])') THEN 'PSA-001' END, CASE WHEN regexp_matches(text, '(?i)System\.Management\.Automation\.AmsiUtils|amsiContext|AmsiScanBuffer') OR regexp_matches(text, '(?is)bypass.*amsi|amsi.*bypass') THEN 'PSA-002' END,
+CASE WHEN regexp_matches(text, '(?i)' || '(?:^|[^\p{L}\p{N}_])' || '(?:IEX|Invoke-Expression)' || '(?:$|[^\p{L}\p{N}_])') AND regexp_matches(text, '(?i)Net\.WebClient|WebRequest|DownloadString|DownloadFile|curl|wget') THEN 'PSA-003' END, CASE WHEN regexp_matches(text, '(?i)-ExecutionPolicy\s+Bypass|-ep\s+Bypass|Set-ExecutionPolicy\s+(?:Bypass|Unrestricted)') THEN 'PSA-004' END, CASE WHEN regexp_matches(text, '(?i)' || '(?:^|[^\p{L}\p{N}_])' || '(?:certutil|mshta|rundll32|regsvr32|wscript|cscript|msiexec|installutil)' || '(?:$|[^\p{L}\p{N}_])') THEN 'PSA-005' END,
+CASE WHEN regexp_matches(text, '`[A-Za-z]') OR regexp_matches(text, '(?i)\[char\[\]\]') OR len(regexp_extract_all(text, '"\s*\+\s*"')) + len(regexp_extract_all(text, '''\s*\+\s*''')) >= 3 THEN 'PSA-006' END, CASE WHEN regexp_matches(text, '(?i)Mimikatz|mimi' || '(?:$|[^\p{L}\p{N}_])' || '|sekurlsa|kerberos::|PowerView|Invoke-BloodHound|SharpHound|Empire|Cobalt\s*Strike') THEN 'PSA-007' END) checks FROM documents"""),
     "registry_findings": (lambda s, d: finding(checks.registry_findings(view(s, d, "registry"))).drop("pid"), f"{R} SELECT subject, process_name, check_id, severity, weight, evidence FROM ({REGISTRY})"),
     "memory_findings": (lambda s, d: finding(checks.memory_findings(view(s, d, "memory"))), f"{M} {MEMORY}"),
     "memory_maps": (lambda s, d: checks.map_rows(view(s, d, "memory")).groupBy("perms", "path").agg(F.count("*").alias("n")), f"{M} SELECT CASE WHEN i = 2 THEN 'rw-p' WHEN pid % 3 = 1 THEN 'rwxp' ELSE 'r-xp' END perms, CASE WHEN i = 2 THEN '/tmp/data' WHEN pid % 3 = 0 THEN '/usr/lib/libc.so.6' WHEN pid % 3 = 1 THEN '' ELSE '/dev/shm/q8Zx7Kp2Vw9Lm (deleted)' END path, count(*) n FROM t, (SELECT unnest([1, 2]) i) GROUP BY 1, 2"),
