@@ -21,6 +21,8 @@ LONG = "The story of the day is that the council has voted for the new bridge, a
         ("<div class='page no-sidebar'><article>kept</article></div>", "kept"),
         ("<script>if (a<b) document.write('<p>no</p>')</script><main><p title='a>b'>yes</p><style>p{}</style></main>", "yes"),
         ("<article><p>a < b and c > d</p><!-- <p>no</p> --><p>&lt;b&gt;</p></article>", "a < b and c > d\n\n<b>"),
+        (f"<div id=header><p>{LONG}</p></div><div class='post-content'><h2>T</h2><p>$$ ## 11</p><p class=share-links>Share</p></div><p>{LONG}</p><div class=cookie-notice>{LONG}</div>", "T\n\n$$ ## 11"),
+        (f"<div class=comments><div class=content>{LONG}</div></div><table><tr><td>{LONG}</table>", LONG),
         ("<main><p>one<br><br>two</p><pre>x\n  y</pre></main>", "one\n\ntwo\n\nx y"),
     ],
 )

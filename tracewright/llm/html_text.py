@@ -1,7 +1,7 @@
 """Main text of web pages by two passes of rules over blocks.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by what encloses them (menus, forms,
-adverts and the like are boilerplate, an article is text), by link density, length and stop-word density; short ones
+adverts and the like are boilerplate, an article is text, and beside one nothing else is), by link density, length and stop-word density; short ones
 without a clear sign stay open. In the second pass open blocks take the label of their nearest decided neighbours; between two that differ, a sentence counts as text.
 """
 
@@ -30,7 +30,8 @@ VOID = frozenset("hr br img input meta link area base col embed source track wbr
 DROPPED = frozenset("script style noscript template textarea select svg iframe object canvas audio video head title button math map".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+CONTENT = frozenset("article articlebody content entry main maincontent post story".split())
+HINTS = frozenset("ad ads adv advert adverts advertisement advertising alert alerts announcement announcements banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
 LINKS, SHORT, LONG, FEW, MANY = 0.33, 70, 200, 0.15, 0.30
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
@@ -38,14 +39,17 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def hinted(attributes: str) -> bool:
-    """Whether a class, id or role names boilerplate; "no-sidebar" and the like say that there is none in it."""
+def hinted(attributes: str) -> int:
+    """-1 if a class, id or role names boilerplate, 1 if one names content, else 0; "no-sidebar" says that there is none."""
+    found = 0
     for m in _NAMES.finditer(attributes):
         for token in m[1].strip("\"'").lower().split():
             words = [w for w in _SPLIT.split(token) if w]
-            if words and words[0] not in ("no", "has", "with", "without") and (words[0] in HINTS or words[-1] in HINTS):
-                return True
-    return False
+            if words and words[0] not in ("no", "has", "with", "without"):
+                if words[0] in HINTS or words[-1] in HINTS:
+                    return -1
+                found = found or int(words[-1] in CONTENT)
+    return found
 
 
 def blocks(page: str) -> Iterator[tuple[str, int, int, bool]]:
@@ -115,9 +119,10 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, bool]]:
                     stack.pop()
                 now = stack[-1][1] if stack else 0
             if now >= 0 and name not in ("html", "body"):
-                if name in OUTSIDE or name == "header" and now == 0 or name not in ("article", "main") and hinted(m[3]):
+                hint = hinted(m[3]) if m[3] != ">" else 0
+                if name in OUTSIDE or name == "header" and now == 0 or name not in ("article", "main") and hint < 0:
                     now = -1
-                elif name in ("article", "main"):
+                elif name in ("article", "main") or hint > 0 and name in ("div", "section", "td"):
                     now = 1
             stack.append((name, now))
         place, heading = (stack[-1][1] if stack else 0), bool(stack) and stack[-1][0] in HEADINGS
@@ -147,7 +152,8 @@ def main_text(page: str | None) -> str:
     if not found:
         return ""
     spoken = any(w in STOP_WORDS for text, *_ in found for w in text.lower().split())
-    marks = [first_pass(text, linked, place, spoken) for text, linked, place, _ in found]
+    article = any(place > 0 for _, _, place, _ in found)
+    marks = [first_pass(text, linked, -1 if article and not place else place, spoken) for text, linked, place, _ in found]
     known = [k for k, m in enumerate(marks) if m in (1, -1)]
     before, after, last = [0] * len(marks), [0] * len(marks), -1
     gap_b, gap_a = [0] * len(marks), [0] * len(marks)
