@@ -1,6 +1,7 @@
 """Mixing sources to target weights by drawing fixed-length blocks.
 
-Each source's documents are laid end to end in a pseudorandom order and cut into blocks of ``block_words`` words. The
+Each source's documents are laid end to end in a pseudorandom order and cut into blocks of one length: ``block_words``
+words at most, shorter where a source would have fewer than ``LEAST_BLOCKS``, and such that the last is about full. The
 targets fix how many block slots each source has in all; output shards draw multinomial counts from what is left of
 these totals, so the last shard closes the sum. A source's slots are numbered across the shards, a keyed permutation
 of its block numbers (a new one each time round) turns slots into blocks, and the blocks are joined by number.
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm._session import cut
 
-WEIGHTS, SHARE, MOST, BLOCK_WORDS, SHARD_SLOTS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 64, 1 << 14, 20_240
+WEIGHTS, SHARE, MOST, BLOCK_WORDS, LEAST_BLOCKS, SHARD_SLOTS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 64, 128, 1 << 14, 20_240
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -74,7 +75,7 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def packed(docs: DataFrame, doc_id: str, text: str, source: str, block_words: int) -> DataFrame:
+def packed(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """doc_id, source, size and at (where the document begins among its source's words).
 
     The order of a source is that of a hash of the id. Offsets are summed within buckets of ids and then over buckets, so
@@ -123,27 +124,24 @@ def slots(spark, names: list[str | None], want: np.ndarray, blocks: np.ndarray,
 def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, dict, dict]:
     """Documents in place, the draws, and the sizes and targets by source (one entry each)."""
     spark = docs.sparkSession
-    placed = cut(packed(docs, doc_id, text, source, block_words))
+    placed = cut(packed(docs, doc_id, text, source))
     sizes = {r["source"]: int(r["n"]) for r in placed.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     want = targets(sizes, weights, share, most)
     names = [s for s in want if sizes[s]]
-    blocks = np.array([-(-sizes[s] // block_words) for s in names], np.int64)
+    length = [max(1, min(block_words, sizes[s] // LEAST_BLOCKS)) for s in names]
+    length = [-(-sizes[s] // -(-sizes[s] // n)) for s, n in zip(names, length, strict=True)]
+    blocks = np.array([-(-sizes[s] // n) for s, n in zip(names, length, strict=True)], np.int64)
     count = np.array([min(int(most * b), round(want[s] / sizes[s] * b)) for s, b in zip(names, blocks, strict=True)], np.int64)
     drawn = slots(spark, names, count, blocks, shard_slots=shard_slots, seed=seed)
-    return placed.withColumn("k", _number(names)), drawn, sizes, want
+    known = spark.createDataFrame([(s, k, n) for k, (s, n) in enumerate(zip(names, length, strict=True))], "s string, k int, length long")
+    return placed.join(known, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), drawn, sizes, want
 
 
-def _number(names: list[str | None]) -> F.Column:
-    known = [(s, i) for i, s in enumerate(names) if s is not None]
-    found = F.create_map(*(F.lit(x) for pair in known for x in pair))[F.col("source")] if known else F.lit(None).cast("int")
-    return F.when(F.col("source").isNull(), F.lit(names.index(None) if None in names else None)).otherwise(found).cast("int")
-
-
-def pieces(placed: DataFrame, block_words: int) -> DataFrame:
+def pieces(placed: DataFrame) -> DataFrame:
     """doc_id, size, at, k, block, first (word of the document) and n (words of it in the block)."""
-    last = F.floor((F.col("at") + F.col("size") - 1) / F.lit(block_words))
-    rows = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / F.lit(block_words)), last)))
-    low, high = F.greatest("at", F.col("block") * block_words), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
+    last = F.floor((F.col("at") + F.col("size") - 1) / F.col("length"))
+    rows = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / F.col("length")), last)))
+    low, high = F.greatest("at", F.col("block") * F.col("length")), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("length"))
     return rows.select("doc_id", "size", "at", "k", "block", (low - F.col("at")).alias("first"), (high - low).alias("n"))
 
 
@@ -153,8 +151,7 @@ def mixture(docs: DataFrame, **options) -> DataFrame:
     A null text or source is allowed: no words, and a source of its own. Other columns are not read.
     """
     placed, drawn, _, _ = plan(docs, **options)
-    block_words = options.get("block_words", BLOCK_WORDS)
-    return drawn.withColumnRenamed("source", "k").join(pieces(placed, block_words), ["k", "block"]).select("shard", "slot", "doc_id", "first", "n")
+    return drawn.withColumnRenamed("source", "k").join(pieces(placed), ["k", "block"]).select("shard", "slot", "doc_id", "first", "n")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -164,9 +161,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     documents and sources of no words are never taken. An empty table gives an empty mix. Runs of one table agree.
     """
     placed, drawn, sizes, want = plan(docs, **options)
-    block_words = options.get("block_words", BLOCK_WORDS)
     draws = drawn.groupBy(F.col("source").alias("k"), "block").agg(F.count("*").alias("times"))
-    taken = pieces(placed, block_words).join(draws, ["k", "block"]).groupBy("k", "at").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    taken = pieces(placed).join(draws, ["k", "block"]).groupBy("k", "at").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     full = placed.where("size > 0").join(taken, ["k", "at"], "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     every = full.unionByName(placed.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
     known = docs.sparkSession.createDataFrame([(s, sizes[s], float(want[s])) for s in want], "s string, source_size long, target double")
