@@ -77,8 +77,10 @@ def chains(hops_: DataFrame, *, window_s: int = WINDOW_S, hosts: int = HOSTS) ->
 
 
 def report(chains_: DataFrame) -> DataFrame:
-    hosts = chains_.select(F.explode("target_hosts").alias("host")).agg(F.count_distinct("host").alias("unique_hosts"))
-    return chains_.agg(F.count("*").alias("chains"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "HIGH").alias("high"), F.sum("hop_count").alias("hops")).join(hosts)
+    """One row of totals; hosts are told apart over all chains."""
+    rows = chains_.select("severity", "hop_count", F.posexplode("target_hosts").alias("i", "host"))
+    head = F.col("i") == 0
+    return rows.agg(F.count_if(head).alias("chains"), F.count_if(head & (F.col("severity") == "CRITICAL")).alias("critical"), F.count_if(head & (F.col("severity") == "HIGH")).alias("high"), F.sum(F.when(head, F.col("hop_count"))).alias("hops"), F.count_distinct("host").alias("unique_hosts"))
 
 
 def through_host(chains_: DataFrame, host: str) -> DataFrame:
