@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import tables as T
-from tracewright.functions.scalar import iso
+from tracewright.functions.scalar import in_zone, iso
 from tracewright.operators import attack, correlate, diff, movement, rules, timeline
 from tracewright.plans.derived import duck, view
 
@@ -119,4 +119,16 @@ round(CASE WHEN n >= 3 THEN least(0.95, least(0.9, 0.4 + 0.1 * n) + 0.1) ELSE le
     "attack_coverage": (lambda s, d: attack.coverage(attack.mapped(tl(s, d))), f"{MAPPED} SELECT count(*) total, count(technique_id) mapped, count(*) - count(technique_id) unmapped, round(100.0 * count(technique_id) / count(*), 1) coverage_pct, count(DISTINCT technique_id) techniques FROM q"),
     "attack_tagging": (lambda s, d: attack.tagged(tl(s, d).select("seq", (F.col("seq") % 4 + 4623).alias("event_id"), F.lit("PowerShell.exe").alias("process_name"), F.when(F.col("seq") % 2 == 0, "x").alias("command_line"))).select("seq", F.array_join("attack_tags", ",").alias("tags")), "SELECT event_id seq, CASE event_id % 4 WHEN 2 THEN 'T1110,T1059' WHEN 1 THEN 'T1078,T1059' ELSE 'T1059' END tags FROM events"),
     "detection_rules": (lambda s, d: rules.evaluate(tl(s, d), RULES).where("flagged").select("seq", F.array_join(F.transform("rule_matches", lambda m: F.concat_ws(":", m["title"], m["level"])), ";").alias("matches")), f"""{TL}, m AS (SELECT seq, concat_ws(';', CASE WHEN category = 'authentication' AND severity IN ('high', 'critical') THEN 'High failures:high' END, CASE WHEN action IN ('log_clear', 'cron_add') AND host = 'host3' THEN 'Either:low' END, CASE WHEN target IN ('target1', 'target2') THEN 'Any of:medium' END, CASE WHEN target = 'target3' AND host = 'host5' THEN 'All of:medium' END) matches FROM z) SELECT * FROM m WHERE matches <> ''"""),
+    "all_incidents": (lambda s, d: correlate.correlate(ev(s, d), window_s=DAY).groupBy("pattern", "severity").agg(F.count("*").alias("n"), F.sum("event_count").alias("events"), F.count_distinct("source_ip").alias("ips")), f"""{E}, w AS (SELECT *, count(*) FILTER (event_type = 'auth_fail') OVER v n FROM u WHERE event_type IN ('auth_fail', 'auth_success') WINDOW v AS (PARTITION BY source_ip ORDER BY us RANGE BETWEEN {DAY}000000 PRECEDING AND CURRENT ROW)),
+b AS (SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY seq) r FROM w WHERE event_type = 'auth_success' AND n >= 5),
+i AS (SELECT 'BRUTE_THEN_SUCCESS' pattern, 'CRITICAL' severity, n + 1 event_count, source_ip FROM b WHERE r = 1 UNION ALL SELECT pattern, severity, event_count, source_ip FROM ({_related(PRIV, "PRIVILEGE_ESCALATION", "HIGH", 0.8)}) UNION ALL SELECT pattern, severity, event_count, source_ip FROM ({_related(PERSIST, "PERSISTENCE", "HIGH", 0.75)})
+UNION ALL SELECT pattern, severity, event_count, source_ip FROM ({_related(RECON.replace(f"{WEEK}000000", f"{DAY}000000"), "RECON_THEN_EXPLOIT", "CRITICAL", 0.85)}) UNION ALL SELECT 'ANOMALOUS_TIME', 'MEDIUM', 1, source_ip FROM u WHERE event_type = 'auth_success' AND hour(ts) NOT BETWEEN 7 AND 18
+UNION ALL SELECT 'SPRAY_THEN_PIVOT', 'CRITICAL', n + 1, source_ip FROM (SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY seq) r FROM (SELECT a.seq, a.source_ip, count(DISTINCT b.username) n FROM u a JOIN u b ON b.source_ip = a.source_ip AND b.event_type = 'auth_fail' AND b.us BETWEEN a.us - {DAY}000000 AND a.us WHERE a.event_type = 'auth_success' GROUP BY ALL HAVING count(DISTINCT b.username) >= 5)) WHERE r = 1)
+SELECT pattern, severity, count(*) n, CAST(sum(event_count) AS BIGINT) events, count(DISTINCT source_ip) ips FROM i GROUP BY 1, 2"""),
+    "incident_lines": (lambda s, d: correlate.summary_line(correlate.select_incidents(correlate.anomalous_time(ev(s, d)), username="user7")).select("seq", "summary"), f"{E} SELECT seq, concat('[MEDIUM] ANOMALOUS_TIME from ', source_ip, ': 1 events') summary FROM u WHERE event_type = 'auth_success' AND hour(ts) NOT BETWEEN 7 AND 18 AND username = 'user7'"),
+    "united_sources": (lambda s, d: correlate.union_sources(correlate.normalized(raw_rows(s, d), "events"), correlate.normalized(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit(" user"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("login"), F.lit("LOGIN_FAILED").alias("type"), F.lit("").alias("src_ip")), "orders").drop("ts")).groupBy("source").agg(F.count("*").alias("n"), F.count("ts").alias("timed"), F.count_distinct("username").alias("users"), F.count_if(F.col("event_type") == "auth_fail").alias("failed")), "SELECT 'orders' source, count(*) n, CAST(0 AS BIGINT) timed, count(DISTINCT o_custkey) users, count(*) failed FROM orders UNION ALL SELECT 'events', count(*), count(ts), count(DISTINCT user_id), count(*) FILTER (event_id % 3 = 0) FROM events"),
+    "without_gaps": (lambda s, d: timeline.without_gaps(timeline.interleaved(tl(s, d), threshold_min=60)).groupBy("case_id").agg(F.count("*").alias("n")), f"{TL} SELECT case_id, count(*) n FROM z GROUP BY 1"),
+    "event_id_filter": (lambda s, d: timeline.with_service_name(timeline.with_event_ids(tl(s, d).withColumn("event_id", F.col("seq") % 3 + 7044), ["7045", "7046"]), "TARGET3").select("seq"), f"{TL} SELECT seq FROM z WHERE seq % 3 = 1 AND contains(target, 'target3')"),
+    "added_by_category": (lambda s, d: diff.added_by_category(diff.changes(*halves(s, d))), f"{DIFF} SELECT category, count(*) added FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {SAME}) GROUP BY 1"),
+    "zoned_times": (lambda s, d: tl(s, d).select("seq", in_zone(F.col("ts"), "America/Sao_Paulo", F.col("raw")).alias("at")), f"{TL} SELECT seq, concat(strftime(ts - INTERVAL 3 HOURS, '%Y-%m-%dT%H:%M:%S'), '-03:00') AS at FROM z"),
 }

@@ -10,6 +10,7 @@ from tracewright.operators import checks, export, records, timeline
 from tracewright.plans.derived import duck, view
 from tracewright.plans.events import tl
 from tracewright.sources import logs, windows
+from tracewright.sources.records import exploded
 
 P, N, S, R, M = (f"WITH t AS ({duck(n)})" for n in ("processes", "connections", "scripts", "registry", "memory"))
 C, A, TL, AL = (f"WITH t AS ({duck(n)})" for n in ("containers", "artifacts", "timeline", "auth_lines"))
@@ -67,13 +68,14 @@ def auth_lines(s, d):
     """Lines of an auth log, two kinds in five of no interest."""
     head = F.concat(F.date_format("t", "MMM "), F.lpad(F.dayofmonth("t").cast("string"), 2, " "), F.date_format("t", " HH:mm:ss "), F.col("h"))
     tail = F.when(F.col("kind") == 0, F.concat(F.lit(" sshd[12]: Failed password for invalid user "), "u", F.lit(" from "), "ip", F.lit(" port 22 ssh2"))).when(F.col("kind") == 1, F.concat(F.lit(" sshd[7]: Accepted publickey for "), "u", F.lit(" from "), "ip")).when(F.col("kind") == 2, F.concat(F.lit(" sudo: "), "u", F.lit(" : TTY=pts/0 ; USER=root ; COMMAND=/bin/run "), F.col("k").cast("string"))).otherwise(" kernel: up")
-    return view(s, d, "auth_lines").select(F.concat(head, tail).alias("line"), F.lit("auth.log").alias("source"))
+    # explode keeps the text in one place; else each use of a line would build it again
+    return view(s, d, "auth_lines").select(F.explode(F.array(F.concat(head, tail))).alias("line"), F.lit("auth.log").alias("source"))
 
 
 def mac_lines(s, d):
     head = F.concat(F.date_format("t", "yyyy-MM-dd HH:mm:ss"), F.when(F.col("seq") % 2 == 0, "Z").otherwise("-0300"))
     tail = F.when(F.col("kind") == 0, F.concat(F.lit(" authd: authentication FAILED for user "), "u", F.lit(" from "), "ip")).when(F.col("kind") == 1, F.concat(F.lit(" authd: Authenticated user "), "u")).when(F.col("kind") == 2, F.concat(F.lit(" sudo[3]: "), "u", F.lit(" : TTY=x ; USER=root ; COMMAND=/bin/ls "))).when(F.col("kind") == 3, F.lit(" launchd: bootout /Library/LaunchDaemons/a.plist")).otherwise(" nothing")
-    return view(s, d, "auth_lines").select(F.concat(head, tail).alias("line"), F.lit("mac.log").alias("source"))
+    return view(s, d, "auth_lines").select(F.explode(F.array(F.concat(head, tail))).alias("line"), F.lit("mac.log").alias("source"))
 
 
 def windows_rows(s, d):
@@ -133,4 +135,9 @@ CASE WHEN kind < 2 THEN CASE WHEN seq % 3 = 0 THEN 'ws' ELSE ip END WHEN kind =
     "export_timesketch": (lambda s, d: export.timesketch(tl(s, d).withColumn("tags", F.concat_ws(" , ", "action", "severity", "action")), parser="tw").select("datetime", "source", "hostname", F.array_join("attack_tags", ";").alias("tags"), "seq"), f"{TL} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS datetime, source, host hostname, concat(action, ';', severity) tags, seq FROM t"),
     "export_jsonl": (lambda s, d: export.json_lines(tl(s, d).select("seq", "case_id", "severity")), f"{TL} SELECT concat('{{\"seq\":', seq, ',\"case_id\":\"', case_id, '\",\"severity\":\"', severity, '\"}}') AS value FROM t"),
     "formula_cells": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(formula_safe(F.concat(F.element_at(F.array(*map(F.lit, (" =", "+", "@", "-", "x"))), (F.col("doc_id") % 5 + 1).cast("int")), F.col("text"))), 256).alias("sha")), "SELECT doc_id, sha256(concat(CASE WHEN doc_id % 5 < 4 THEN chr(39) ELSE '' END, CASE doc_id % 5 WHEN 0 THEN ' =' WHEN 1 THEN '+' WHEN 2 THEN '@' WHEN 3 THEN '-' ELSE 'x' END, text)) sha FROM documents"),
+    "observations": (lambda s, d: exploded(s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("case"), (F.col("c_custkey") % 9).cast("string")).alias("case_id"), F.lit("t").alias("collected_at"), F.lit("macos").alias("platform"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))).alias("observations"))).groupBy("case_id", "key").agg(F.count("*").alias("n"), F.max("value").alias("last")), "SELECT concat('case', c_custkey % 9) case_id, 'name' AS key, count(*) n, max(c_name) AS last FROM customer GROUP BY 1 UNION ALL SELECT concat('case', c_custkey % 9), 'segment', count(*), max(c_mktsegment) FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1"),
+    "auth_user_filter": (lambda s, d: logs.of_user(logs.auth_events(auth_lines(s, d), year=2024), "user7").groupBy("action").agg(F.count("*").alias("n")), f"{AL} SELECT CASE kind WHEN 0 THEN 'ssh_login_failed' WHEN 1 THEN 'ssh_login_success' ELSE 'sudo_command' END action, count(*) n FROM t WHERE kind < 3 AND u = 'user7' GROUP BY 1"),
+    "attack_only": (lambda s, d: (lambda r: r.where(F.size(records.attack_tags(r)) > 0).select("seq"))(tl(s, d).withColumn("mitre_attack", F.when(F.col("seq") % 3 == 0, " , ").when(F.col("seq") % 3 == 1, "T1, T2"))), f"{TL} SELECT seq FROM t WHERE seq % 3 = 1"),
+    "finding_lookup": (lambda s, d: checks.select_findings(checks.process_findings(view(s, d, "processes")), check="PT-007", process="MIMIKATZ.exe").select("subject", "pid"), f"{P} SELECT subject, pid FROM t WHERE name = 'Mimikatz.exe'"),
+    "integrity": (lambda s, d: records.verified(files(s, d, changed=False), files(s, d, changed=True)), "SELECT count(*) = 0 ok, count(*) mismatches FROM documents WHERE doc_id % 150 = 0 OR doc_id % 100 = 0"),
 }

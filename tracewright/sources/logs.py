@@ -44,17 +44,21 @@ def _metadata(**values: Column) -> Column:
 def auth_events(lines: DataFrame, *, year: int) -> DataFrame:
     """Failed and accepted SSH logins and sudo commands; other lines are dropped."""
     line = F.col("line")
-    failed, accepted = line.rlike(SSH_FAILED), line.rlike(SSH_ACCEPTED)
-    rows = lines.where(failed | accepted | line.rlike(SUDO)).withColumn("kind", F.when(failed, "failed").when(accepted, "accepted").otherwise("sudo"))
-    by = lambda a, b, c: F.when(F.col("kind") == "failed", a).when(F.col("kind") == "accepted", b).otherwise(c)
-    none = F.lit(None).cast("string")
-    ip = by(part(line, SSH_FAILED, 4), part(line, SSH_ACCEPTED, 4), none)
+
+    def shaped(pattern: str, category: str, severity: str, action: str, *, sudo: bool = False) -> Column:
+        """What the line says if it has that shape; a text that is missing is empty."""
+        group = lambda n: F.regexp_extract(line, pattern, n)
+        none = F.lit("")
+        values = {"category": F.lit(category), "severity": F.lit(severity), "action": F.lit(action), "actor": group(3 if sudo else 4), "target": F.lit("root") if sudo else group(3), "port": none if sudo else group(5), "command": group(4) if sudo else none}
+        return F.when(line.rlike(pattern), F.struct(*(v.alias(k) for k, v in values.items())))
+
+    found = F.coalesce(shaped(SSH_FAILED, "authentication", "medium", "ssh_login_failed"), shaped(SSH_ACCEPTED, "authentication", "low", "ssh_login_success"), shaped(SUDO, "privilege_escalation", "medium", "sudo_command", sudo=True))
+    rows = lines.withColumn("f", found).where("f is not null")
+    text = lambda c: F.nullif(F.col(c), F.lit(""))
+    ip = F.when(F.col("f.category") == "authentication", F.col("f.actor"))
     return rows.select(
-        syslog_time(F.regexp_extract(line, STAMP, 1), year).alias("ts"), "source", F.regexp_extract(line, STAMP, 2).alias("host"),
-        by(F.lit("authentication"), F.lit("authentication"), F.lit("privilege_escalation")).alias("category"), by(F.lit("medium"), F.lit("low"), F.lit("medium")).alias("severity"),
-        F.coalesce(ip, part(line, SUDO, 3)).alias("actor"), by(part(line, SSH_FAILED, 3), part(line, SSH_ACCEPTED, 3), F.lit("root")).alias("target"),
-        by(F.lit("ssh_login_failed"), F.lit("ssh_login_success"), F.lit("sudo_command")).alias("action"), line.alias("raw"),
-        _metadata(src_ip=ip, src_port=by(part(line, SSH_FAILED, 5), part(line, SSH_ACCEPTED, 5), none), command=by(none, none, part(line, SUDO, 4))).alias("metadata"),
+        syslog_time(F.regexp_extract(line, STAMP, 1), year).alias("ts"), "source", F.regexp_extract(line, STAMP, 2).alias("host"), "f.category", "f.severity", text("f.actor").alias("actor"), text("f.target").alias("target"), "f.action", line.alias("raw"),
+        _metadata(src_ip=ip, src_port=text("f.port"), command=text("f.command")).alias("metadata"),
     )
 
 
