@@ -29,10 +29,16 @@ def texts():
     out = [None, "", " ", "a@b.c_d@e.f", "x@y.z.", "+1+1+12345678901", "1.2.3.4.5.6.7.8 256.1.1.1 0000255.0.00.1", "4111 1111 1111 1111", "4111-1111-1111-1111x", "0.0.0.0", "1.2.3.00", "000.1.1.1", "é@é.é é1@b.co", "+1 (555) 555-0100.", "😀 a@b.co 😀 10.0.0.1"]
     out += ["".join(rng.choice("a.@-+1290 ()_%é\n") for _ in range(rng.randint(1, 60))) for _ in range(400)]
     out += ["".join(rng.choice("0123456789 -+.") for _ in range(40)) for _ in range(200)]
-    out += ["4" * 60_000, "a" * 200_000, "a." * 60_000 + "@", "ab@" + "c." * 50_000, "10.0.0.1 " * 3000, "日本" * 50_000, "1 " * 40_000]
+    out += ["4" * 60_000, "a" * 3_000, "a." * 2_000 + "@", "ab@" + "c." * 50_000, "10.0.0.1 " * 3000, "日本" * 50_000, "1 " * 40_000]
     return out
 
 
+def test_long_runs_take_no_time_in_their_square(spark):
+    long = ["a" * 400_000, "a." * 200_000 + "@", "x1" * 200_000]  # Python's plain patterns would take minutes
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    assert [len(r.base) for r in pii.find(docs).collect()] == [0, 0, 0]
+
+
 def test_base_spans_and_counts(spark):
     docs = spark.createDataFrame([(i, t, 0, "") for i, t in enumerate(texts())], "doc_id long, text string, h int, base string").repartition(4)
     found = {r.doc_id: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.base) for r in pii.find(docs).collect()}

@@ -25,8 +25,8 @@ PATTERNS = {
 MARKS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 IP_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}|(?<=0))(?:\.|$)){4}$"
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-SHAPES = {"email": r"^[^@]+@[^@]+$", "ip": r"^[0-9]+(?:[^0-9a-zA-Z]+[0-9]+){3}$", "card": r"^[^a-zA-Z]*(?:[0-9][^a-zA-Z0-9]*){12,}$", "phone": r"^[^a-zA-Z]*(?:[0-9][^a-zA-Z0-9]*){7,15}$"}
-CHUNK, CONTEXT, TURNS, SUPPORT, CONFIDENCE = 256, 60, 3, 3, 0.8
+SHAPES = {"email": r"^[^@]++@[^@]++$", "ip": r"^[0-9]++(?:[^0-9a-zA-Z]++[0-9]++){3}$", "card": r"^[^a-zA-Z0-9]*+(?:[0-9][^a-zA-Z0-9]*+){12,}+$", "phone": r"^[^a-zA-Z0-9]*+(?:[0-9][^a-zA-Z0-9]*+){7,15}+$"}
+CHUNK, CELL, CONTEXT, TURNS, SUPPORT, CONFIDENCE = 256, 64, 60, 3, 3, 0.8
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -132,6 +132,20 @@ def confident(edges: DataFrame, *, turns: int = TURNS, support: int = SUPPORT, c
     return good.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("confidence").alias("confidence"))
 
 
+def _celled(spans: DataFrame) -> DataFrame:
+    """Each span once for every stretch of CELL places that it touches."""
+    return spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / F.lit(CELL)), F.floor((F.col("end") - 1) / F.lit(CELL)))))
+
+
+def unexplained(rows: DataFrame) -> DataFrame:
+    """row, start, end, instance and left of the tokens that no base span overlaps, by a join on stretches of places."""
+    token = rows.where(F.size("tokens") > 0).select("row", F.explode("tokens").alias("s")).select("row", "s.start", (F.col("s.start") + F.length("s.text")).alias("end"), F.lower("s.text").alias("instance"), "s.left")
+    t, b = _celled(token.select("row", "start", "end")).alias("t"), _celled(rows.select("row", F.explode("base").alias("s")).select("row", "s.start", "s.end")).alias("b")
+    meet = (F.col("t.row") == F.col("b.row")) & (F.col("t.cell") == F.col("b.cell")) & (F.col("b.start") < F.col("t.end")) & (F.col("t.start") < F.col("b.end"))
+    known = t.join(b, meet, "left_semi").select("row", "start").distinct()
+    return token.join(known, ["row", "start"], "left_anti")
+
+
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", turns: int = TURNS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """Per document: doc_id, h (hash of the text), base and spans, sorted arrays of (start, rank, end, kind).
 
@@ -141,8 +155,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", turns:
     t = F.col(f"`{text}`")
     rows = cut(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(t).alias("h"), F.monotonically_increasing_id().alias("row"), base_spans(t).alias("base"), tokens(t).alias("tokens")))
     seeds = rows.select("row", F.explode("base").alias("s")).select(F.explode(patterns(F.col("s.left"))).alias("pattern"), F.lower("s.text").alias("instance"), F.col("s.kind").alias("kind"))
-    free = F.filter("tokens", lambda m: ~F.exists("base", lambda b: (b["start"] < m["start"] + F.length(m["text"])) & (m["start"] < b["end"])))
-    others = rows.where(F.size("tokens") > 0).select("row", F.explode(free).alias("s")).select("row", "s.start", (F.col("s.start") + F.length("s.text")).alias("end"), F.lower("s.text").alias("instance"), patterns(F.col("s.left")).alias("patterns"))
+    others = cut(unexplained(rows).withColumn("patterns", patterns(F.col("left"))))
     unknown = others.select(F.explode("patterns").alias("pattern"), "instance", F.lit(None).cast("string").alias("kind"))
     edges = cut(seeds.unionByName(unknown).groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")))
     good = confident(edges, turns=turns, support=support, confidence=confidence)
