@@ -148,7 +148,7 @@ def refine(edges: DataFrame, reps: DataFrame, *, threshold: float, floor: float,
     for _ in range(turns):
         both = edges.select(F.col("a").alias("pivot"), F.col("b").alias("row")).unionByName(edges.select(F.col("b").alias("pivot"), F.col("a").alias("row")))
         members = both.unionByName(both.select("pivot", F.col("pivot").alias("row"))).distinct()
-        edges = cut(lists(edges.unionByName(compared(members, ["pivot"], reps, most, floor, block)), most, threshold))
+        edges = cut(lists(edges.unionByName(compared(members, ["pivot"], reps, NEIGHBOURS, floor, block)), most, threshold))
         now = edges.agg(F.count("*"), F.sum("s")).first()
         if now[0] == known[0] and abs((now[1] or 0) - (known[1] or 0)) <= 1e-6 * max(1.0, now[1] or 0):
             break
@@ -175,7 +175,7 @@ def counted(edges: DataFrame, reps: DataFrame, *, threshold: float, block: int)
     """row, links and root: exact counts inside the components of the links found."""
     near = edges.where(F.col("s") >= threshold)
     groups_ = components(near.select("a", "b")).withColumnRenamed("vertex", "row")
-    dealt = blocked(groups_, ["component"], block=4 * block).select("k", "side", "row").join(reps.select("row", "v", "copies"), "row")
+    dealt = blocked(groups_, ["component"], block=block).select("k", "side", "row").join(reps.select("row", "v", "copies"), "row")
     return cut(dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_counted(threshold), "row long, links long, root long"))
 
 
