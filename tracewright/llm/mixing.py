@@ -162,7 +162,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """
     placed, drawn, sizes, want = plan(docs, **options)
     draws = drawn.groupBy(F.col("source").alias("k"), "block").agg(F.count("*").alias("times"))
-    taken = pieces(placed).join(draws, ["k", "block"]).groupBy("k", "at").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    # dense numbers compress so well that a shuffle of all draws looks small enough to broadcast, which it is not
+    taken = pieces(placed).join(draws.hint("merge"), ["k", "block"]).groupBy("k", "at").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
     full = placed.where("size > 0").join(taken, ["k", "at"], "left").select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).alias("taken"))
     every = full.unionByName(placed.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken")))
     known = docs.sparkSession.createDataFrame([(s, sizes[s], float(want[s])) for s in want], "s string, source_size long, target double")
