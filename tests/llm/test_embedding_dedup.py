@@ -56,3 +56,14 @@ def test_recall_on_test_table(spark):
     want = {v: n for v, n, _ in brute(rows)}
     assert all(got[v] <= want[v] for v in want)
     assert sum(got.values()) >= 0.97 * sum(want.values())
+
+
+def test_links_between_tight_groups(spark):
+    rng, rows = np.random.default_rng(3), []
+    for _ in range(12):
+        a, b = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for centre in (a, math.cos(0.15) * a + math.sin(0.15) * b):
+            rows += [(centre + 0.003 * rng.normal(size=32)).astype(np.float32).tolist() for _ in range(40)]
+    rows = [(i, x, 1) for i, x in enumerate(rows)]
+    got = e.near_embeddings(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA).repartition(3)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)

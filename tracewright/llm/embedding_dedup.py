@@ -3,9 +3,10 @@
 Neighbour lists begin with random hyperplanes: vectors of one label that fall on the same sides meet in blocks of
 bounded size. Then lists are refined again and again: the neighbours of each vector, in both directions, meet under
 it and are compared, so neighbours of neighbours find each other. A list that is full of near vectors is saturated and
-grows twofold. After that the recall is audited against brute force for a sample of queries; if it is short, more
-hyperplanes are drawn and refined. Links of the threshold join vectors to components, and what lists of bounded size
-cannot hold is counted exactly inside components, block by block.
+grows twofold; those of lesser likeness keep places of their own in it. Lists only say who meets next: all near pairs of a
+meeting join their rows to components, whether a list has room for them or not, and links are counted exactly inside
+components, block by block. After that the recall is audited against brute force for a sample of queries; if it is
+short, more hyperplanes are drawn and refined.
 """
 
 from __future__ import annotations
@@ -107,38 +108,50 @@ def similarities(table: pa.Table) -> np.ndarray:
     return out
 
 
-def _best(most: int, floor: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each row of a group its best others, of those that are near enough to lead anywhere."""
+def _best(most: int, floor: float, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each row of a group its best others that are near enough to lead anywhere, if all of them are near also the best
+    below the threshold; and (s null) the smallest row that it is joined to by near pairs of the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches):
+            table = table.sort_by("row")
             s, row = similarities(table), table.column("row").to_numpy()
-            keep = min(most, len(row))
-            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
-            i, j = np.repeat(np.arange(len(row)), keep), top.ravel()
-            yes = (s[i, j] >= floor) & (row[i] != row[j])
-            yield pa.RecordBatch.from_arrays([pa.array(row[i[yes]]), pa.array(row[j[yes]]), pa.array(s[i[yes], j[yes]])], names=["a", "b", "s"])
+            keep, near = min(most, len(row)), s >= threshold
+            root = roots(len(row), *np.nonzero(near))
+            joined = row != row[root]
+            full = np.flatnonzero(near.sum(axis=1) >= keep)
+            a, b, like = [row[joined]], [row[root[joined]]], [np.full(joined.sum(), np.nan)]
+            for at, part in ((np.arange(len(row)), s), (full, np.where(near[full], -2, s[full]))):
+                top = np.argpartition(-part, keep - 1, axis=1)[:, :keep]
+                i, j = np.repeat(np.arange(len(at)), keep), top.ravel()
+                yes = (part[i, j] >= floor) & (row[at[i]] != row[j])
+                a, b, like = [*a, row[at[i[yes]]]], [*b, row[j[yes]]], [*like, part[i[yes], j[yes]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b)), pa.array(np.concatenate(like), from_pandas=True)], names=["a", "b", "s"])
 
     return run
 
 
-def compared(members: DataFrame, key: list[str], reps: DataFrame, most: int, floor: float, block: int) -> DataFrame:
-    """a, b, s: what rows of one key find of each other."""
+def compared(members: DataFrame, key: list[str], reps: DataFrame, most: int, floor: float, threshold: float, block: int) -> DataFrame:
+    """a, b, s, joined: what rows of one key find of each other."""
     dealt = blocked(members, key, block=block).select("k", "side", "row").join(reps.select("row", "v"), "row")
-    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_best(most, floor), "a long, b long, s double")
+    found = dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_best(most, floor, threshold), "a long, b long, s double")
+    return found.withColumn("joined", F.isnull("s"))
 
 
 def lists(edges: DataFrame, most: int, threshold: float) -> DataFrame:
-    """The best of each list: NEIGHBOURS, twice that for each time it is full of near vectors, most at last."""
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
-    best = edges.groupBy("a", "b").agg(F.max("s").alias("s")).withColumn("rank", rank).where(F.col("rank") <= most)
+    """The best of each list: NEIGHBOURS, twice that for each time it is full of near vectors, most at last, and then as
+    many of those below the threshold as if it held no others. What joins rows stays whole, with s null where it is not listed."""
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc_nulls_last("s"), "b"))
     near = F.count(F.when(F.col("s") >= threshold, 1)).over(Window.partitionBy("a"))
     size = F.lit(NEIGHBOURS)
     grown = NEIGHBOURS
     while grown < most:
-        size = F.when(near >= grown, min(most, 2 * grown)).otherwise(size)
+        size = F.when(F.col("near") >= grown, min(most, 2 * grown)).otherwise(size)
         grown *= 2
-    return best.withColumn("size", size).where(F.col("rank") <= F.col("size")).select("a", "b", "s")
+    best = edges.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("joined").alias("joined")).withColumn("rank", rank).withColumn("near", near)
+    lesser = (F.col("near") >= NEIGHBOURS) & (F.col("s") < threshold) & (F.col("rank") - F.col("near") <= NEIGHBOURS)
+    listed = F.col("s").isNotNull() & ((F.col("rank") <= size) | lesser)
+    return best.withColumn("s", F.when(listed, F.col("s"))).where(F.col("joined") | F.col("s").isNotNull()).select("a", "b", "s", "joined")
 
 
 def refine(edges: DataFrame, reps: DataFrame, *, threshold: float, floor: float, most: int, block: int, turns: int = TURNS) -> DataFrame:
@@ -146,9 +159,10 @@ def refine(edges: DataFrame, reps: DataFrame, *, threshold: float, floor: float,
     edges = cut(lists(edges, most, threshold))
     known = edges.agg(F.count("*"), F.sum("s")).first()
     for _ in range(turns):
-        both = edges.select(F.col("a").alias("pivot"), F.col("b").alias("row")).unionByName(edges.select(F.col("b").alias("pivot"), F.col("a").alias("row")))
+        listed = edges.where("s is not null")
+        both = listed.select(F.col("a").alias("pivot"), F.col("b").alias("row")).unionByName(listed.select(F.col("b").alias("pivot"), F.col("a").alias("row")))
         members = both.unionByName(both.select("pivot", F.col("pivot").alias("row"))).distinct()
-        edges = cut(lists(edges.unionByName(compared(members, ["pivot"], reps, NEIGHBOURS, floor, block)), most, threshold))
+        edges = cut(lists(edges.unionByName(compared(members, ["pivot"], reps, NEIGHBOURS, floor, threshold, block)), most, threshold))
         now = edges.agg(F.count("*"), F.sum("s")).first()
         if now[0] == known[0] and abs((now[1] or 0) - (known[1] or 0)) <= 1e-6 * max(1.0, now[1] or 0):
             break
@@ -171,12 +185,15 @@ def _counted(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _counts(members: DataFrame, key: str, reps: DataFrame, threshold: float, block: int) -> DataFrame:
+    dealt = blocked(members, [key], block=block).select("k", "side", "row").join(reps.select("row", "v", "copies"), "row")
+    return cut(dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_counted(threshold), "row long, links long, root long"))
+
+
 def counted(edges: DataFrame, reps: DataFrame, *, threshold: float, block: int) -> DataFrame:
     """row, links and root: exact counts inside the components of the links found."""
-    near = edges.where(F.col("s") >= threshold)
-    groups_ = components(near.select("a", "b")).withColumnRenamed("vertex", "row")
-    dealt = blocked(groups_, ["component"], block=block).select("k", "side", "row").join(reps.select("row", "v", "copies"), "row")
-    return cut(dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_counted(threshold), "row long, links long, root long"))
+    near = edges.where((F.col("s") >= threshold) | F.col("joined"))
+    return _counts(components(near.select("a", "b")).withColumnRenamed("vertex", "row"), "component", reps, threshold, block)
 
 
 def audit(reps: DataFrame, links: DataFrame, *, threshold: float, queries: int = QUERIES_AUDITED) -> float:
@@ -220,7 +237,7 @@ def near_embeddings(table: DataFrame, *, vec_id: str = "vec_id", embedding: str
         members = drawn[0]
         for d in drawn[1:]:
             members = members.unionByName(d)
-        fresh = compared(members, ["t", "label", "side"], reps, NEIGHBOURS, floor, block)
+        fresh = compared(members, ["t", "label", "side"], reps, NEIGHBOURS, floor, threshold, block)
         edges = refine(fresh if edges is None else edges.unionByName(fresh), reps, threshold=threshold, floor=floor, most=most, block=block)
         links = counted(edges, reps, threshold=threshold, block=block)
         if audit(reps, links, threshold=threshold) >= recall:
