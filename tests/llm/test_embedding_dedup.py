@@ -67,3 +67,31 @@ def test_links_between_tight_groups(spark):
     rows = [(i, x, 1) for i, x in enumerate(rows)]
     got = e.near_embeddings(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA).repartition(3)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)
+
+
+def scattered():
+    rng, rows = np.random.default_rng(4), []
+    for size in (200, *[2] * 8):
+        centre = rng.normal(size=16)
+        rows += [(centre + 0.06 * rng.normal(size=16)).astype(np.float32).tolist() for _ in range(size)]
+    return [(i, x, 1) for i, x in enumerate(rows)]
+
+
+def test_audit_sees_small_groups(spark):
+    rows = scattered()
+    want = {v: n for v, n, _ in brute(rows)}
+    frame = e.vectors(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA), "vec_id", "embedding", "label")
+    ids = {r.row: r.vec_id for r in frame.collect()}
+    reps = frame.selectExpr("row", "label", "v", "1L as copies")
+    large = spark.createDataFrame([(r, want[v], r) for r, v in ids.items() if v < 200 and want[v]], "row long, links long, root long")
+    assert sum(n for v, n in want.items() if v < 200) > 0.99 * sum(want.values())
+    assert e.audit(reps, large, threshold=0.98) < 0.97
+    every = spark.createDataFrame([(r, want[v], r) for r, v in ids.items() if want[v]], "row long, links long, root long")
+    assert e.audit(reps, every, threshold=0.98) == 1.0
+
+
+def test_short_recall_ends_with_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(e, "refine", lambda edges, reps, **_: edges.limit(0))
+    rows = scattered()
+    got = e.near_embeddings(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA), rounds=1).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)

@@ -5,12 +5,13 @@ bounded size. Then lists are refined again and again: the neighbours of each vec
 it and are compared, so neighbours of neighbours find each other. A list that is full of near vectors is saturated and
 grows twofold; those of lesser likeness keep places of their own in it. Lists only say who meets next: all near pairs of a
 meeting join their rows to components, whether a list has room for them or not, and links are counted exactly inside
-components, block by block. After that the recall is audited against brute force for a sample of queries; if it is
-short, more hyperplanes are drawn and refined.
+components, block by block. After that the recall is audited against brute force for sampled queries of each size of
+group; if it is short in any, more hyperplanes are drawn and refined, and at last all blocks of each label are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tracewright.llm._graph import components, roots
 from tracewright.llm._session import arrow_rows, cut
 
-THRESHOLD, FLOOR, NEIGHBOURS, MOST, TABLES, BITS, BLOCK, SEED = 0.98, 0.9, 8, 32, 4, 8, 256, 11
+THRESHOLD, FLOOR, NEIGHBOURS, MOST, TABLES, BITS, BLOCK, WIDE, SEED = 0.98, 0.9, 8, 32, 4, 8, 256, 1024, 11
 QUERIES_AUDITED, RECALL, ROUNDS, TURNS = 128, 0.97, 3, 4
 
 
@@ -196,29 +197,52 @@ def counted(edges: DataFrame, reps: DataFrame, *, threshold: float, block: int)
     return _counts(components(near.select("a", "b")).withColumnRenamed("vertex", "row"), "component", reps, threshold, block)
 
 
+def exact(reps: DataFrame, *, threshold: float, block: int = WIDE) -> DataFrame:
+    """row, links and root of all pairs of each label."""
+    return _counts(reps.select("row", "label"), "label", reps, threshold, block)
+
+
 def audit(reps: DataFrame, links: DataFrame, *, threshold: float, queries: int = QUERIES_AUDITED) -> float:
-    """Share of the links of a sample of vectors, against all vectors, that are found; the sample is that of smallest hash."""
-    sample = reps.orderBy(F.xxhash64("row", F.lit(SEED))).limit(queries).select("row", "label", "v").collect()
-    if not sample:
+    """The mean share of a vector's links, against all vectors, that are found: the least of all sizes of group.
+
+    About that many vectors of smallest hash, or the root of the table's length if that is more, are asked of each class
+    of links found; means are over the vectors of each class of true links. Classes double.
+    """
+    got = reps.join(links.groupBy("row").agg(F.sum("links").alias("links")), "row", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    got = got.withColumn("class", F.floor(F.log2(F.col("links") + 1)))
+    sizes = {r["class"]: r["count"] for r in got.groupBy("class").count().collect()}
+    if not sizes:
         return 1.0
-    shared = reps.sparkSession.sparkContext.broadcast([tuple(r) for r in sample])
+    queries = max(queries, math.ceil(math.sqrt(sum(sizes.values()))))
+    share = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, queries / n))))[F.col("class")]
+    asked = F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(1 << 30)) < share * (1 << 30)
+    sample = got.where(asked).select("row", "label", "v", "links").collect()
+    shared = reps.sparkSession.sparkContext.broadcast([(r["row"], r["label"], bytes(r["v"])) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = [(r, lab, np.frombuffer(v, np.float64)) for r, lab, v in shared.value]
-        total = {r: 0 for r, _, _ in wanted}
+        wanted: dict[tuple[str, int], list[tuple[int, bytes]]] = {}
+        for r, lab, v in shared.value:
+            wanted.setdefault((lab, len(v)), []).append((r, v))
+        sets = {k: (np.array([r for r, _ in q]), np.frombuffer(b"".join(v for _, v in q), np.float64).reshape(len(q), -1)) for k, q in wanted.items()}
+        total = {k: np.zeros(len(r), np.int64) for k, (r, _) in sets.items()}
         for batch in batches:
-            row, label, raw, copies = batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist(), object), batch.column(2).to_pylist(), batch.column(3).to_numpy()
-            size = np.array([len(x) for x in raw])
-            for r, lab, v in wanted:
-                at = np.flatnonzero((label == lab) & (size == v.nbytes) & (row != r))
-                if len(at):
-                    x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
-                    total[r] += int(copies[at][x @ v >= threshold].sum())
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], names=["row", "n"])
+            row, label, raw, copies = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
+            places: dict[tuple[str, int], list[int]] = {}
+            for i, (lab, v) in enumerate(zip(label, raw, strict=True)):
+                places.setdefault((lab, len(v)), []).append(i)
+            for k in places.keys() & sets.keys():
+                at, (r, q) = places[k], sets[k]
+                x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
+                total[k] += copies[at] @ ((x @ q.T >= threshold) & (row[at][:, None] != r[None, :]))
+        for k, (r, _) in sets.items():
+            yield pa.RecordBatch.from_arrays([pa.array(r[total[k] > 0]), pa.array(total[k][total[k] > 0])], names=["row", "n"])
 
-    true = reps.select("row", "label", "v", "copies").mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n"))
-    found = true.join(links.groupBy("row").agg(F.sum("links").alias("links")), "row", "left").agg(F.sum("n").alias("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0)))).alias("links")).first()
-    return found["links"] / found["n"] if found["n"] else 1.0
+    true = {r["row"]: r["n"] for r in reps.select("row", "label", "v", "copies").mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()}
+    shares: dict[int, list[float]] = {}
+    for r in sample:
+        if n := true.get(r["row"]):
+            shares.setdefault(int(math.log2(n + 1)), []).append(min(n, r["links"]) / n)
+    return min((sum(x) / len(x) for x in shares.values()), default=1.0)
 
 
 def near_embeddings(table: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, tables: int = TABLES, bits: int = BITS, most: int = MOST, block: int = BLOCK, recall: float = RECALL, rounds: int = ROUNDS) -> DataFrame:
@@ -226,7 +250,8 @@ def near_embeddings(table: DataFrame, *, vec_id: str = "vec_id", embedding: str
 
     Vectors of one label are linked if their cosine is threshold or more; vectors without label, null, zero, or with
     null or non-finite parts are linked with nothing. Identical vectors are compared once and counted. Vectors of
-    other lengths never meet. Repeated rows are linked with each other; other columns are not read.
+    other lengths never meet. Repeated rows are linked with each other; other columns are not read. If the audit still
+    finds too little after all rounds, all vectors of each label are compared.
     """
     rows = vectors(table, vec_id, embedding, label)
     classes = rows.where("v is not null").groupBy("c", "d").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
@@ -242,6 +267,8 @@ def near_embeddings(table: DataFrame, *, vec_id: str = "vec_id", embedding: str
         links = counted(edges, reps, threshold=threshold, block=block)
         if audit(reps, links, threshold=threshold) >= recall:
             break
+    else:
+        links = exact(reps, threshold=threshold)
     found = components(links.select(F.col("row").alias("a"), F.col("root").alias("b"))).withColumnRenamed("vertex", "row")
     totals = links.groupBy("row").agg(F.sum("links").alias("links"))
     info = classes.join(totals, "row", "left").join(found, "row", "left").select("c", "d", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "row").alias("component"))
