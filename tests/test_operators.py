@@ -181,6 +181,20 @@ def test_process_checks(spark):
     assert [(r.risk_score, r.findings, r.checks) for r in score.collect()] == [(100, 4, 3)]
 
 
+def test_only_registry_evidence_is_cut(spark):
+    line = "powershell -enc " + "QUJD" * 300 + " mimikatz"
+    frame = spark.createDataFrame([("h", 1, 0, "certutil.exe", line, "", "", 0)], "subject string, pid long, ppid long, name string, cmdline string, parent_name string, path string, child_count int")
+    assert {r.check_id: r.evidence for r in checks.process_findings(frame).collect()} == {"PT-003": line, "PT-007": "mimikatz"}
+    path = "/tmp/" + "a/" * 400 + "x"
+    memory = spark.createDataFrame([("h", 1, "x", "/x", "", 0, "", [f"7f-80 r-xp 0 fd:01 1 {path}"], True)], "subject string, pid long, comm string, exe string, cmdline string, ppid long, parent_comm string, maps array<string>, accessible boolean")
+    assert [(r.check_id, r.evidence) for r in checks.memory_findings(memory).collect()] == [("MA-003", path)]
+    host = "".join("abcdefghijklmnopqrstuvwxyz0123456789"[i % 36] for i in range(700))
+    connection = spark.createDataFrame([("h", 1, "p", "l", 1, "8.8.8.8", 443, "", "tcp", host)], "subject string, pid long, process_name string, local_addr string, local_port int, remote_addr string, remote_port int, state string, protocol string, hostname string")
+    assert [(r.check_id, r.evidence) for r in checks.connection_findings(connection).collect()] == [("NC-003", host)]
+    entry = spark.createDataFrame([("h", "appinit_dlls", None, None, "v" * 600, None, None, None, None, "k")], "subject string, kind string, hive string, name string, value string, path string, image_path string, image string, debugger string, key string")
+    assert [r.evidence for r in checks.registry_findings(entry).collect()] == ["v" * 512]
+
+
 def test_connection_checks(spark):
     def ids(*rows):
         return [c for c, _ in found(checks.connection_findings(spark.createDataFrame([("h", 1, "p", "l", lp, a, rp, s, "tcp", n) for lp, a, rp, s, n in rows], "subject string, pid long, process_name string, local_addr string, local_port int, remote_addr string, remote_port int, state string, protocol string, hostname string")))]

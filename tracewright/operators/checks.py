@@ -25,7 +25,7 @@ def low(column: str) -> Column:
 
 def _finding(check: str, when: Column, evidence: Column, severity: Column | None = None) -> Column:
     known, weight = T.CHECKS[check]
-    row = F.struct(F.lit(check).alias("check_id"), (F.lit(known) if severity is None else severity).alias("severity"), F.lit(weight).alias("weight"), F.substring(evidence.cast("string"), 1, 512).alias("evidence"))
+    row = F.struct(F.lit(check).alias("check_id"), (F.lit(known) if severity is None else severity).alias("severity"), F.lit(weight).alias("weight"), evidence.cast("string").alias("evidence"))
     return F.when(F.coalesce(when, F.lit(False)), row)
 
 
@@ -137,7 +137,7 @@ def registry_findings(entries: DataFrame, *, all_run: bool = False, all_services
     key = low("key")
     safe = F.create_map(*(F.lit(x) for p in T.WINLOGON_SAFE.items() for x in p))[key]
     hijack = safe.isNotNull() & ((safe == "") | (F.trim(F.lower(value)) != F.lower(safe)))
-    return _findings(entries, [
+    found = _findings(entries, [
         _finding("REG-P-001", (kind == "run_keys") & run, value, graded),
         _finding("REG-P-002", (kind == "run_services") & run, value, graded),
         _finding("REG-P-003", kind == "startup_files", F.col("path")),
@@ -146,6 +146,7 @@ def registry_findings(entries: DataFrame, *, all_run: bool = False, all_services
         _finding("REG-P-006", (kind == "appinit_dlls") & (value != ""), value),
         _finding("REG-P-007", (kind == "winlogon_entries") & hijack, value),
     ], F.lit(None).cast("long"), F.coalesce("name", "key"))
+    return found.withColumn("evidence", F.substring("evidence", 1, 512))
 
 
 def map_rows(snapshots: DataFrame) -> DataFrame:
