@@ -32,6 +32,13 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize(("name", "descending"), [("ordered_timeline", False), ("latest_events_first", True)])
+def test_whole_timeline_in_order(spark, name, descending):
+    got = [(r["at"], r["source"], r["action"]) for r in QUERIES[name][0](spark, SF).collect()]
+    assert len(got) == spark.read.parquet(f"{SF}/events.parquet").count() > 50
+    assert got == sorted(got, reverse=descending)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
