@@ -39,6 +39,12 @@ def test_whole_timeline_in_order(spark, name, descending):
     assert got == sorted(got, reverse=descending)
 
 
+def test_case_ids_are_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "case-2024-0001/x"), (2, "case-2024-0001\\x"), (3, " " * 12 + "case"), (4, "case-2024-0001"), (5, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.ok for r in QUERIES["valid_whole_case_ids"][0](spark, str(tmp_path)).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True, 5: False}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
