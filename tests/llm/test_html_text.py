@@ -30,6 +30,15 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+def test_text_beside_teasers():
+    teaser = "<article><h3><a href=q>The next story</a></h3><p>What is to come of it.</p></article>"
+    page = f"<div class=menu>Menu</div><div><h1>Title</h1><p>{LONG}</p><p>It was said by the council.</p><p>{LONG}</p></div>{teaser}{teaser}<p>Of the day</p><footer>{LONG}</footer>"
+    assert main_text(page).startswith(f"Title\n\n{LONG}\n\nIt was said by the council.\n\n{LONG}")
+    assert "Menu" not in main_text(page) and not main_text(page).endswith((LONG, "Of the day"))
+    many = "".join(f"<p>{LONG}</p>" for _ in range(5))
+    assert main_text(f"{many}<div class=post><p>Read on.</p></div>") == "\n\n".join([LONG] * 5 + ["Read on."])
+
+
 def test_broken_markup_ends():
     for page in ("<" * 20_000, "<a '" * 5_000, "<div>" * 20_000 + "x", "<!--" * 10_000, "</p>" * 10_000, "<script>" * 100, "&#xfffffff;&bogus;" * 100):
         main_text(f"<article>{page}")

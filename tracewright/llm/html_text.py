@@ -1,8 +1,10 @@
 """Main text of web pages by two passes of rules over blocks.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by what encloses them (menus, forms,
-adverts and the like are boilerplate, an article is text, and beside one nothing else is), by link density, length and stop-word density; short ones
-without a clear sign stay open. In the second pass open blocks take the label of their nearest decided neighbours; between two that differ, a sentence counts as text.
+adverts and the like are boilerplate), by link density, length and stop-word density; short ones without a clear sign
+stay open. An article, or what names itself content, shifts the thresholds: inside, only links speak against a block;
+beside one, a run of blocks has to be twice as long. In the second pass open blocks take the label of their nearest
+decided neighbours; between two that differ, a sentence counts as text. Beside an article, an article is no such neighbour.
 """
 
 from __future__ import annotations
@@ -136,7 +138,7 @@ def first_pass(text: str, linked: int, place: int, spoken: bool) -> int:
     if place < 0:
         return -1
     if place > 0:
-        return -1 if density > 0.9 and size < LONG else 1
+        return 1 if size >= LONG or density <= LINKS else -1 if density > 0.9 else 0
     if density > LINKS or "\N{COPYRIGHT SIGN}" in text:
         return -1
     if size < SHORT:
@@ -153,22 +155,36 @@ def main_text(page: str | None) -> str:
         return ""
     spoken = any(w in STOP_WORDS for text, *_ in found for w in text.lower().split())
     article = any(place > 0 for _, _, place, _ in found)
-    marks = [first_pass(text, linked, -1 if article and not place else place, spoken) for text, linked, place, _ in found]
+    marks = [first_pass(text, linked, place, spoken) for text, linked, place, _ in found]
+    beside = [article and not place for _, _, place, _ in found]
+    k = 0
+    while k < len(marks):
+        end = k + 1
+        if beside[k] and marks[k] >= 0:
+            while end < len(marks) and beside[end] and marks[end] >= 0:
+                end += 1
+            size = sum(len(found[i][0]) for i in range(k, end) if marks[i])
+            marks[k:end] = [m and (1 if size > 2 * LONG else 2) for m in marks[k:end]]
+        k = end
     known = [k for k, m in enumerate(marks) if m in (1, -1)]
     before, after, last = [0] * len(marks), [0] * len(marks), -1
     gap_b, gap_a = [0] * len(marks), [0] * len(marks)
+
+    def label(k: int, of: int) -> int:
+        return -1 if beside[k] and not beside[of] else marks[of]
+
     for k, m in enumerate(marks):
-        before[k], gap_b[k] = (marks[last], k - last) if last >= 0 else (-1, len(marks) + 1)
+        before[k], gap_b[k] = (label(k, last), k - last) if last >= 0 else (-1, len(marks) + 1)
         last = k if m in (1, -1) else last
     last = -1
     for k in range(len(marks) - 1, -1, -1):
-        after[k], gap_a[k] = (marks[last], last - k) if last >= 0 else (-1, len(marks) + 1)
+        after[k], gap_a[k] = (label(k, last), last - k) if last >= 0 else (-1, len(marks) + 1)
         last = k if marks[k] in (1, -1) else last
     out = []
     for k, (text, _, _, heading) in enumerate(found):
         m = marks[k]
         if m == 2:
-            m = 1 if not known or before[k] == 1 or after[k] == 1 else -1 if len(text) < LONG else 1
+            m = 1 if not known or before[k] == 1 or after[k] == 1 else -1 if len(text) < LONG or beside[k] else 1
         elif m == 0:
             m = after[k] if before[k] == after[k] or heading else before[k] if gap_b[k] < gap_a[k] else after[k] if gap_a[k] < gap_b[k] else 1 if text[-1] in ".!?" else -1
             m = 1 if not known and any(x == 2 for x in marks) else m
