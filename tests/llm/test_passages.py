@@ -62,7 +62,7 @@ def test_hashes_over_several_tiles():
 
 @pytest.mark.parametrize(("seed", "length", "k", "hot"), [(1, 60, 8, 1000), (2, 25, 4, 2), (3, 40, 16, 1)])
 def test_repeated_bytes(spark, monkeypatch, seed, length, k, hot):
-    monkeypatch.setattr(_passages, "HOT", hot)
+    monkeypatch.setattr(_passages, "CROWD", hot)
     docs = fixture(seed)
     got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeated_bytes(frame(spark, docs), length=length, k=k).collect()}
     want = suffix_dedup.brute_force([(t or "").encode() for _, t in docs], length)
@@ -71,7 +71,7 @@ def test_repeated_bytes(spark, monkeypatch, seed, length, k, hot):
 
 @pytest.mark.parametrize(("seed", "length", "k", "hot"), [(1, 12, 3, 1000), (2, 5, 2, 2), (3, 20, 5, 1)])
 def test_earlier_words(spark, monkeypatch, seed, length, k, hot):
-    monkeypatch.setattr(_passages, "HOT", hot)
+    monkeypatch.setattr(_passages, "CROWD", hot)
     docs = fixture(seed)
     got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.remove_earlier_words(frame(spark, docs), length=length, k=k).collect())
     assert got == substring_dedup.brute_force(docs, length)

@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
-TILE = 1 << 18
+TILE, PLACE_BITS, LONG_WORD = 1 << 18, 20, 256
 _MASK = (1 << 64) - 1
 #: Odd multipliers of the polynomial hashes: bytes of a word, words of a window, and a second one to confirm.
 BASE_BYTES, BASE_WORDS, BASE_CHECK = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -48,10 +50,10 @@ def lower_table() -> np.ndarray:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all rows and where each row begins; a null row has none."""
-    column = column.cast(pa.large_string())
+    """The bytes of all rows of texts or binaries and where each row begins; a null row has none."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     if not len(offsets):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -63,9 +65,9 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The rows again, in slices of about that many bytes of text, one row at least."""
     for batch in batches:
-        sizes = np.diff(text_bytes(batch.column(batch.schema.get_field_index(text)))[1])
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
         first, total = 0, 0
-        for k, n in enumerate(sizes.tolist()):
+        for k, n in enumerate(sizes.to_pylist()):
             if total and total + n > most:
                 yield batch.slice(first, k - first)
                 first, total = k, 0
@@ -142,7 +144,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE_BYTES) -> np.ndarray:
-    """A hash of each word; the sums are kept for a tile of bytes at a time."""
+    """A hash of each word; the sums are kept for a tile of bytes at a time.
+
+    Some long words agree under polynomials of every odd base, so that words of over LONG_WORD bytes are hashed otherwise.
+    """
     out = np.empty(len(starts), np.uint64)
     first = 0
     while first < len(starts):
@@ -151,18 +156,31 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
         prefix = Prefix(data[a : int(ends[last - 1])], base)
         out[first:last] = prefix.hashes(starts[first:last] - a, ends[first:last] - a)
         first = last
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[int(starts[k]) : int(ends[k])].tobytes(), base)
     return out
 
 
 def sliding_first_min(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of that many values, where its smallest stands; of equal ones the first."""
+    """For each window of that many values, where its smallest stands; of equal ones the first.
+
+    Values are compared by all but their lowest PLACE_BITS bits, where places stand meanwhile. Long arrays are taken in parts,
+    so that it is the same bits whatever surrounds a window.
+    """
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
     if width == 1:
         return np.arange(n)
-    bits = max(1, int(len(values)).bit_length())
-    low = np.uint64((1 << bits) - 1)
+    step = (1 << PLACE_BITS) - width
+    if step <= 0:
+        raise ValueError(f"windows of {width} values are too long")
+    return np.concatenate([_first_min(values[a : a + step + width - 1], width) + a for a in range(0, n, step)])
+
+
+def _first_min(values: np.ndarray, width: int) -> np.ndarray:
+    n = len(values) - width + 1
+    low = np.uint64((1 << PLACE_BITS) - 1)
     keys = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     padded = np.full(-(-len(keys) // width) * width, np.uint64(_MASK))
     padded[: len(keys)] = keys

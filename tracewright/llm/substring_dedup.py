@@ -6,7 +6,7 @@ document id that it ends in. All stretches of the shard are streamed through it
 window whose match is at least ``length`` words is removed from every document but the first that has it.
 
 Broadcasting automata of the whole reference has no size bound, so a shard's automaton goes only to the documents
-that share an anchor with it; windows under an anchor with too many different stretches are compared by hash.
+that share an anchor with it; where an anchor has too many different stretches, their windows get longer anchors.
 """
 
 from __future__ import annotations
@@ -82,25 +82,22 @@ class Automaton:
 def earlier_words(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, h, start, n: ranges of words of ``_passages.keyed`` documents that a document of smaller id has."""
     found = P.candidates(P.stretches(docs.where("doc_id is not null"), words=True, length=length, k=k), other_ids=True)
-    dealt, copied = P.content_of(found, docs, F.col("one.doc_id"), words=True, length=length)
 
     def shard(table: pa.Table) -> tuple:
         sequences = [np.frombuffer(x, np.uint64).tolist() for x in table.column("content").to_pylist()]
-        automaton = Automaton(sequences, table.column("extra").to_pylist())
+        mine = table.column("extra").to_pylist()
+        automaton = Automaton(sequences, mine)
         rows: list[tuple[int, int, int, int]] = []
         for i, sequence in enumerate(sequences):
             owners, a = automaton.first_owner(sequence, length), 0
             for b in range(1, len(owners) + 1):
                 if b == len(owners) or owners[b] != owners[a]:
-                    if owners[a] is not None:
+                    if owners[a] is not None and owners[a] < mine[i]:
                         rows.append((i, a, b - a, owners[a]))
                     a = b
-        return tuple(zip(*rows, strict=True))
+        return tuple(np.array(rows, np.int64).reshape(-1, 4).T)
 
-    def resolve(windows: DataFrame) -> DataFrame:
-        return windows.groupBy("w", "x").agg(F.min("extra").alias("found"))
-
-    marks = P.compared(dealt, shard, resolve, words=True, length=length, most=SHARD_BYTES).unionByName(copied).withColumnRenamed("extra", "low")
+    marks = P.marked(docs, found, F.col("doc_id"), shard, words=True, length=length, ks=P.grams(length, k), most=SHARD_BYTES).withColumnRenamed("extra", "low")
     return found.join(marks, ["anchor", "body"]).where(F.col("low") < F.col("doc_id")).select("doc_id", "h", (F.col("start") + F.col("a")).alias("start"), (F.col("m") + (length - 1)).alias("n"))
 
 

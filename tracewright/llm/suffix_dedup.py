@@ -4,7 +4,7 @@ Every ``length``-byte window is named after its anchor (``_passages``), so equal
 one, meet in one shard. A shard's distinct stretches are joined by separators and their suffix array is induced:
 suffixes are classified, leftmost-smaller substrings sorted and named, their order induced on all others. Permuted
 common prefixes then tell which windows have an equal neighbour. Stretches that are the same throughout are counted
-before and need no sorting; where an anchor has too many different ones for a shard, its windows are counted by hash.
+before and sorted once; where an anchor has too many different ones for a shard, their windows get longer anchors.
 Text is dealt by document id twice, to cut out the stretches and to remove what was found.
 """
 
@@ -43,20 +43,13 @@ def repeated_windows(parts: list[bytes], length: int) -> list[tuple[np.ndarray,
 def repeated_bytes(docs: DataFrame, *, length: int = LENGTH, k: int = K) -> DataFrame:
     """doc_id, h, start, n: ranges of bytes of ``_passages.keyed`` documents that a repeated window covers."""
     found = P.candidates(P.stretches(docs, words=False, length=length, k=k), other_ids=False)
-    dealt, copied = P.content_of(found, docs, F.col("copies"), words=False, length=length)
 
     def shard(table: pa.Table) -> tuple:
-        parts = table.column("content").to_pylist()
-        copies = table.column("extra").to_numpy()
-        whole = [(np.zeros(1, np.int64), np.array([len(x) - length + 1])) for x in parts]
-        each = [w if c > 1 else f for f, w, c in zip(repeated_windows(parts, length), whole, copies, strict=True)]
+        each = repeated_windows(table.column("content").to_pylist(), length)
         a, n = (np.concatenate(x) for x in zip(*each, strict=True))
-        return np.repeat(np.arange(len(parts)), [len(x) for x, _ in each]), a, n, np.ones(len(a), np.int64)
+        return np.repeat(np.arange(len(each)), [len(x) for x, _ in each]), a, n, np.zeros(len(a), np.int64)
 
-    def resolve(windows: DataFrame) -> DataFrame:
-        return windows.groupBy("w", "x").agg(F.sum("extra").alias("found")).where("found > 1")
-
-    marks = P.compared(dealt, shard, resolve, words=False, length=length, most=SHARD_BYTES).unionByName(copied)
+    marks = P.marked(docs, found, F.lit(0), shard, words=False, length=length, ks=P.grams(length, k), most=SHARD_BYTES)
     return found.select("doc_id", "h", "start", "anchor", "body").join(marks, ["anchor", "body"]).select("doc_id", "h", (F.col("start") + F.col("a")).alias("start"), (F.col("m") + (length - 1)).alias("n"))
 
 
