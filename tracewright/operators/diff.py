@@ -2,36 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["second", "source", "action_key", "actor", "target"]
 
 
+def _with_key(events: DataFrame) -> DataFrame:
+    return events.withColumn("second", F.date_trunc("second", "ts")).withColumn("action_key", F.lower(F.trim("action")))
+
+
 def keyed(events: DataFrame) -> DataFrame:
     """One row per key, the last in order of ingestion; the key's time is cut to seconds."""
-    rows = events.withColumn("second", F.date_trunc("second", "ts")).withColumn("action_key", F.lower(F.trim("action")))
     rest = [c for c in events.columns if c not in ("source", "actor", "target")]
-    return rows.groupBy(*KEY).agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*KEY, "r.*")
+    return _with_key(events).groupBy(*KEY).agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*KEY, "r.*")
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    out = F.lit(True)
-    for k in KEY:
-        out = out & a[k].eqNullSafe(b[k])
-    return out
+def compared(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The key and, of either timeline, the last row of that key (a, b; null where it has none), in one aggregation."""
+    rest = [c for c in before.columns if c not in ("source", "actor", "target")]
+    sides = [_with_key(x).select(*KEY, F.struct(*rest).alias("r"), F.lit(k).alias("side")) for k, x in enumerate((before, after))]
+    last = lambda k: F.max_by(F.when(F.col("side") == k, F.col("r")), F.when(F.col("side") == k, F.col("r.seq")))
+    return sides[0].unionByName(sides[1]).groupBy(*KEY).agg(last(0).alias("a"), last(1).alias("b"))
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of either timeline that the other lacks, with change = added or removed."""
-    a, b = keyed(before).alias("a"), keyed(after).alias("b")
-    added, removed = b.join(a, _same(b, a), "left_anti"), a.join(b, _same(a, b), "left_anti")
-    return added.withColumn("change", F.lit("added")).unionByName(removed.withColumn("change", F.lit("removed")))
+    one = compared(before, after).where(F.col("a").isNull() | F.col("b").isNull())
+    return one.select(*KEY, F.when(F.col("a").isNull(), "added").otherwise("removed").alias("change"), F.coalesce("a", "b").alias("r")).select(*KEY, "r.*", "change")
 
 
 def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
-    a, b = keyed(before), keyed(after)
-    return b.join(a, _same(b, a), "left_semi").agg(F.count("*").alias("unchanged"))
+    return compared(before, after).where(F.col("a").isNotNull() & F.col("b").isNotNull()).agg(F.count("*").alias("unchanged"))
 
 
 def deltas(before: DataFrame, after: DataFrame, column: str, values: list[str] | None = None) -> DataFrame:

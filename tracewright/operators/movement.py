@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import tables as T
 from tracewright.functions.scalar import capped
+from tracewright.operators.timeline import parted
 
 WINDOW_S, HOSTS = 3600, 3
 
@@ -38,21 +39,27 @@ def hops(events: DataFrame, *, blob: Column | None = None) -> DataFrame:
 def sequential(hops_: DataFrame, *, window_s: int = WINDOW_S) -> DataFrame:
     """Chains of at least two hops of an address to another host each, no more than the window apart.
 
-    Chains of three and more are MULTI_HOP_CHAIN. A hop without time stands last and never expires.
+    Chains of three and more are MULTI_HOP_CHAIN. A hop without time stands last and never expires. Hops are ordered
+    inside slots of one window's length, and slots only hand on their last hop, so that a busy address is not one task.
     """
-    w = Window.partitionBy("source_ip").orderBy(F.col("ts").asc_nulls_last(), "seq")
-    kept = hops_.withColumn("before", F.lag("target_host").over(w)).where(F.col("before").isNull() | (F.col("before") != F.col("target_host")))
-    us = F.unix_micros("ts")
-    apart = kept.withColumn("gap", us - F.lag(us).over(w)).withColumn("cut", F.when(F.col("gap") > window_s * 1_000_000, 1).otherwise(0))
-    chained = apart.withColumn("chain", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    hop = F.struct(F.col("ts").isNull().alias("late"), "ts", "seq", "target_host")
-    grouped = chained.groupBy("source_ip", "chain").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(hop)).alias("hops"), F.min(us).alias("start_us"), F.max(us).alias("end_us"), F.array_sort(F.collect_set("username")).alias("usernames")).where("n >= 2")
+    order, us = [F.col("ts").asc_nulls_last(), F.col("seq")], F.unix_micros("ts")
+    slot = F.coalesce(us - F.pmod(us, F.lit(window_s * 1_000_000)), F.lit((1 << 63) - 1))
+    rows = parted(hops_.withColumn("slot", slot), ["source_ip"], order, ["target_host"], part="slot").drop("nth")
+    kept = rows.where(F.col("before_target_host").isNull() | (F.col("before_target_host") != F.col("target_host"))).drop("before_target_host")
+    apart = parted(kept, ["source_ip"], order, ["ts"], part="slot")
+    chained = apart.withColumn("cut", F.when(us - F.unix_micros("before_ts") > window_s * 1_000_000, F.col("nth")).otherwise(0))
+    # a chain is named after its first hop, which is the last cut so far: inside slots, then over the cuts of slots
+    inside = chained.withColumn("chain", F.max("cut").over(Window.partitionBy("source_ip", "slot").orderBy("nth")))
+    slots = chained.groupBy("source_ip", "slot").agg(F.max("cut").alias("top")).withColumn("known", F.max("top").over(Window.partitionBy("source_ip").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))).drop("top")
+    named = inside.join(slots, ["source_ip", "slot"]).withColumn("chain", F.greatest("chain", F.coalesce("known", F.lit(0))))
+    hosts = named.groupBy("source_ip", "chain", "target_host").agg(F.count("*").alias("n"), F.min("nth").alias("nth"), F.collect_set("username").alias("usernames"), F.min(us).alias("start_us"), F.max(us).alias("end_us"))
+    grouped = hosts.groupBy("source_ip", "chain").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("nth", "target_host"))).alias("hosts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("usernames")))).alias("usernames"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).where("n >= 2")
     base = capped(0.4, 0.1, F.col("n"), 0.9)
     long = F.col("n") >= 3
     return grouped.select(
         "source_ip", F.when(long, "MULTI_HOP_CHAIN").otherwise("SEQUENTIAL_HOP").alias("pattern"), F.when(long, "CRITICAL").otherwise("HIGH").alias("severity"),
         F.round(F.when(long, F.least(F.lit(0.95), base + 0.1)).otherwise(base), 6).alias("confidence"), F.col("n").alias("hop_count"),
-        F.array_distinct(F.transform("hops", lambda h: h["target_host"])).alias("target_hosts"), "usernames", "start_us", "end_us",
+        F.transform("hosts", lambda h: h["target_host"]).alias("target_hosts"), "usernames", "start_us", "end_us",
     )
 
 

@@ -80,14 +80,14 @@ def longs(df):
 
 
 QUERIES = {
-    "brute_then_success": (lambda s, d: correlate.brute_then_success(ev(s, d), window_s=WEEK), f"{BRUTE} SELECT 'BRUTE_THEN_SUCCESS' pattern, 'CRITICAL' severity, round(least(0.95, 0.6 + 0.01 * n), 6) confidence, seq, source_ip, username, n + 1 event_count, start_us, us end_us FROM f WHERE r = 1"),
+    "brute_then_success": (lambda s, d: correlate.brute_then_success(ev(s, d), window_s=WEEK).drop("sources"), f"{BRUTE} SELECT 'BRUTE_THEN_SUCCESS' pattern, 'CRITICAL' severity, round(least(0.95, 0.6 + 0.01 * n), 6) confidence, seq, source_ip, username, n + 1 event_count, start_us, us end_us FROM f WHERE r = 1"),
     "brute_evidence": (lambda s, d: correlate.brute_evidence(e := ev(s, d), correlate.brute_then_success(e, window_s=WEEK), window_s=WEEK), f"{BRUTE} SELECT f.seq incident_seq, u.seq FROM f JOIN u ON u.source_ip = f.source_ip AND u.event_type = 'auth_fail' AND u.us BETWEEN f.us - {WEEK}000000 AND f.us WHERE r = 1"),
-    "spray_then_pivot": (lambda s, d: correlate.spray_then_pivot(ev(s, d), window_s=WEEK).drop("start_us"), f"""{E}, n AS (SELECT a.seq, a.us, a.source_ip, a.username, count(DISTINCT b.username) n FROM u a JOIN u b ON b.source_ip = a.source_ip AND b.event_type = 'auth_fail' AND b.us BETWEEN a.us - {WEEK}000000 AND a.us WHERE a.event_type = 'auth_success' GROUP BY ALL HAVING count(DISTINCT b.username) >= 5),
+    "spray_then_pivot": (lambda s, d: correlate.spray_then_pivot(ev(s, d), window_s=WEEK).drop("start_us", "sources"), f"""{E}, n AS (SELECT a.seq, a.us, a.source_ip, a.username, count(DISTINCT b.username) n FROM u a JOIN u b ON b.source_ip = a.source_ip AND b.event_type = 'auth_fail' AND b.us BETWEEN a.us - {WEEK}000000 AND a.us WHERE a.event_type = 'auth_success' GROUP BY ALL HAVING count(DISTINCT b.username) >= 5),
 f AS (SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY seq) r FROM n) SELECT 'SPRAY_THEN_PIVOT' pattern, 'CRITICAL' severity, round(least(0.9, 0.5 + 0.02 * n), 6) confidence, seq, source_ip, username, n + 1 event_count, us end_us FROM f WHERE r = 1"""),
-    "privilege_escalation": (lambda s, d: correlate.privilege_escalation(ev(s, d), window_s=DAY), _related(PRIV, "PRIVILEGE_ESCALATION", "HIGH", 0.8)),
-    "persistence": (lambda s, d: correlate.persistence(ev(s, d), window_s=DAY), _related(PERSIST, "PERSISTENCE", "HIGH", 0.75)),
-    "recon_then_exploit": (lambda s, d: correlate.recon_then_exploit(ev(s, d), window_s=WEEK), _related(RECON, "RECON_THEN_EXPLOIT", "CRITICAL", 0.85)),
-    "anomalous_time": (lambda s, d: correlate.anomalous_time(ev(s, d)), f"{E} SELECT 'ANOMALOUS_TIME' pattern, 'MEDIUM' severity, CAST(0.6 AS DOUBLE) confidence, seq, source_ip, username, CAST(1 AS BIGINT) event_count, us start_us, us end_us FROM u WHERE event_type = 'auth_success' AND hour(ts) NOT BETWEEN 7 AND 18"),
+    "privilege_escalation": (lambda s, d: correlate.privilege_escalation(ev(s, d), window_s=DAY).drop("sources"), _related(PRIV, "PRIVILEGE_ESCALATION", "HIGH", 0.8)),
+    "persistence": (lambda s, d: correlate.persistence(ev(s, d), window_s=DAY).drop("sources"), _related(PERSIST, "PERSISTENCE", "HIGH", 0.75)),
+    "recon_then_exploit": (lambda s, d: correlate.recon_then_exploit(ev(s, d), window_s=WEEK).drop("sources"), _related(RECON, "RECON_THEN_EXPLOIT", "CRITICAL", 0.85)),
+    "anomalous_time": (lambda s, d: correlate.anomalous_time(ev(s, d)).drop("sources"), f"{E} SELECT 'ANOMALOUS_TIME' pattern, 'MEDIUM' severity, CAST(0.6 AS DOUBLE) confidence, seq, source_ip, username, CAST(1 AS BIGINT) event_count, us start_us, us end_us FROM u WHERE event_type = 'auth_success' AND hour(ts) NOT BETWEEN 7 AND 18"),
     "incident_report": (lambda s, d: correlate.report(correlate.anomalous_time(e := ev(s, d)).unionByName(correlate.persistence(e, window_s=DAY))), f"""WITH i AS (SELECT * FROM ({_related(PERSIST, "PERSISTENCE", "HIGH", 0.75)}) UNION ALL SELECT 'ANOMALOUS_TIME', 'MEDIUM', 0.6, seq, source_ip, username, 1, epoch_us(ts), epoch_us(ts) FROM ({duck('corr_events')}) WHERE event_type = 'auth_success' AND hour(ts) NOT BETWEEN 7 AND 18)
 SELECT count(*) incidents, count(*) FILTER (severity = 'CRITICAL') critical, count(*) FILTER (severity = 'HIGH') high, CAST(sum(event_count) AS BIGINT) events, max(end_us - start_us) longest_us FROM i"""),
     "normalized_types": (lambda s, d: correlate.normalized(raw_rows(s, d), "events").groupBy("event_type", "username").agg(F.count("*").alias("n"), F.max(F.unix_micros("ts")).alias("last_us")), f"""
