@@ -1,7 +1,8 @@
 """Operators on small literal tables: boundaries, missing values, windows."""
 
 import random
-from datetime import datetime, timedelta
+import time
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,6 +86,44 @@ def test_privilege_recon_and_hours(spark):
     assert correlate.summary_line(every).where("summary like '[CRITICAL] RECON%'").count() == 1
 
 
+def test_a_busy_address_costs_no_more_than_its_rows(spark):
+    """200,000 events of one address and user within one window: neither frames nor pairs may grow with their square."""
+    kinds = F.array(*map(F.lit, ("auth_fail", "auth_success", "sudo", "user_add", "net_scan", "exploit")))
+    rows = spark.range(200_000).select(F.col("id").alias("seq"), F.timestamp_micros(F.lit(1_775_037_600_000_000) + F.col("id") * 1000).alias("ts"), F.lit("x").alias("source"), F.element_at(kinds, (F.col("id") % 6 + 1).cast("int")).alias("event_type"), F.lit("9.9.9.9").alias("source_ip"), F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("username"), F.lit("h").alias("hostname"))
+    began = time.time()
+    found = {r.pattern: r.n for r in correlate.correlate(rows).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    assert time.time() - began < 90
+    assert found["BRUTE_THEN_SUCCESS"] == found["SPRAY_THEN_PIVOT"] == found["RECON_THEN_EXPLOIT"] == 1
+    assert found["PRIVILEGE_ESCALATION"] == 7 and found["PERSISTENCE"] == 33_333
+    brute = correlate.brute_then_success(rows).collect()[0]
+    assert (brute.seq, brute.event_count, brute.start_us, brute.sources) == (25, 6, 1_775_037_600_000_000, ["x"])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_followers_of_each_head_are_the_first_three(spark, seed):
+    rng, w = random.Random(seed), 30
+    order = list(range(160))
+    rng.shuffle(order)
+    rows = [(s, rng.choice(["auth_success", "user_add"]), rng.choice(["a", "b", ""]), rng.choice(["u", "v", ""])) for s in (rng.randrange(300) for _ in order)]
+    frame = corr(spark, rows)
+    got = {r.seq: (r.event_count, r.end_us) for r in correlate.persistence(frame, window_s=w).collect()}
+    want = {}
+    for i, (s, t, ip, u) in enumerate(rows):
+        near = [x for j, (x, k, jp, ju) in enumerate(rows) if k == "user_add" and 0 <= x - s <= w and (ip and ip == jp or u and u == ju)][:3]
+        if t == "auth_success" and near:
+            want[i] = (len(near) + 1, int((BASE + timedelta(seconds=max(near))).replace(tzinfo=UTC).timestamp()) * 1_000_000)
+    assert got == want
+
+
+def test_bounds_are_times(spark):
+    rows = events(spark, [{"ts": at(24)}, {"ts": at(36)}, {"ts": None}])
+    assert timeline.between(rows, "2026-04-02", "2026-04-02T12:00:00+00:00").count() == 3
+    assert timeline.between(rows, "2026-04-02T01:00:00+01:00", "2026-04-02T11:59:59Z").count() == 2
+    for bad in (("2024-1-9", None), ("yesterday", None), ("2024-01-10", "2024-01-09")):
+        with pytest.raises(ValueError, match="ISO|after"):
+            timeline.between(rows, *bad)
+
+
 def test_types_are_inferred_in_order(spark):
     rows = [(1, "4624", "x"), (2, None, "Failed password for root"), (3, None, "New session opened"), (4, None, "cron job"), (5, None, "nothing"), (6, "odd", "windows_logon_failure")]
     got = spark.createDataFrame(rows, "i int, t string, m string").select("i", correlate.event_type(F.col("t"), F.col("m")).alias("k")).collect()

@@ -55,6 +55,11 @@ def with_parent_name(snapshots: DataFrame) -> DataFrame:
     return snapshots.drop("parent_comm").join(parents, ["subject", "ppid"], "left")
 
 
+def mixed_enough(name: Column) -> Column:
+    """Whether a text has so many letters that its entropy can exceed BITS at all; counted before the shares are."""
+    return F.size(F.array_distinct(F.split(name, ""))) > 2**BITS
+
+
 def process_findings(processes: DataFrame, *, children: int = CHILDREN) -> DataFrame:
     """subject, pid, name, cmdline, parent_name, path, child_count -> PT-001 to PT-007."""
     name, parent, line = low("name"), low("parent_name"), low("cmdline")
@@ -78,27 +83,25 @@ def connection_findings(connections: DataFrame, *, outbound: int = OUTBOUND, lis
     established = F.upper(text("state")) == "ESTABLISHED"
     rows = _findings(connections, [
         _finding("NC-001", one_of(port, T.SUSPICIOUS_PORTS), where),
-        _finding("NC-003", F.when(F.length(host) > HOSTNAME, entropy(host) > BITS).otherwise(False), host),
+        _finding("NC-003", F.when(F.length(host) > HOSTNAME, mixed_enough(host) & (entropy(host) > BITS)).otherwise(False), host),
         _finding("NC-004", one_of(port, T.MINING_PORTS), where),
         _finding("NC-005", one_of(port, T.TOR_PORTS), where),
         _finding("NC-007", established & one_of(port, T.ADMIN_PORTS) & internal(F.col("remote_addr")) & F.lit(lateral), where),
     ], F.col("pid"), F.col("process_name"))
-    return rows.unionByName(outbound_findings(connections, outbound=outbound)).unionByName(listener_findings(connections, listeners=listeners))
-
+    return rows.unionByName(process_totals(connections, outbound=outbound, listeners=listeners))
 
-def outbound_findings(connections: DataFrame, *, outbound: int = OUTBOUND) -> DataFrame:
-    n = connections.where(F.upper(text("state")) == "ESTABLISHED").groupBy("subject", "pid", "process_name").agg(F.count("*").alias("n"))
-    severity, weight = T.CHECKS["NC-002"]
-    return n.where(F.col("n") > outbound).select("subject", "pid", "process_name", F.lit("NC-002").alias("check_id"), F.lit(severity).alias("severity"), F.lit(weight).alias("weight"), F.concat(F.col("n").cast("string"), F.lit(" connections")).alias("evidence"))
 
-
-def listener_findings(connections: DataFrame, *, listeners: int = LISTENERS) -> DataFrame:
-    """Listening processes with many ports: the first ten are shown."""
-    n = connections.where(F.upper(text("state")) == "LISTEN").groupBy("subject", "pid", "process_name").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("local_port")).alias("ports"))
-    severity, weight = T.CHECKS["NC-006"]
+def process_totals(connections: DataFrame, *, outbound: int = OUTBOUND, listeners: int = LISTENERS) -> DataFrame:
+    """NC-002 and NC-006 in one aggregation: processes with many connections, and with many listening ports, the first ten shown."""
+    state = F.upper(text("state"))
+    listen = state == "LISTEN"
+    n = connections.where(state.isin("ESTABLISHED", "LISTEN")).groupBy("subject", "pid", "process_name").agg(F.count_if(~listen).alias("out"), F.count_if(listen).alias("listening"), F.array_sort(F.collect_set(F.when(listen, F.col("local_port")))).alias("ports"))
     more = F.when(F.size("ports") > 10, F.concat(F.lit(" (+"), (F.size("ports") - 10).cast("string"), F.lit(" more)"))).otherwise("")
     shown = F.concat(F.array_join(F.transform(F.slice("ports", 1, 10), lambda p: p.cast("string")), ", "), more)
-    return n.where(F.col("n") > listeners).select("subject", "pid", "process_name", F.lit("NC-006").alias("check_id"), F.lit(severity).alias("severity"), F.lit(weight).alias("weight"), shown.alias("evidence"))
+    return _findings(n, [
+        _finding("NC-002", F.col("out") > outbound, F.concat(F.col("out").cast("string"), F.lit(" connections"))),
+        _finding("NC-006", F.col("listening") > listeners, shown),
+    ], F.col("pid"), F.col("process_name"))
 
 
 def script_checks(scripts: DataFrame) -> DataFrame:

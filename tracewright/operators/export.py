@@ -13,6 +13,7 @@ from tracewright.functions.scalar import escape_cef_extension, escape_cef_header
 from tracewright.operators.records import attack_tags
 from tracewright.operators.timeline import between, equal_text
 
+#: A sentence of the output, and the keys that a host is looked for under.
 REASON = "No timeline events were observed between adjacent evidence entries."
 HOST_KEYS = ("target_host", "target_hostname", "hostname", "host", "computer", "destination_host")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The shapes of lines, which the log formats set.
 STAMP = r"^([A-Z][a-z]{2}\s+\d+\s+\d\d:\d\d:\d\d)\s+(\S+)\s+"
 SSH_FAILED = STAMP + r"sshd\[\d+\]:\s+Failed password for (?:invalid user )?(\S+) from (\S+)(?: port (\d+))?"
 SSH_ACCEPTED = STAMP + r"sshd\[\d+\]:\s+Accepted \S+ for (\S+) from (\S+)(?: port (\d+))?"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +32,24 @@ def exploded(records: DataFrame) -> DataFrame:
     return records.select("case_id", "collected_at", "platform", F.explode("observations").alias("key", "value")).where("value is not null")
 
 
-def read_snapshot(spark: SparkSession, path: str, schema: str, field: str = "processes") -> DataFrame:
-    """A table in Parquet or JSON lines, or JSON files of an object that holds the rows in a field."""
+def read_snapshot(spark: SparkSession, path: str, schema: str, field: str = "processes", *, lines: bool = False) -> DataFrame:
+    """A table in Parquet or JSON lines, or JSON files of an object that holds the rows in a field; with lines an object a line."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.schema(schema).parquet(path)
     inner = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in spark.createDataFrame([], schema).schema)
-    rows = spark.read.option("multiLine", True).schema(f"{schema}, {field} ARRAY<STRUCT<{inner}>>").json(path)
+    rows = spark.read.option("multiLine", not lines).schema(f"{schema}, {field} ARRAY<STRUCT<{inner}>>").json(path)
     return rows.select(F.explode(F.coalesce(field, F.array(F.struct(*(c for c in rows.columns if c != field))))).alias("r")).select("r.*")
 
 
-def evidence(spark: SparkSession, root: str, *, skip: str = "integrity_manifest.json") -> DataFrame:
-    """path (from the root) and sha256 of every file below it but the manifest."""
+def evidence(spark: SparkSession, root: str, *, skip: str = "integrity_manifest.json", most: int = 1 << 28) -> DataFrame:
+    """path (from the root) and sha256 of every file below it but the manifest.
+
+    A task holds one file at a time; files of over ``most`` bytes are refused by name before any is read.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    large = rows.where(F.col("length") > most).select("path", "length").head()
+    if large:
+        raise ValueError(f"{large['path']} has {large['length']} bytes; most={most} is what a task may hold")
     path = F.regexp_replace("path", "^[a-z]+:/+", "/")
-    return rows.withColumn("p", path).select(F.substr("p", F.lit(len(root.rstrip("/")) + 2)).alias("path"), F.sha2("content", 256).alias("sha256")).where(F.col("path") != skip)
+    below = F.lit(len(re.sub("^[a-z]+:/+", "/", root).rstrip("/")) + 2)
+    return rows.withColumn("p", path).select(F.substr("p", below).alias("path"), F.sha2("content", 256).alias("sha256")).where(F.col("path") != skip)
