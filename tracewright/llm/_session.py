@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.sources.shared import shared_dir, stored
+
+__all__ = ["arrow_rows", "cut", "plain", "shared_dir", "stored"]
+
 
 def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
     """Bounds what a Python worker holds at once; texts can be long, so batches stay short, and never grow again."""
@@ -16,21 +16,6 @@ def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, which all executors see.
-
-    Only on a local master may the setting be missing, as in tests; then the folder is one of this machine.
-    """
-    context = spark.sparkContext
-    top = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not top:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        top = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{context.applicationId}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a checkpoint that outlives any executor."""
     context = df.sparkSession.sparkContext
@@ -39,13 +24,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared folder as Parquet: like a checkpoint, but small, and read by columns."""
-    folder = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns that an operator reads, so that extra ones can't clash with its own."""
     return df.select(*(df[f"`{c}`"] for c in columns))
