@@ -55,7 +55,7 @@ def fixture(seed, group):
 @pytest.mark.parametrize(("seed", "group", "block"), [(1, 20, 192), (2, 60, 7)])
 def test_links_and_classes(spark, monkeypatch, seed, group, block):
     blocked = nd.blocked
-    monkeypatch.setattr(nd, "blocked", lambda df, key, size: blocked(df, key, size, block))
+    monkeypatch.setattr(nd, "blocked", lambda df, key, size, *_: blocked(df, key, size, block))
     docs = fixture(seed, group)
     frame = spark.createDataFrame([(i, t, 0, 0) for i, t in docs], "doc_id long, text string, row int, size int").repartition(3)
     got = {r.doc_id: (r.class_id, r.n_links) for r in nd.near_duplicates(frame).collect()}

@@ -5,9 +5,11 @@ once. Classes that agree in a band of MinHash values meet; their values are comp
 dropped as soon as the posterior probability (uniform prior) of similarity ``THRESHOLD`` falls below ``TOLERANCE``.
 All other pairs are verified on their whole shingle sets.
 
-Pairs never become rows. A class has a label, the smallest class that it meets in any band; a large bucket is dealt to
-blocks of about ``BLOCK`` classes and pairs of blocks. Pruning tells which labels a class has candidates under, and its
-text goes once to each such pair of labels, where all candidates of the pair are counted and linked in one task.
+Pairs never become rows. A bucket is named after its smallest class, and classes meet once under each such name, with
+their MinHash values, in pairs of blocks where the name has many; what meets under several names is compared under the
+smallest. Pruning tells which labels a class has candidates under, its own label being the smallest of its names. For
+verification a text goes to its label once and is written as its difference from the label's own shingles, exact and a
+few numbers long among near copies; only these go to pairs of blocks, where the sets are put together again.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
 from tracewright.llm._graph import components, roots
-from tracewright.llm._session import arrow_rows, cut
+from tracewright.llm._session import arrow_rows, cut, stored
 
 N, THRESHOLD, TOLERANCE = 5, 0.8, 1e-5
-BANDS, ROWS, STEP, BLOCK, SEED = 24, 4, 16, 192, 99
+BANDS, ROWS, STEP, BLOCK, WIDE, SEED = 24, 4, 16, 192, 512, 99
 HASHES = BANDS * ROWS
 SPACES = A.word_table(lower_ascii_words=False)
 MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,7 +154,7 @@ def described(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(c.view(np.int64)), pa.array(d.view(np.int64)), pa.array(words), pa.array([x.tobytes() for x in sigs], pa.binary())], names=["row", "doc_id", "h", "c", "d", "words", "sig"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.lower(t).alias("text"), F.xxhash64(t).alias("h"))
-    return cut(rows.mapInArrow(run, f"row long, doc_id {kind}, h long, c long, d long, words long, sig binary"))
+    return stored(rows.mapInArrow(run, f"row long, doc_id {kind}, h long, c long, d long, words long, sig binary"))
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,22 +172,40 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, HASHES)
 
 
+def _under_smaller(names: pa.Array, name: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs have a name in common that is smaller than the one they meet under here."""
+    values, bounds = names.flatten().to_numpy(), names.offsets.to_numpy()
+    count = np.diff(bounds)
+    most = int(count.max())
+    table = np.full((len(count), most), np.iinfo(np.int64).max)
+    row = np.repeat(np.arange(len(count)), count)
+    table[row, np.arange(len(values)) - np.repeat(bounds[:-1] - bounds[0], count)] = values
+    own = table < name[:, None]
+    some = own.any(1)
+    out = np.zeros(len(i), bool)
+    at = np.flatnonzero(some[i] & some[j])
+    for x in range(most if len(at) else 0):
+        for y in range(most):
+            out[at] |= own[i[at], x] & (table[i[at], x] == table[j[at], y])
+    return out
+
+
 def _met(steps: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Buckets in, (low, high, row) out: the pairs of labels under which a class has candidates."""
+    """Classes by name in, (low, high, row) out: the pairs of labels under which a class has candidates."""
+    key = ["name", "block_a", "block_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["bucket", "block_a", "block_b"], 1 << 23):
-            opens = np.flatnonzero(_opens(table, ["bucket", "block_a", "block_b"]))
-            sizes = np.diff(np.append(opens, table.num_rows))
+        for table in whole_groups(batches, key, 1 << 21):
+            opens = np.flatnonzero(_opens(table, key))
             sigs, side = _matrix(table.column("sig").combine_chunks()), table.column("side").to_numpy()
-            band, row, label = (table.column(x).to_numpy() for x in ("band", "row", "label"))
+            row, label, name = (table.column(x).to_numpy() for x in ("row", "label", "name"))
+            names = table.column("names").combine_chunks()
             found = [np.zeros((3, 0), np.int64)]
-            for i, j in pairs_of(sizes, side):
-                same = bands_equal(sigs, i, j)
-                new = same.any(1) & (same.argmax(1) == band[i])
-                i, j = i[new], j[new]
+            for i, j in pairs_of(np.diff(np.append(opens, table.num_rows)), side):
                 alive = candidates(sigs, i, j, steps)
                 i, j = i[alive], j[alive]
+                mine = bands_equal(sigs, i, j).any(1) & ~_under_smaller(names, name, i, j)
+                i, j = i[mine], j[mine]
                 low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
                 found.append(np.unique(np.concatenate([np.stack([low, high, row[i]]), np.stack([low, high, row[j]])], axis=1), axis=1))
             out = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -194,27 +214,61 @@ def _met(steps: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
-def _verified(n: int, threshold: float, steps: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Texts by pair of labels in, (row, links, root) out: documents linked with the class, and a link that joins it."""
+def _bases(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """row and text in, label and its ordered shingles out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in A.slices(batches, "text"):
+            s, bounds, *_ = shingles(batch.column(1), n)
+            sets = [np.unique(s[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["label", "base"])
+
+    return run
+
+
+def _differences(n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """row, label, copies, text and base in; out come, instead of the text, the places of the base that it lacks and what it has besides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in A.slices(batches, "text"):
+            s, bounds, *_ = shingles(batch.column(3), n)
+            missing, extra = [], []
+            for k in range(batch.num_rows):
+                own, base = np.unique(s[bounds[k] : bounds[k + 1]]), np.frombuffer(batch.column(4)[k].as_py(), np.uint64)
+                missing.append(np.flatnonzero(A.member(base, own) < 0).astype(np.int32).tobytes())
+                extra.append(own[A.member(own, base) < 0].tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(missing, pa.binary()), pa.array(extra, pa.binary())], names=["row", "label", "copies", "missing", "extra"])
+
+    return run
+
+
+def _verified(threshold: float, steps: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Differences by pair of labels in, and the labels' shingles (row null); (row, links, root) out: documents linked with the class, and a link that joins it."""
     key = ["low", "high", "block_a", "block_b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, key, 1 << 22):
-            opens = np.flatnonzero(_opens(table, key))
-            s, bounds, *_ = shingles(table.column("text").combine_chunks(), n)
-            sigs = signatures(s, bounds)
+        for table in whole_groups(batches, key, 1 << 19):
+            group = np.cumsum(_opens(table, key)) - 1
+            is_base = table.column("row").is_null().to_numpy()
+            known = {(g, x): np.frombuffer(b, np.uint64) for g, x, b in zip(group[is_base].tolist(), table.column("label").to_numpy()[is_base].tolist(), table.column("base").filter(pa.array(is_base)).to_pylist(), strict=True)}
+            table, group = table.filter(pa.array(~is_base)), group[~is_base]
+            if not table.num_rows:
+                continue
             side, row, label, copies, low, high = (table.column(x).to_numpy() for x in ("side", "row", "label", "copies", "low", "high"))
-            sets = [np.unique(s[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            sets = []
+            for g, x, missing, extra in zip(group.tolist(), label.tolist(), table.column("missing").to_pylist(), table.column("extra").to_pylist(), strict=True):
+                sets.append(np.sort(np.concatenate([np.delete(known[g, x], np.frombuffer(missing, np.int32)), np.frombuffer(extra, np.uint64)])))
             size = np.array([len(x) for x in sets])
+            sigs = signatures(np.concatenate(sets), np.append(0, np.cumsum(size)))
             links, joined = np.zeros(len(row), np.int64), [np.zeros((2, 0), np.int64)]
-            for i, j in pairs_of(np.diff(np.append(opens, len(row))), side):
+            for i, j in pairs_of(np.bincount(group)[np.unique(group)], side):
                 mine = (np.minimum(label[i], label[j]) == low[i]) & (np.maximum(label[i], label[j]) == high[i])
                 mine &= np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j])
                 i, j = i[mine], j[mine]
-                met = bands_equal(sigs, i, j).any(1)
-                i, j = i[met], j[met]
                 alive = candidates(sigs, i, j, steps)
                 i, j = i[alive], j[alive]
+                met = bands_equal(sigs, i, j).any(1)
+                i, j = i[met], j[met]
                 shared = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
                 yes = shared >= threshold * (size[i] + size[j] - shared) - 1e-9
                 i, j = i[yes], j[yes]
@@ -229,6 +283,24 @@ def _verified(n: int, threshold: float, steps: list[tuple[int, int]]) -> Callabl
     return run
 
 
+def _linked(docs: DataFrame, doc_id: str, text: str, known: DataFrame, met: DataFrame, repeated: bool, n: int, threshold: float, steps: list[tuple[int, int]]) -> DataFrame:
+    """row, links and root of the classes met, verified on their texts."""
+    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.lower(F.col(f"`{text}`")).alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h")).alias("t")
+    rows = met.select("row").unionByName(met.select(F.col("low").alias("row"))).unionByName(met.select(F.col("high").alias("row"))).distinct()
+    wanted = known.select("row", "doc_id", "h", "copies", "label").join(rows, "row", "left_semi").alias("k").hint("shuffle_hash")
+    held = texts.join(wanted, F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("t.h") == F.col("k.h"))).select("row", "label", "copies", "text")
+    held = stored(held.dropDuplicates(["row"]) if repeated else held)
+    bases = stored(held.where("row = label").select("row", "text").mapInArrow(_bases(n), "label long, base binary"))
+    kinds = "row long, label long, copies long, missing binary, extra binary"
+    apart = stored(held.join(bases, "label").select("row", "label", "copies", "text", "base").mapInArrow(_differences(n), kinds))
+    sizes = stored(met.groupBy("low", "high").agg(F.count("*").alias("size")))
+    dealt = blocked(met.join(sizes, ["low", "high"]), ["low", "high"], "size")
+    key = ["low", "high", "block_a", "block_b"]
+    ends = dealt.select(*key).distinct().withColumn("label", F.explode(F.array_distinct(F.array("low", "high")))).join(bases, "label")
+    rows = dealt.join(apart, "row").unionByName(ends, allowMissingColumns=True).select(*key, "side", "row", "label", "copies", "missing", "extra", "base")
+    return cut(rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verified(threshold, steps), "row long, links long, root long"))
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """Per document: doc_id, h, class_id (smallest doc_id reachable by links), n_links (documents linked with it), first.
 
@@ -239,23 +311,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     steps = least_matches(threshold, tolerance)
     rows = described(docs, doc_id, text, n)
     classes = rows.where("words > 0").groupBy("c", "d").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
+    classes = stored(classes)
     reps = rows.join(classes.select("row", "copies"), "row").select("row", "doc_id", "h", "copies", "sig")
     bands = reps.select("row", "sig").mapInArrow(_banded, "row long, band int, bucket long")
-    buckets = bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("row").alias("least")).where("size > 1")
-    members = cut(bands.join(buckets, "bucket"))
-    labels = members.groupBy("row").agg(F.min("least").alias("label"))
-    known = cut(reps.join(labels, "row"))
-    dealt = blocked(members.drop("least").join(known.select("row", "label", "sig"), "row"), ["bucket"], "size")
-    key = ["bucket", "block_a", "block_b"]
-    met = cut(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_met(steps), "low long, high long, row long").distinct())
-    sizes = met.groupBy("low", "high").agg(F.count("*").alias("size"))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.lower(F.col(f"`{text}`")).alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h")).alias("t")
-    wanted = known.join(met.select("row").distinct(), "row", "left_semi").drop("sig").alias("k").hint("shuffle_hash")
-    held = texts.join(wanted, F.col("t.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("t.h") == F.col("k.h"))).select("row", "label", "copies", "text")
-    held = held.dropDuplicates(["row"]) if _repeated(rows) else held
-    grouped = blocked(met.join(sizes, ["low", "high"]).join(held, "row"), ["low", "high"], "size")
-    key = ["low", "high", "block_a", "block_b"]
-    linked = cut(grouped.repartition(*key).sortWithinPartitions(*key).mapInArrow(_verified(n, threshold, steps), "row long, links long, root long"))
+    buckets = stored(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("row").alias("name")).where("size > 1").drop("size"))
+    members = stored(bands.join(buckets, "bucket").select("row", "name").distinct())
+    labels = members.groupBy("row").agg(F.array_sort(F.collect_set("name")).alias("names")).withColumn("label", F.get("names", F.lit(0)))
+    known = stored(reps.join(labels, "row"))
+    sizes = stored(members.groupBy("name").agg(F.count("*").alias("size")))
+    dealt = blocked(members.join(sizes, "name").join(known.select("row", "label", "names", "sig"), "row"), ["name"], "size", WIDE)
+    key = ["name", "block_a", "block_b"]
+    met = stored(dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_met(steps), "low long, high long, row long").distinct())
+    linked = _linked(docs, doc_id, text, known, met, _repeated(rows), n, threshold, steps)
     groups = components(linked.select(F.col("row").alias("a"), F.col("root").alias("b")))
     totals = linked.groupBy("row").agg(F.sum("links").alias("links"))
     info = classes.join(totals, "row", "left").join(groups.withColumnRenamed("vertex", "row"), "row", "left").select("c", "d", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "row").alias("component"))
