@@ -121,6 +121,20 @@ def test_decontaminate_against_every_window(spark, window, block_words):
                     hit |= set(range(a, a + len(g)))
                     names.add(name)
         assert got[i] == (len(w), len(hit), sorted(names))
+    left = decontaminate.clean(frame(spark, [*docs, (0, None)]), bench, window=window, k=3, block_words=block_words)
+    assert left.columns == ["doc_id", "text", "n", "start", "words"]
+    assert sorted(r.doc_id for r in left.collect()) == sorted([0, *(i for i, _ in docs if not got[i][1])])
+
+
+def test_decontaminate_long_texts_and_repeated_rows(spark):
+    """A text of several slices that ends in an item, and rows that come twice; broadcast and joined."""
+    item = " ".join(f"i{k}" for k in range(12))
+    text = "filler words " * 60_000 + item
+    bench = spark.createDataFrame([(1, item), (1, item), (2, "x " * 70)], "item_id long, text string")
+    docs = frame(spark, [(1, text), (1, text), (2, None), (3, "clean")])
+    for most in (1000, 10):
+        got = sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.decontaminate(docs, bench, block_words=most).collect())
+        assert got == [(1, 120_012, 12, ["1"]), (1, 120_012, 12, ["1"]), (2, 0, 0, []), (3, 1, 0, [])]
 
 
 def test_decontaminate_with_empty_benchmark(spark):

@@ -1,13 +1,13 @@
 """Benchmark decontamination by winnowing.
 
 Of every ``window - k + 1`` consecutive k-grams of words the one of smallest hash is a fingerprint, so each stretch
-of ``window`` words that a document shares with a benchmark item has a fingerprint in common with it. Documents are
-read once; their fingerprints are joined in the tasks with those of a broadcast block of the benchmark, and every
-hit is extended to all windows about it, which are compared by a hash of 128 bits.
+of ``window`` words that a document shares with a benchmark item has a fingerprint in common with it. Every hit is
+extended to all windows about it, which are compared by a hash of 128 bits. Items of fewer words than a window lie below
+what winnowing guarantees and are looked up whole.
 
-The benchmark is cut into pieces of bounded length and the pieces are dealt to blocks of ``block_words`` words at
-most, whatever the size of the benchmark; tasks hold one block at a time. Items of fewer words than a window lie
-below what winnowing guarantees and are looked up whole.
+The benchmark is hashed once, in pieces of bounded length, and its words are counted. Up to ``block_words`` of them, its
+tables are broadcast and the fingerprints are joined in the tasks that read the documents; beyond, the fingerprints of
+both sides are joined by Spark, and so are the windows about the hits.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
-from tracewright.llm._session import arrow_rows
+from tracewright.llm._session import arrow_rows, stored
 
 WINDOW, K, BLOCK_WORDS, PIECE = 10, 5, 2_000_000, 50_000
 
@@ -45,7 +46,8 @@ def item_words(items: DataFrame, item_id: str, text: str, window: int) -> DataFr
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["item", "n", "words", "one", "two"])
 
-    return items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null").mapInArrow(run, "item string, n long, words long, one binary, two binary")
+    rows = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).where("item is not null").distinct()
+    return stored(rows.mapInArrow(run, "item string, n long, words long, one binary, two binary"))
 
 
 def block_tables(rows: list, window: int, k: int) -> dict:
@@ -117,38 +119,128 @@ def hits(block: dict, one: np.ndarray, second: Callable[[], A.Prefix], first: np
     return np.concatenate(at) if at else empty, np.concatenate(size) if size else empty, sorted(pairs)
 
 
-def benchmark_blocks(items: DataFrame, item_id: str, item_text: str, window: int, k: int, block_words: int) -> list:
-    """Broadcasts of the tables of all blocks; each has about half of block_words words, whatever the benchmark's size."""
-    pieces = item_words(items, item_id, item_text, window)
-    total = pieces.agg(F.sum("words")).first()[0] or 0
-    count = max(1, -(-2 * total // block_words))
-    blocks = []
-    for b in range(count if total else 0):
-        part = block_tables(pieces.where(F.pmod(F.xxhash64("item", "one"), F.lit(count)) == b).collect(), window, k)
-        if part["names"]:
-            blocks.append(items.sparkSession.sparkContext.broadcast(part))
-    return blocks
+def searched(column: pa.Array, tables: dict, window: int, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
+    """First word of each row, which words are hit, and the pairs of row and item, of a slice."""
+    one, first, second = hashed(column)
+    if "sieve" not in tables:
+        tables["sieve"] = _sieve(tables["prints"])
+    at, size, pairs = hits(tables, one, second, first, window, k)
+    return first, A.covered(at, size, len(one)), pairs
 
 
-def searched(column: pa.Array, blocks: list, window: int, k: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
-    """First word of each row, which words are hit, and the pairs of row and item, of a slice."""
+def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[], A.Prefix]]:
+    """Hashes of all words, the first word of each row, and sums of their second hashes when asked for."""
     data, offsets = A.text_bytes(column)
     data = A.lower_table()[data]
     starts, ends, first = A.word_bounds(data, offsets, A.word_table(lower_ascii_words=True))
-    one = A.word_hashes(data, starts, ends)
-    second = functools.cache(lambda: A.Prefix(A.word_hashes(data, starts, ends, A.BASE_CHECK), A.BASE_CHECK))
-    at, size, pairs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-    for block in blocks:
-        tables = block.value
-        if "sieve" not in tables:
-            tables["sieve"] = _sieve(tables["prints"])
-        a, s, p = hits(tables, one, second, first, window, k)
-        at.append(a)
-        size.append(s)
-        pairs += p
-        if len(blocks) > 1:
-            vars(block).pop("_value", None)  # the worker reads it again from its disk for the next slice
-    return first, A.covered(np.concatenate(at), np.concatenate(size), len(one)), pairs
+    return A.word_hashes(data, starts, ends), first, functools.cache(lambda: A.Prefix(A.word_hashes(data, starts, ends, A.BASE_CHECK), A.BASE_CHECK))
+
+
+def item_windows(pieces: DataFrame, window: int, k: int) -> DataFrame:
+    """n (words), w and x (the window's hash) and items (all that have it), and whether w is that of a fingerprint (n = 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, n, one, two in zip(*(batch.column(c).to_pylist() for c in ("item", "n", "one", "two")), strict=True):
+                one, size = A.Prefix(np.frombuffer(one, np.uint64), A.BASE_WORDS), min(window, n)
+                w, x = one.all(size), A.Prefix(np.frombuffer(two, np.uint64), A.BASE_CHECK).all(size)
+                sizes = np.full(len(w), size)
+                if n >= window:
+                    grams = one.all(k)
+                    prints = np.unique(grams[A.sliding_first_min(grams, window - k + 1)])
+                    w, x, sizes = np.append(w, prints), np.append(x, np.zeros(len(prints), np.uint64)), np.append(sizes, np.zeros(len(prints), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32)), pa.array(w.view(np.int64)), pa.array(x.view(np.int64)), pa.array([item if s else None for s in sizes.tolist()], pa.string())], names=["n", "w", "x", "item"])
+
+    rows = pieces.mapInArrow(run, "n int, w long, x long, item string")
+    return stored(rows.groupBy("n", "w", "x").agg(F.collect_set("item").alias("items")))
+
+
+def text_key(text: Column) -> list[Column]:
+    """Two hashes of a text: rows of one text are searched once."""
+    return [F.xxhash64(text).alias("c"), F.hash(text).alias("d")]
+
+
+def joined(docs: DataFrame, text: str, pieces: DataFrame, window: int, k: int) -> DataFrame:
+    """c, d, items and cuts (start, n) of the texts hit, for a benchmark of any size: joins on fingerprints, then on windows."""
+    arrow_rows(docs.sparkSession)
+    known = item_windows(pieces, window, k)
+    t = F.col(f"`{text}`")
+    texts = docs.where(t.isNotNull()).select(*text_key(t), t.alias("text"))
+    shorter = sorted(r["n"] for r in known.where(F.col("n").between(1, window - 1)).select("n").distinct().collect())
+    places = {r["p"] for r in known.where(F.col("n").between(1, window - 1)).select(F.shiftrightunsigned("w", 44).alias("p")).distinct().collect()}
+    sieve = np.zeros(1 << 20, bool)
+    sieve[list(places)] = True
+    kinds = "c long, d int, start int, count int, n int, w long, x long"
+
+    def rows(batch: pa.RecordBatch, row, start, count, n, w, x) -> pa.RecordBatch:
+        take = pa.array(row)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(count, pa.int32()), pa.array(np.full(len(row), n), pa.int32()), pa.array(w.view(np.int64)), pa.array(x.view(np.int64))], names=["c", "d", "start", "count", "n", "w", "x"])
+
+    def whole(first: np.ndarray, length: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begins of windows that lie within a row, and those rows."""
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        at = np.arange(max(0, total - length + 1))
+        at = at[at + length <= first[1:][row[at]]]
+        return at, row[at]
+
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each fingerprint, with the windows that have it; and all windows of a short item's length that the sieve lets pass."""
+        for batch in A.slices(batches, "text"):
+            one, first, second = hashed(batch.column(2))
+            prefix = A.Prefix(one, A.BASE_WORDS)
+            at, row = whole(first, window, len(one))
+            if len(at):
+                grams = prefix.all(k)
+                chosen = A.sliding_first_min(grams, window - k + 1)[at]
+                begins = np.flatnonzero(np.append(True, (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])))
+                count = np.diff(np.append(begins, len(at)))
+                start = at[begins] - first[row[begins]]
+                yield rows(batch, row[begins], start, count, 0, grams[chosen[begins]], np.zeros(len(begins), np.uint64))
+            for n in shorter:
+                at, row = whole(first, n, len(one))
+                w = prefix.hashes(at, at + n)
+                some = sieve[(w >> np.uint64(44)).astype(np.int64)]
+                at, row, w = at[some], row[some], w[some]
+                if len(at):
+                    yield rows(batch, row, at - first[row], np.ones(len(at), np.int64), n, w, second().hashes(at, at + n))
+
+    found = texts.mapInArrow(printed, kinds)
+    short = found.where("n > 0")
+    near = found.where("n = 0").join(known.where("n = 0").select("w"), "w", "left_semi").groupBy("c", "d").agg(F.collect_set(F.struct("start", "count")).alias("cuts")).hint("shuffle_hash")
+
+    def extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows about the hits."""
+        for batch in A.slices(batches, "text"):
+            one, first, second = hashed(batch.column(2))
+            cuts = batch.column(3)
+            flat = cuts.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(cuts.offsets.to_numpy()))
+            start, count = flat.field("start").to_numpy(), flat.field("count").to_numpy()
+            at, row = A.spread(first[row] + start, count.astype(np.int64)), np.repeat(row, count)
+            yield rows(batch, row, at - first[row], np.ones(len(at), np.int64), window, A.Prefix(one, A.BASE_WORDS).hashes(at, at + window), second().hashes(at, at + window))
+
+    long = texts.dropDuplicates(["c", "d"]).join(near, ["c", "d"]).select("c", "d", "text", "cuts").mapInArrow(extended, kinds)
+    hit = long.unionByName(short).join(known.where("n > 0"), ["n", "w", "x"])
+    return hit.groupBy("c", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.collect_set(F.struct("start", "n")).alias("cuts"))
+
+
+def _benchmark(items: DataFrame, item_id: str, item_text: str, window: int, k: int, block_words: int) -> tuple[DataFrame, dict | None]:
+    """The pieces of the benchmark and, where they have no more than block_words words, their tables."""
+    pieces = item_words(items, item_id, item_text, window)
+    total = pieces.agg(F.sum("words")).first()[0] or 0
+    return pieces, block_tables(pieces.collect(), window, k) if total <= block_words else None
+
+
+def _answer(batch: pa.RecordBatch, first: np.ndarray, hit: np.ndarray, items: list) -> pa.RecordBatch:
+    n_hit, spans = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+    if hit.any():
+        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        np.add.at(n_hit, row[hit], 1)
+        for r in np.flatnonzero(n_hit).tolist():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[r] : first[r + 1]].view(np.int8), [0]])))
+            spans[r] = [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(n_hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -158,39 +250,49 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     nothing; an empty benchmark leaves all documents clean. Other columns of either table are not read.
     """
     arrow_rows(docs.sparkSession)
-    blocks = benchmark_blocks(items, item_id, item_text, window, k, block_words)
+    pieces, tables = _benchmark(items, item_id, item_text, window, k, block_words)
+    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    kinds = f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+    if tables is None:
+        found = joined(docs, text, pieces, window, k)
+
+        def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in A.slices(batches, "text"):
+                one, first, _ = hashed(batch.column(1))
+                cuts = batch.column(2)
+                flat = cuts.flatten()
+                row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(cuts), 0).to_numpy())
+                hit = A.covered(first[row] + flat.field("start").to_numpy(), flat.field("n").to_numpy().astype(np.int64), len(one))
+                yield _answer(batch, first, hit, [x or [] for x in batch.column(3).to_pylist()])
+
+        keyed = narrow.select("doc_id", "text", *text_key(F.col("text")))
+        return keyed.join(found, ["c", "d"], "left").select("doc_id", "text", "cuts", "items").mapInArrow(told, kinds)
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "text"):
-            first, hit, pairs = searched(batch.column(1), blocks, window, k)
+            first, hit, pairs = searched(batch.column(1), shared.value, window, k)
             names: dict[int, set] = {}
             for r, name in pairs:
                 names.setdefault(r, set()).add(name)
-            n_hit, spans = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
-            if hit.any():
-                row = np.repeat(np.arange(batch.num_rows), np.diff(first))
-                np.add.at(n_hit, row[hit], 1)
-                for r in np.flatnonzero(n_hit).tolist():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[r] : first[r + 1]].view(np.int8), [0]])))
-                    spans[r] = [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(first)), pa.array(n_hit), pa.array([sorted(names.get(r, ())) for r in range(batch.num_rows)], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=["doc_id", "n_words", "n_hit", "items", "spans"],
-            )
+            yield _answer(batch, first, hit, [sorted(names.get(r, ())) for r in range(batch.num_rows)])
 
-    narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    kind = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>")
+    return narrow.mapInArrow(run, kinds)
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows, all columns, none of whose words is hit; decided row by row, in one pass."""
+    """The rows, all columns, none of whose words is hit."""
     arrow_rows(docs.sparkSession)
-    blocks = benchmark_blocks(items, item_id, item_text, window, k, block_words)
+    pieces, tables = _benchmark(items, item_id, item_text, window, k, block_words)
+    if tables is None:
+        t, found = F.col(f"d.`{text}`"), joined(docs, text, pieces, window, k).select("c", "d").alias("f")
+        return docs.alias("d").join(found, (F.xxhash64(t) == F.col("f.c")) & (F.hash(t) == F.col("f.d")), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, text):
-            first, hit, _ = searched(batch.column(batch.schema.get_field_index(text)), blocks, window, k)
+            first, hit, _ = searched(batch.column(batch.schema.get_field_index(text)), shared.value, window, k)
             total = np.append(0, np.cumsum(hit))
             yield batch.filter(pa.array(total[first[1:]] == total[first[:-1]]))
 
