@@ -1,9 +1,12 @@
 """Pages with known main text."""
 
 import re
+from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 
+from tracewright.llm import html_text
 from tracewright.llm.html_text import extract, main_text, op6_main_text
 
 LONG = "The story of the day is that the council has voted for the new bridge, and it was not close at all in the end, which is what many of the people in the town had hoped for since the old bridge was shut in the spring of last year."
@@ -59,3 +62,20 @@ def test_articles_of_the_test_table(spark):
         article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", p))).split()) for p in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+
+
+def test_blocks_decide_without_tags_and_names():
+    """The given pages with all structural tags made div and names removed, against what their tags say."""
+    tags = re.compile(r"<(/?)(article|nav|header|footer|aside|main|section|form|figure|dialog|menu)\b", re.I)
+    names = re.compile(r"""\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+    both = wanted = given = 0
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist():
+        want, got = (Counter(x for x in html_text.main_text(p).split("\n\n") if x) for p in (page, names.sub("", tags.sub(r"<\1div", page))))
+        both, wanted, given = both + (want & got).total(), wanted + want.total(), given + got.total()
+    assert both >= 0.9 * wanted and both >= 0.95 * given
+
+
+def test_pages_of_many_megabytes():
+    text = "The text of the article is of a length that is known to all of us. " * 20
+    page = f"<div><a href=x>home</a></div><article>{f'<p>{text}</p>' * 4000}</article><footer>end</footer>"
+    assert html_text.main_text(page) == "\n\n".join([text.strip()] * 4000)

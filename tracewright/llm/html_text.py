@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by what encloses them (menus, forms,
 adverts and the like are boilerplate), by link density, length and stop-word density; short ones without a clear sign
-stay open. An article, or what names itself content, shifts the thresholds: inside, only links speak against a block;
-beside one, a run of blocks has to be twice as long. In the second pass open blocks take the label of their nearest
+stay open. A run of blocks that are nearly text is text if it is long together. An article, or what names itself content,
+shifts the thresholds: inside, only links speak against a block; beside one, nothing but a long run is text. In the second pass open blocks take the label of their nearest
 decided neighbours; between two that differ, a sentence counts as text. Beside an article, an article is no such neighbour.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +35,7 @@ OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article articlebody content entry main maincontent post story".split())
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising alert alerts announcement announcements banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+MARKS = string.punctuation + "«»“”„‘’…¿¡–—"
 LINKS, SHORT, LONG, FEW, MANY = 0.33, 70, 200, 0.15, 0.30
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
@@ -144,8 +146,8 @@ def first_pass(text: str, linked: int, place: int, spoken: bool) -> int:
     if size < SHORT:
         return -1 if linked else 0
     words = text.lower().split()
-    stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words) if spoken else MANY
-    return (1 if size > LONG else 2) if stop >= MANY else 2 if stop >= FEW else -1
+    stop = sum(w.strip(MARKS) in STOP_WORDS for w in words) / len(words) if spoken else MANY
+    return (1 if size > LONG else 2) if stop >= MANY else 2 if stop >= FEW else -1 if size > LONG else 0
 
 
 def main_text(page: str | None) -> str:
@@ -153,18 +155,21 @@ def main_text(page: str | None) -> str:
     found = list(blocks(page or ""))
     if not found:
         return ""
-    spoken = any(w in STOP_WORDS for text, *_ in found for w in text.lower().split())
+    spoken = any(w.strip(MARKS) in STOP_WORDS for text, *_ in found for w in text.lower().split())
     article = any(place > 0 for _, _, place, _ in found)
     marks = [first_pass(text, linked, place, spoken) for text, linked, place, _ in found]
     beside = [article and not place for _, _, place, _ in found]
     k = 0
     while k < len(marks):
         end = k + 1
-        if beside[k] and marks[k] >= 0:
-            while end < len(marks) and beside[end] and marks[end] >= 0:
+        if found[k][2] == 0 and marks[k] >= 0:
+            while end < len(marks) and found[end][2] == 0 and marks[end] >= 0:
                 end += 1
             size = sum(len(found[i][0]) for i in range(k, end) if marks[i])
-            marks[k:end] = [m and (1 if size > 2 * LONG else 2) for m in marks[k:end]]
+            if size > 2 * LONG:
+                marks[k:end] = [m and 1 for m in marks[k:end]]
+            elif beside[k]:
+                marks[k:end] = [m and 2 for m in marks[k:end]]
         k = end
     known = [k for k, m in enumerate(marks) if m in (1, -1)]
     before, after, last = [0] * len(marks), [0] * len(marks), -1
