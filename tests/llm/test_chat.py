@@ -1,3 +1,9 @@
+"""Quotes, links and paths; and links against loops."""
+
+import random
+
+import pytest
+
 from tracewright.llm import chat
 
 
@@ -40,3 +46,59 @@ def test_query_keeps_messages_without_quotes(spark):
     rows = {(r.conv_id, r.turn): " ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
     got = {(r.conv_id, r.turn): r for r in chat.op9_chat(spark, sf).collect()}
     assert {k: " ".join(r.text.split()) for k, r in got.items()} == rows and all(r.path == str(r.turn) for r in got.values())
+
+
+def normal(text):
+    return " ".join("".join(c if c.isalnum() else " " for c in text.lower()).split())
+
+
+def passages(text):
+    """(level, text) of the runs of lines of one quote level; a blank line ends a run as well."""
+    out, blank = [], True
+    for line in (text or "").split("\n"):
+        level = 0
+        while line.lstrip(" \t").startswith(">"):
+            level, line = level + 1, line.lstrip(" \t")[1:]
+        line = line.strip(" ")
+        if not out or out[-1][0] != level or (blank and line):
+            out.append([level, []])
+        out[-1][1].append(line)
+        blank = not line
+    return [(level, normal("\n".join(lines))) for level, lines in out if normal("\n".join(lines))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_against_loops(spark, seed):
+    """Conversations of messages that quote each other, other conversations, and nothing known; turns beyond one part."""
+    rng = random.Random(seed)
+    words = lambda: " ".join(rng.choice("alpha beta gamma delta eps".split()) for _ in range(rng.randint(1, 3)))
+    rows = []
+    for conv in range(25):
+        for k in range(rng.randint(1, 12)):
+            body = []
+            for _ in range(rng.randint(0, 2)):
+                _, _, _, other = rng.choice(rows) if rows and rng.random() < 0.8 else (0, 0, "", words())
+                body.append("\n".join(rng.choice(["> ", ">", ">> "]) + x for x in (other or "").split("\n")))
+            rows.append((conv, rng.choice([k, 1000 * k]), "user", "\n\n".join([*body, words()])))
+    rows += [(None, 1, "user", "> alpha"), (3, None, "user", "> alpha beta"), (4, 2, "user", None), rows[5], rows[5]]
+    known = [(c, t, passages(x)) for c, t, _, x in rows]
+    want = []
+    for i, (conv, turn, mine) in enumerate(known):
+        found, parents = 0, []
+        for k, (level, text) in enumerate(mine):
+            if level:
+                sources = [(c is not None, c or 0, t is not None, t or 0, j) for j, (c, t, ps) in enumerate(known) if (0, text) in ps]
+                parent = max((t for c, t, ps in known if conv is not None and turn is not None and c == conv and t is not None and t < turn and (0, text) in ps), default=None)
+                first = min(sources, default=None)
+                tie = first and any(s[:4] == first[:4] and s[4] != first[4] for s in sources)
+                found += parent is not None or (first is not None and (first[4] != i or bool(tie)))
+                parents += [(level, k, parent)] if parent is not None else []
+        want.append((conv, turn, sum(level > 0 for level, _ in mine), found, min(parents)[2] if parents else None))
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = [(r.conv_id, r.turn, r.n_quotes, r.n_found, r.parent_turn) for r in chat.link(frame).collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sum(r[4] is not None for r in want) > 20
+    unsure = {(c, t) for c, t, *_ in want if [x[:2] for x in want].count((c, t)) > 1}
+    clear = lambda rs: sorted((r for r in rs if r[:2] not in unsure), key=key)
+    assert clear(got) == clear(want)
+    assert sorted(((r[0], r[1], r[2], r[4]) for r in got), key=key) == sorted(((r[0], r[1], r[2], r[4]) for r in want), key=key)

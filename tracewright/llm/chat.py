@@ -8,10 +8,10 @@ without quotes, replies under what they reply to.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm._session import cut
+from tracewright.llm._session import cut, stored
 
 MARKS = r"^(?:[ \t]*>)++"
 ATTRIBUTION = r"^(?:on|le|am|el)\b.{0,200}\b(?:wrote|écrit|schrieb|escribió)\s?:\s*$"
@@ -40,6 +40,24 @@ def _exploded(messages: DataFrame) -> DataFrame:
     return cutted.select("row", F.posexplode(F.filter(runs, lambda r: r["text"] != "")).alias("passage", "p")).select("row", "passage", "p.level", "p.text")
 
 
+def _with_parent(quoted: DataFrame, own: DataFrame, *, part: int = 1024) -> DataFrame:
+    """Quoted passages with the latest earlier turn of their conversation that has the passage as its own (parent).
+
+    Turns are looked up inside parts of a conversation, and parts only hand on their last turn, so that a passage that
+    comes again and again in one conversation is not one task.
+    """
+    keys = ["hash", "conv_id", "part"]
+    placed = lambda df: df.where("conv_id is not null and turn is not null").withColumn("part", F.floor(F.col("turn") / part))
+    both = placed(quoted).withColumn("has", F.lit(None).cast(dict(own.dtypes)["turn"])).unionByName(placed(own).select("hash", "conv_id", "part", "turn", F.col("turn").alias("has")), allowMissingColumns=True)
+    earlier = Window.partitionBy(*keys).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    inside = both.withColumn("near", F.max("has").over(earlier)).where("row is not null")
+    last = placed(own).groupBy(*keys).agg(F.max("turn").alias("last")).unionByName(placed(quoted).select(*keys).distinct(), allowMissingColumns=True).groupBy(*keys).agg(F.max("last").alias("last"))
+    before = last.withColumn("far", F.max("last").over(Window.partitionBy("hash", "conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).drop("last")
+    found = inside.join(stored(before.where("far is not null")), keys, "left").withColumn("parent", F.coalesce("near", "far"))
+    none = quoted.where("conv_id is null or turn is null").withColumn("parent", F.lit(None).cast(dict(own.dtypes)["turn"]))
+    return found.select(*quoted.columns, "parent").unionByName(none)
+
+
 def link(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Per message: conv_id, turn, role, text (without quotes), n_quotes, n_found, parent_turn, source_conv, source_turn, path.
 
@@ -48,7 +66,7 @@ def link(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     message anywhere that has it. ``path`` (array of turns) orders a conversation: a reply stands under its parent.
 
     A null text is an empty message without quotes. Quotes of nothing known are removed all the same. Passages that
-    many messages share are summed up by hash before they are joined. Repeated rows of one turn are each a message;
+    many messages share are summed up by hash before they are joined. Turns are numbers. Repeated rows of one turn are each a message;
     a message without conversation or turn has no parent. Other columns are not read.
     """
     kept = cut(conversations.select(F.col(f"`{conv_id}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.col(f"`{role}`").alias("role"), lines_of(F.col(f"`{text}`")).alias("lines"), F.monotonically_increasing_id().alias("row")))
@@ -59,12 +77,11 @@ def link(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
     clean = F.trim(F.regexp_replace(F.regexp_replace(clean, "\n{3,}", "\n\n"), "^\n+|\n+$", ""))
     found = cut(_exploded(kept).select("row", "passage", "level", F.xxhash64(normal("text")).alias("hash"), F.length(normal("text")).alias("size")).where("size > 0"))
     where = found.join(kept.select("row", "conv_id", "turn"), "row")
-    own = where.where("level = 0")
-    anywhere = own.groupBy("hash").agg(F.min(F.struct("conv_id", "turn", "row")).alias("source"))
-    inside = own.where("conv_id is not null and turn is not null").groupBy("hash", "conv_id").agg(F.array_sort(F.collect_set("turn")).alias("turns"))
-    quotes = where.where("level > 0").join(anywhere, "hash", "left").join(inside, ["hash", "conv_id"], "left")
-    before = F.array_max(F.filter("turns", lambda t: t < F.col("turn")))
-    quotes = quotes.select("row", "level", "passage", F.when(F.col("source.row") != F.col("row"), F.col("source")).alias("source"), before.alias("parent"))
+    own, quoted = where.where("level = 0"), where.where("level > 0")
+    # one row a hash, written before it is joined, so that Spark can split the quotes of a passage that many messages quote
+    anywhere = stored(own.join(stored(quoted.select("hash").distinct()), "hash", "left_semi").groupBy("hash").agg(F.min(F.struct("conv_id", "turn", "row")).alias("source")))
+    quotes = _with_parent(quoted, own).join(anywhere, "hash", "left")
+    quotes = quotes.select("row", "level", "passage", F.when(F.col("source.row") != F.col("row"), F.col("source")).alias("source"), "parent")
     told = quotes.groupBy("row").agg(
         F.count("*").alias("n_quotes"), F.count(F.coalesce(F.col("parent").cast("string"), F.col("source.row").cast("string"))).alias("n_found"),
         F.min(F.when(F.col("parent").isNotNull(), F.struct("level", "passage", "parent"))).alias("up"),
