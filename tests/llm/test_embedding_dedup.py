@@ -95,3 +95,8 @@ def test_short_recall_ends_with_all_pairs(spark, monkeypatch):
     rows = scattered()
     got = e.near_embeddings(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA), rounds=1).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute(rows)
+
+
+def test_no_label_at_all(spark):
+    frame = spark.createDataFrame([(i, [1.0, 2.0], None, 0, "") for i in range(5)], SCHEMA)
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in e.near_embeddings(frame).collect()) == [(i, 0, i, True) for i in range(5)]

@@ -51,3 +51,27 @@ def test_mixture_agrees_with_mix_and_stays_inside_documents(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_taken_words_by_loops(spark):
+    """Documents end to end by source, every drawn block walked word by word."""
+    placed, drawn, sizes, _ = mixing.plan(docs(spark), shard_slots=100)
+    laid, words = {}, {}
+    for r in placed.collect():
+        for x in range(r["size"]):
+            assert laid.setdefault((r.source, r["at"] + x), (r.doc_id, r["at"])) == (r.doc_id, r["at"])
+        if r["size"]:
+            words[r.k] = (r.source, r.length)
+    assert all(sum(s == source for s, _ in laid) == n for source, n in sizes.items())
+    taken: dict = {}
+    for r in drawn.collect():
+        source, length = words[r.source]
+        for x in range(r.block * length, (r.block + 1) * length):
+            if (source, x) in laid:
+                key = (source, laid[source, x])
+                taken[key] = taken.get(key, 0) + 1
+    got = mixing.mix(docs(spark), shard_slots=100).groupBy("doc_id").agg({"taken": "sum"}).collect()
+    want: dict = {}
+    for (_, (doc_id, _)), n in taken.items():
+        want[doc_id] = want.get(doc_id, 0) + n
+    assert {r.doc_id: r[1] for r in got if r[1]} == want

@@ -86,3 +86,13 @@ def test_components_of_a_path_and_a_star(spark):
     got = {r.vertex: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
     assert roots(6, np.array([5, 4, 3]), np.array([4, 3, 1])).tolist() == [0, 1, 2, 1, 1, 1]
+
+
+def test_very_long_texts(spark):
+    """Texts of over a megabyte that differ in a few words, and one that differs in many."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    near, far = list(base), [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    near[::9000] = ["changed"] * len(near[::9000])
+    docs = spark.createDataFrame([(i, " ".join(w), 0) for i, w in enumerate((base, near, far))], "doc_id long, text string, row int")
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in nd.near_duplicates(docs).collect()) == [(0, 0, 1), (1, 0, 1), (2, 2, 0)]

@@ -1,5 +1,7 @@
 """The classifier: gradients, held-out accuracy, and rows that need a defined score."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -45,3 +47,33 @@ def test_rows_with_odd_texts(spark):
     assert q.score(docs.limit(0), weights).count() == 0
     alone = q.train(docs, labels.limit(0))
     assert {r.score for r in q.score(docs, alone).collect()} == {0.5}
+
+
+def test_forward_by_loops():
+    """Attention and score of each bag, one number after the other."""
+    rng = np.random.default_rng(3)
+    bag, x = np.array([0, 1, 5, 8]), rng.normal(size=(8, q.FEATURES))
+    w = {k: np.array(v) for k, v in q.fit(x, bag, np.array([1.0, 0.0, 1.0]), steps=5).items()}
+    got = q.forward(w, x, bag)
+    for k, (a, b) in enumerate(zip(bag[:-1], bag[1:], strict=True)):
+        hidden, logits = [], []
+        for row in x[a:b]:
+            z = [(row[i] - w["mean"][i]) / w["scale"][i] for i in range(q.FEATURES)]
+            h = [math.tanh(sum(z[i] * w["E"][i, j] for i in range(q.FEATURES)) + w["e"][j]) for j in range(q.HIDDEN)]
+            gate = lambda m, h=h: [sum(h[i] * m[i, j] for i in range(q.HIDDEN)) for j in range(q.GATE)]
+            hidden.append(h)
+            logits.append(sum(math.tanh(v) / (1 + math.exp(-u)) * c for v, u, c in zip(gate(w["V"]), gate(w["U"]), w["a"], strict=True)))
+        raised = [math.exp(x) for x in logits]
+        weight = [r / sum(raised) for r in raised]
+        pooled = [sum(p * h[j] for p, h in zip(weight, hidden, strict=True)) for j in range(q.HIDDEN)]
+        assert got["weight"][a:b] == pytest.approx(weight)
+        assert got["score"][k] == pytest.approx(1 / (1 + math.exp(-(sum(p * o for p, o in zip(pooled, w["o"], strict=True)) + w["b"]))))
+
+
+def test_labels_of_both_kinds_and_repeated_rows(spark):
+    rows = [(i, ("good clean words of a text. " if i % 2 else "@@@ ### zz ") * 20, 1) for i in range(40)]
+    docs = spark.createDataFrame([*rows, *[rows[3]] * 30, (50, "", 1)], "doc_id long, text string, h int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 0), (50, 1)], "doc_id long, quality int")
+    one, two = (q.train(x, labels, sample=60, most=2) for x in (docs, docs.repartition(5)))
+    assert all(np.array_equal(one[k], two[k]) for k in one)
+    assert q.score(docs.where("doc_id = 50"), one).count() == 1

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.llm._graph import components, roots
-from tracewright.llm._session import arrow_rows, cut
+from tracewright.llm._session import arrow_rows, cut, stored
 
 THRESHOLD, FLOOR, NEIGHBOURS, MOST, TABLES, BITS, BLOCK, WIDE, SEED = 0.98, 0.9, 8, 32, 4, 8, 256, 1024, 11
 QUERIES_AUDITED, RECALL, ROUNDS, TURNS = 128, 0.97, 3, 4
@@ -274,7 +274,8 @@ def near_embeddings(table: DataFrame, *, vec_id: str = "vec_id", embedding: str
     info = classes.join(totals, "row", "left").join(found, "row", "left").select("c", "d", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "row").alias("component"))
     full = rows.where("v is not null").drop("v").join(info, ["c", "d"]).select("row", "vec_id", "n_links", "component")
     full = full.unionByName(rows.where("v is null").select("row", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("row").alias("component")))
-    heads = full.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    full = stored(full)
+    heads = stored(full.groupBy("component").agg(F.min("vec_id").alias("component_id")))
     return full.join(heads, "component").select("vec_id", "n_links", "component_id", same(F.col("vec_id"), F.col("component_id")).alias("kept"))
 
 
@@ -287,4 +288,15 @@ def op8_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {"op8_embedding_dedup": (op8_embedding_dedup, None)}
+#: The same in DuckDB, by all pairs of equal labels.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0),
+ok AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) norm FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+link AS (SELECT a.vec_id a, b.vec_id b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id < b.vec_id WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+pair AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT vec_id a, vec_id b FROM embeddings UNION SELECT r.a, o.b FROM reach r JOIN pair o ON o.a = r.b),
+part AS (SELECT a vec_id, min(b) component_id FROM reach GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) n_links, component_id, vec_id = component_id kept FROM part LEFT JOIN (SELECT a vec_id, count(*) n FROM pair GROUP BY 1) USING (vec_id)
+"""
+
+QUERIES = {"op8_embedding_dedup": (op8_embedding_dedup, ORACLE_SQL)}

@@ -327,7 +327,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     totals = linked.groupBy("row").agg(F.sum("links").alias("links"))
     info = classes.join(totals, "row", "left").join(groups.withColumnRenamed("vertex", "row"), "row", "left").select("c", "d", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "row").alias("component"))
     full = rows.drop("sig").join(info, ["c", "d"], "left").where("words > 0").unionByName(rows.where("words = 0").drop("sig").withColumn("n_links", F.lit(0).cast("long")).withColumn("component", F.col("row")))
-    heads = full.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("head"))
+    full = stored(full)
+    heads = stored(full.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("head")))
     return full.join(heads, "component").select("doc_id", "h", F.col("head.doc_id").alias("class_id"), "n_links", (F.col("row") == F.col("head.row")).alias("first"))
 
 
@@ -351,4 +352,15 @@ def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES = {"op4_near_duplicates": (op4_near_duplicates, None)}
+#: The same in DuckDB, by all pairs of texts that share a shingle, and by everything that can be reached.
+ORACLE_SQL = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i FROM dw WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) n FROM sh GROUP BY 1),
+link AS (SELECT a, b FROM (SELECT x.doc_id a, y.doc_id b, count(*) c FROM sh x JOIN sh y USING (g) WHERE x.doc_id < y.doc_id GROUP BY 1, 2) JOIN size s ON s.doc_id = a JOIN size t ON t.doc_id = b WHERE c >= 0.8 * (s.n + t.n - c) - 1e-9),
+pair AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id a, doc_id b FROM documents UNION SELECT r.a, o.b FROM reach r JOIN pair o ON o.a = r.b)
+SELECT doc_id, class_id, coalesce(n, 0) n_links FROM (SELECT a doc_id, min(b) class_id FROM reach GROUP BY 1) LEFT JOIN (SELECT a doc_id, count(*) n FROM pair GROUP BY 1) USING (doc_id)
+"""
+
+QUERIES = {"op4_near_duplicates": (op4_near_duplicates, ORACLE_SQL)}

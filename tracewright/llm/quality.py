@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tracewright.llm import _arrays as A
 from tracewright.llm._session import arrow_rows
 
-SAMPLE, PASSAGE, BUCKETS, HIDDEN, GATE, STEPS, SEED = 4000, 64, 16, 24, 12, 600, 7
+SAMPLE, BAG, PASSAGE, BUCKETS, HIDDEN, GATE, STEPS, SEED = 4000, 512, 64, 16, 24, 12, 600, 7
 SPACES = A.word_table(lower_ascii_words=False)
 
 
@@ -127,23 +127,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """Weights from the labelled documents that are not held out, at most ``sample`` of them.
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, most: int = BAG) -> dict[str, np.ndarray]:
+    """Weights from the labelled documents that are not held out, at most ``sample`` rows of them.
 
-    Labels that are null or of ids without document are passed over; of an id with several labels each counts.
+    Labels that are null or of ids without document are passed over; of an id with several labels each counts. To fit,
+    a text of more than ``most`` passages gives that many, evenly spread; when texts are scored, all passages count.
     """
     arrow_rows(docs.sparkSession)
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    joined = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    joined = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label", F.xxhash64("text").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "text"):
             x, bag = passages(*A.text_bytes(batch.column(1)))
-            raw = [x[a:b].tobytes() for a, b in zip(bag[:-1].tolist(), bag[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(raw, pa.binary())], names=["doc_id", "label", "x"])
+            raw = [x[a:b][np.unique(np.linspace(0, b - a - 1, min(most, b - a)).astype(np.int64))].tobytes() for a, b in zip(bag[:-1].tolist(), bag[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), batch.column(3), pa.array(raw, pa.binary())], names=["doc_id", "label", "h", "x"])
 
-    rows = sorted(tuple(r) for r in joined.mapInArrow(run, "doc_id string, label int, x binary").collect())
+    fitted = joined.mapInArrow(run, "doc_id string, label int, h long, x binary").orderBy("doc_id", "label", "h").limit(sample).drop("h")
+    rows = sorted(tuple(r) for r in fitted.collect())
     bags = [np.frombuffer(r[2], np.float32).reshape(-1, FEATURES) for r in rows]
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, FEATURES))
     return fit(x, np.append(0, np.cumsum([len(b) for b in bags])).astype(np.int64), np.array([r[1] for r in rows], np.float64))

@@ -91,4 +91,18 @@ def brute_force(texts: list[bytes], length: int) -> list[tuple[int, int, int, st
     return out
 
 
-QUERIES = {"op7_suffix_dedup": (op7_suffix_dedup, None)}
+#: The same in DuckDB, by the hash of every window.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) b FROM documents), s AS (SELECT *, octet_length(b) n FROM d),
+win AS (SELECT doc_id, i, md5(array_slice(b, i, i + 399)) g FROM (SELECT doc_id, b, unnest(range(1, n - 398)) i FROM s WHERE n >= 400)),
+again AS (SELECT g FROM win GROUP BY g HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) p FROM win SEMI JOIN again USING (g)),
+run AS (SELECT doc_id, i, count(*) FILTER (p IS NULL OR i > p + 400) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) r FROM hit),
+span AS (SELECT doc_id, r, min(i) a, max(i) + 400 z FROM run GROUP BY 1, 2),
+gone AS (SELECT doc_id, count(*) n_spans, sum(z - a) n_removed FROM span GROUP BY 1),
+rest AS (SELECT doc_id, a, z FROM (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) a, a z FROM span UNION ALL SELECT doc_id, max(z), 1000000000000 FROM span GROUP BY 1)),
+kept AS (SELECT doc_id, unhex(string_agg(hex(array_slice(b, a, z - 1)), '' ORDER BY a)) k FROM rest JOIN d USING (doc_id) WHERE a < z GROUP BY 1)
+SELECT doc_id, n n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) n_removed, coalesce(n_spans, 0) n_spans, sha256(CASE WHEN n_spans IS NULL THEN b ELSE coalesce(k, ''::BLOB) END) kept_sha256 FROM s LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {"op7_suffix_dedup": (op7_suffix_dedup, ORACLE_SQL)}
