@@ -77,3 +77,12 @@ def test_labels_of_both_kinds_and_repeated_rows(spark):
     one, two = (q.train(x, labels, sample=60, most=2) for x in (docs, docs.repartition(5)))
     assert all(np.array_equal(one[k], two[k]) for k in one)
     assert q.score(docs.where("doc_id = 50"), one).count() == 1
+
+
+def test_passages_do_not_depend_on_their_neighbours():
+    bare = lambda *texts: q.passages(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])).astype(np.int64))
+    for text in (b"", b" ", b"@@@ ### zz " * 90, b"a"):
+        alone = bare(text)[0]
+        for before, after in ((b"xx yy. ", b""), (b"", b"Qq zz"), (b"", b"")):
+            x, bag = bare(before, text, after)
+            assert np.array_equal(x[bag[1] : bag[2]], alone)

@@ -49,6 +49,7 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     size = np.maximum(1, np.bincount(of_word, minlength=n)).astype(np.float32)
     x = np.zeros((n, FEATURES), np.float32)
     if not len(starts):
+        x[:, 24:] = -1 / BUCKETS
         return x, bag
     opens = np.flatnonzero(np.append(True, of_word[1:] != of_word[:-1]))
     begin, stop = starts[opens], ends[np.append(opens[1:], len(starts)) - 1]
