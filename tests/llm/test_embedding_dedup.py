@@ -100,3 +100,18 @@ def test_short_recall_ends_with_all_pairs(spark, monkeypatch):
 def test_no_label_at_all(spark):
     frame = spark.createDataFrame([(i, [1.0, 2.0], None, 0, "") for i in range(5)], SCHEMA)
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in e.near_embeddings(frame).collect()) == [(i, 0, i, True) for i in range(5)]
+
+
+def test_dense_and_loose_components(spark):
+    """A ball that is only counted, with rows beyond half the angle, copies, and one of too wide an angle; small blocks."""
+    rng, rows = np.random.default_rng(8), []
+    centre = rng.normal(size=24)
+    for spread, size in ((0.01, 150), (0.04, 60), (0.07, 40)):
+        rows += [(centre + spread * rng.normal(size=24) * np.linalg.norm(centre) / 5).astype(np.float32).tolist() for _ in range(size)]
+    rows += [rows[3], rows[3], rows[200]]
+    rows = [(i, x, 1 + (i % 97 == 0)) for i, x in enumerate(rows)]
+    want = brute(rows)
+    assert 10_000 < sum(n for _, n, _ in want) < 250 * 250
+    for block in (16, 256):
+        got = e.near_embeddings(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA).repartition(3), block=block).collect()
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want

@@ -5,7 +5,8 @@ bounded size. Then lists are refined again and again: the neighbours of each vec
 it and are compared, so neighbours of neighbours find each other. A list that is full of near vectors is saturated and
 grows twofold; those of lesser likeness keep places of their own in it. Lists only say who meets next: all near pairs of a
 meeting join their rows to components, whether a list has room for them or not, and links are counted exactly inside
-components, block by block. After that the recall is audited against brute force for sampled queries of each size of
+components: what lies within half the threshold's angle of one centre is linked throughout, the rest is compared block by
+block. After that the recall is audited against brute force for sampled queries of each size of
 group; if it is short in any, more hyperplanes are drawn and refined, and at last all blocks of each label are compared.
 """
 
@@ -186,9 +187,51 @@ def _counted(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _inside(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """row, copies, key and whether the row lies within half the angle of the threshold about its key's centre."""
+    least = math.cos(math.acos(threshold) / 2) + 1e-9 if threshold < 1 else 2.0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            inside = [len(v) == len(c) and float(np.frombuffer(v, np.float64) @ np.frombuffer(c, np.float64)) >= least for v, c in pairs]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(inside, pa.bool_())], names=["row", "copies", "key", "inside"])
+
+    return run
+
+
 def _counts(members: DataFrame, key: str, reps: DataFrame, threshold: float, block: int) -> DataFrame:
-    dealt = blocked(members, [key], block=block).select("k", "side", "row").join(reps.select("row", "v", "copies"), "row")
-    return cut(dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_counted(threshold), "row long, links long, root long"))
+    """row, links and root of the rows of each key.
+
+    Of a key of several blocks, rows within half the angle of its first row are all linked with each other and are only
+    counted; what lies outside is compared with all.
+    """
+    kind = dict(members.dtypes)[key]
+    members = stored(members.select("row", F.col(key).alias("key")))
+    sizes = stored(members.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("centre")))
+    large = sizes.where(F.col("size") > block)
+    small = blocked(members.join(sizes.where(F.col("size") <= block).select("key"), "key", "left_semi"), ["key"], block=block).select("k", "side", "row")
+    if not large.limit(1).count():
+        return _met(small, reps, threshold)
+    centres = stored(large.join(reps.select(F.col("row").alias("centre"), F.col("v").alias("c")), "centre").select("key", "c"))
+    vectors_ = members.join(reps.select("row", "copies", "v"), "row").join(centres, "key").select("row", "copies", "key", "v", "c")
+    placed = stored(vectors_.mapInArrow(_inside(threshold), f"row long, copies long, key {kind}, inside boolean"))
+    whole = F.when(F.col("inside"), F.col("copies"))
+    ball = stored(placed.groupBy("key").agg(F.sum(whole).alias("total"), F.min(F.when(F.col("inside"), F.col("row"))).alias("root"), F.ceil(F.count_if("inside") / block).cast("int").alias("within"), F.ceil(F.count_if(~F.col("inside")) / block).cast("int").alias("beyond")))
+    rows = placed.join(ball, "key")
+    at = lambda n: F.pmod(F.xxhash64("row", F.lit(SEED)), F.col(n).cast("long")).cast("int")
+    every = F.col("within") + F.col("beyond") - 1
+    others = F.when(~F.col("inside"), F.sequence(F.lit(0), every)).when(F.col("beyond") > 0, F.sequence("within", every))
+    dealt = rows.withColumn("mine", F.when(F.col("inside"), at("within")).otherwise(F.col("within") + at("beyond"))).withColumn("other", F.explode(others))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("ball")).alias("k"), side.alias("side"), "row")
+    counted_ = rows.where("inside").select("row", (F.col("total") - F.col("copies")).alias("links"), "root").where("links > 0")
+    return _met(small.unionByName(dealt), reps, threshold).unionByName(counted_)
+
+
+def _met(dealt: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    rows = dealt.join(reps.select("row", "v", "copies"), "row")
+    return cut(rows.repartition("k").sortWithinPartitions("k").mapInArrow(_counted(threshold), "row long, links long, root long"))
 
 
 def counted(edges: DataFrame, reps: DataFrame, *, threshold: float, block: int) -> DataFrame:
