@@ -107,7 +107,7 @@ round(CASE WHEN n >= 3 THEN least(0.95, least(0.9, 0.4 + 0.1 * n) + 0.1) ELSE le
     "min_severity": (lambda s, d: timeline.at_least(tl(s, d), "High").select("seq", "severity"), f"{TL} SELECT seq, severity FROM z WHERE {RANK} >= 3"),
     "filtered_timeline": (lambda s, d: timeline.of_host(timeline.in_categories(timeline.between(tl(s, d), "2024-01-05 00:00:00", "2024-01-25 00:00:00"), ["authentication", "network"]), "HOST3").select("seq", "case_id"), f"{TL} SELECT seq, case_id FROM z WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25' AND category IN ('authentication', 'network') AND host = 'host3'"),
     "case_filter": (lambda s, d: timeline.equal_text(timeline.of_case(tl(s, d), "CASE7"), "severity", " Low ").select("seq", "actor"), f"{TL} SELECT seq, actor FROM z WHERE case_id = 'case7' AND severity = 'low'"),
-    "latest_events": (lambda s, d: timeline.ordered(tl(s, d), descending=True).limit(50).select("seq", iso(F.col("ts")).alias("at")), f"{TL} SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM z ORDER BY ts DESC, source DESC, action DESC LIMIT 50"),
+    "latest_events": (lambda s, d: timeline.ordered(tl(s, d), descending=True).select("seq", iso(F.col("ts")).alias("at")), f"{TL} SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM z ORDER BY ts DESC, source DESC, action DESC"),
     "ordered_timeline": (lambda s, d: timeline.ordered(tl(s, d)).select("seq", iso(F.col("ts")).alias("at"), "source", "action"), f"{TL} SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, source, action FROM z ORDER BY ts, source, action"),
     "latest_events_first": (lambda s, d: timeline.ordered(tl(s, d), descending=True).select("seq", iso(F.col("ts")).alias("at"), "source", "action"), f"{TL} SELECT seq, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, source, action FROM z ORDER BY ts DESC, source DESC, action DESC"),
     "timeline_changes": (lambda s, d: diff.changes(*halves(s, d)).select("change", "seq", "source", "actor"), f"{DIFF} SELECT 'added' change, seq, source, actor FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {SAME}) UNION ALL SELECT 'removed', seq, source, actor FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE {SAME})"),

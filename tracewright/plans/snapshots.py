@@ -121,7 +121,7 @@ CASE WHEN regexp_matches(text, '`[A-Za-z]') OR regexp_matches(text, '(?i)\[char\
     "artifact_summary": (lambda s, d: records.artifact_summary(view(s, d, "artifacts")), f"{A} SELECT container_id, CAST(sum(size_bytes) AS BIGINT) total_bytes, count(*) FILTER (coalesce(error, '') = '') succeeded, count(*) FILTER (coalesce(error, '') <> '') failed FROM t GROUP BY 1"),
     "first_artifacts": (lambda s, d: records.first_artifact(view(s, d, "artifacts"), "type1"), f"{A} SELECT container_id, arg_min(content, seq) content FROM t WHERE artifact_type = 'type1' GROUP BY 1"),
     "rejected_artifacts": (lambda s, d: records.rejects(view(s, d, "artifacts"), ("seq", "error", "host")).groupBy(F.array_join("missing", ",").alias("missing")).agg(F.count("*").alias("n")), f"{A} SELECT CASE WHEN error IS NULL THEN 'error,host' ELSE 'host' END missing, count(*) n FROM t GROUP BY 1"),
-    "valid_case_ids": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", records.valid_case_id(F.substring("text", 1, 12)).alias("ok")), "SELECT doc_id, coalesce(trim(left(text, 12)) NOT IN ('', '.', '..') AND NOT contains(left(text, 12), '/') AND NOT contains(left(text, 12), chr(92)), false) ok FROM documents"),
+    "valid_case_ids": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", records.valid_case_id(F.col("source")).alias("ok")), "SELECT doc_id, coalesce(trim(source) NOT IN ('', '.', '..') AND NOT contains(source, '/') AND NOT contains(source, chr(92)), false) ok FROM documents"),
     "valid_whole_case_ids": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", records.valid_case_id(F.col("text")).alias("ok")), "SELECT doc_id, coalesce(trim(text) NOT IN ('', '.', '..') AND NOT contains(text, '/') AND NOT contains(text, chr(92)), false) ok FROM documents"),
     "manifest_mismatches": (lambda s, d: records.manifest_mismatches(files(s, d, changed=False), files(s, d, changed=True)).select("path", F.coalesce("actual", F.lit("-")).alias("actual")), "SELECT concat('doc/', doc_id) path, CASE WHEN doc_id % 150 = 0 THEN '-' ELSE sha256(concat(text, '!')) END actual FROM documents WHERE doc_id % 150 = 0 OR doc_id % 100 = 0"),
     "auth_log_events": (lambda s, d: logs.auth_events(auth_lines(s, d), year=2024).select(F.unix_seconds("ts").alias("at"), "host", "category", "severity", "actor", "target", "action", F.coalesce(F.col("metadata")["src_port"], F.lit("")).alias("port"), F.coalesce(F.col("metadata")["command"], F.lit("")).alias("command")), f"""{AL} SELECT CAST(epoch(date_trunc('second', t)) AS BIGINT) AS at, h host, CASE kind WHEN 2 THEN 'privilege_escalation' ELSE 'authentication' END category, CASE kind WHEN 1 THEN 'low' ELSE 'medium' END severity, CASE kind WHEN 2 THEN u ELSE ip END actor, CASE kind WHEN 2 THEN 'root' ELSE u END target,
