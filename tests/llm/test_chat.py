@@ -41,6 +41,19 @@ def test_edge_rows(spark):
     assert chat.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_very_long_messages_and_one_turn_that_quotes_twice(spark):
+    """A message of thousands of quoted and own lines, and two rows of one turn that quote different turns."""
+    own = "\n".join(f"line {k} of the answer" for k in range(4000))
+    quoted = "\n".join(f"> line {k} of the answer" for k in range(4000))
+    mixed = "\n".join(f"> q{k}\nr{k}" for k in range(3000))
+    rows = [(1, 0, "u", own, 0, 0), (1, 1, "u", "first", 0, 0), (1, 2, "u", quoted + "\nagain", 0, 0), (1, 2, "u", "> first\nagain", 0, 0), (1, 3, "u", mixed, 0, 0)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, row int, hash int")
+    got = chat.link(frame.repartition(3)).collect()
+    assert sorted((r.turn, r.n_quotes, r.n_found, -1 if r.parent_turn is None else r.parent_turn) for r in got) == [(0, 0, 0, -1), (1, 0, 0, -1), (2, 1, 1, 0), (2, 1, 1, 1), (3, 3000, 0, -1)]
+    assert {r.text for r in got if r.turn == 2} == {"again"}
+    assert [r.text for r in got if r.turn == 3] == ["\n".join(f"r{k}" for k in range(3000))]
+
+
 def test_query_keeps_messages_without_quotes(spark):
     sf = "/root/testdata/sf0.001"
     rows = {(r.conv_id, r.turn): " ".join(r.text.split()) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}

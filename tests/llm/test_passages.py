@@ -77,6 +77,21 @@ def test_earlier_words(spark, monkeypatch, seed, length, k, hot):
     assert got == substring_dedup.brute_force(docs, length)
 
 
+def test_texts_longer_than_a_slice(spark):
+    """Texts of over 256 KB that share a passage at their ends and in the middle, and repeat one of their own."""
+    rng = random.Random(11)
+    words = lambda n: [f"{rng.randrange(10**6)}é" for _ in range(n)]
+    shared, own = words(40), words(30)
+    texts = [words(20_000) + own + words(20_000) + own + shared, words(25_000) + shared + words(20_000), ["tail"] + shared[5:35]]
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert len(docs[0][1].encode()) > 1 << 18 and len(docs[1][1].encode()) > 1 << 18
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in suffix_dedup.remove_repeated_bytes(frame(spark, docs), length=60, k=8).collect()}
+    want = suffix_dedup.brute_force([t.encode() for _, t in docs], 60)
+    assert got == dict(enumerate(want)) and [w[2] for w in want] == [2, 1, 1]
+    earlier = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.remove_earlier_words(frame(spark, docs), length=12, k=3).collect())
+    assert earlier == substring_dedup.brute_force(docs, 12) and [r[2] for r in earlier] == [0, 40, 30]
+
+
 def test_whole_query_on_test_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.op7_suffix_dedup(spark, "/root/testdata/sf0.001").collect()}
