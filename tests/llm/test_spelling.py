@@ -69,7 +69,7 @@ def docs(seed: int) -> list[tuple[int | None, str | None]]:
     rng = random.Random(seed)
     base = [w + "ing" for w in vocabulary(seed, 40, "aBÀ×")]
     rows = [(k, " ".join(rng.choice(base) + rng.choice(["", "", "s", "!", "日"]) for _ in range(60))) for k in range(40)]
-    return [*rows, (None, None), (41, None), (42, ""), (None, rows[0][1]), (0, rows[0][1]), (43, "Z" * 5000 + " " + "word " * 9000)]
+    return [*rows, (None, None), (41, None), (42, ""), (None, rows[0][1]), (0, rows[0][1]), (43, "Z" * 5000 + " " + "word " * 9000), (44, "chain " * 20 + "chaina " * 8 + "chainab " * 3)]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
