@@ -44,10 +44,23 @@ def impacts(tf: np.ndarray, m: int) -> np.ndarray:
     return (SCALE * tf) // (TF_WEIGHT * tf + M_WEIGHT * m)
 
 
-def statistics(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int, int]:
+def counted(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id (a null one is the greatest), text (binary) and n, its number of terms with repeats, of documents that have any."""
+    table = A.word_table(lower_ascii_words=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in A.slices(batches, "text"):
+            n = np.diff(A.word_bounds(*A.text_bytes(batch.column(1)), table)[2])
+            yield pa.record_batch([*batch.columns, pa.array(n)], ["doc_id", "text", "n"]).filter(pa.array(n > 0))
+
+    arrow_rows(docs.sparkSession)
+    narrow = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.col(f"`{text}`").cast("string").cast("binary").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, text binary, n long")
+
+
+def statistics(rows: DataFrame) -> tuple[DataFrame, int, int]:
     """n and count of documents by number of terms; N and L."""
-    n = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(TERM)), F.lit(0)).cast("long")
-    sizes = stored(docs.select(n.alias("n")).where("n > 0").groupBy("n").agg(F.count("*").alias("count")))
+    sizes = stored(rows.groupBy("n").agg(F.count("*").alias("count")))
     total = sizes.agg(F.sum("count").alias("N"), F.sum(F.col("n") * F.col("count")).alias("L")).first()
     return sizes, int(total["N"] or 0), int(total["L"] or 0)
 
@@ -86,16 +99,14 @@ def index(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", block_
     Documents are dealt by stratum and, within it, by slices of a hash of the id, as many as its documents and terms ask
     for. A task sorts its slices and closes a block when the stratum ends or the block is full. A null id stands last.
     """
-    arrow_rows(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")  # rows of the index are large
-    sizes, n_docs, n_terms = statistics(docs, text)
+    rows = counted(docs, doc_id, text)
+    sizes, n_docs, n_terms = statistics(rows)
     m = F.lit(BASE) + F.expr(f"({SLOPE} * n * {n_docs}L) div {max(1, n_terms)}L")
     slices = sizes.groupBy(m.alias("m")).agg(F.ceil(F.greatest(F.sum("count") / block_docs, F.sum(F.col("n") * F.col("count")) / block_terms)).cast("long").alias("slices"))
     slices = stored(slices)
     slices = F.broadcast(slices) if slices.count() <= STRATA else slices  # a row a stratum, 16 bytes
-    n = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
-    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LAST)).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("n", n).where("n > 0")
-    dealt = rows.select("doc_id", "text", m.alias("m")).join(slices, "m").select("m", F.pmod(F.xxhash64("doc_id"), "slices").alias("slice"), "doc_id", F.col("text").cast("binary").alias("text"))
+    dealt = rows.select("doc_id", "text", m.alias("m")).join(slices, "m").select("m", F.pmod(F.xxhash64("doc_id"), "slices").alias("slice"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, texts, held = None, [], [], 0
