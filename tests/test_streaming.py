@@ -19,7 +19,6 @@ def test_streams(spark, tmp_path):
     failed = [(f"10:00:{i:02d}", f"sshd[1]: Failed password for u{i} from 9.9.9.9 port 1 ssh2") for i in range(6)]
     lines(tmp_path, "a.log", [*failed, ("10:01:00", "sshd[1]: Accepted password for u1 from 9.9.9.9 port 1 ssh2"), ("10:02:00", "sudo: u1 : TTY=x ; USER=root ; COMMAND=/bin/id")])
     events = deploy.as_corr_events(deploy.auth_stream(spark, str(tmp_path), year=2026))
-    assert [(r.source_ip, r.username, r.fails) for r in run(spark, deploy.brute_then_success(events), "brute")] == [("9.9.9.9", "u1", 6)]
     assert [r.username for r in run(spark, deploy.login_then_sudo(events), "sudo")] == ["u1"]
     lines(tmp_path, "b.log", [("12:00:00", "sshd[1]: Failed password for z from 8.8.8.8 port 1 ssh2")])
     windows = run(spark, deploy.failure_windows(events, slide="10 minutes", late="1 minute"), "fails")

@@ -18,6 +18,11 @@ def keyed(events: DataFrame) -> DataFrame:
     return _with_key(events).groupBy(*KEY).agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*KEY, "r.*")
 
 
+def deduplicated(events: DataFrame) -> DataFrame:
+    """Each key once, as the row that came in last; the columns are those of the timeline."""
+    return keyed(events).select(*events.columns)
+
+
 def compared(before: DataFrame, after: DataFrame) -> DataFrame:
     """The key and, of either timeline, the last row of that key (a, b; null where it has none), in one aggregation."""
     rest = [c for c in before.columns if c not in ("source", "actor", "target")]

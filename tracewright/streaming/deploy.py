@@ -1,13 +1,9 @@
-"""The operators on streams: ingest is unchanged, windows get watermarks, brute force keeps state per address."""
+"""Ingest on streams, and what built-in windows, sessions and joins say of them; rules with state of their own are in ``ordered``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.sources.logs import auth_events
 
@@ -43,32 +39,3 @@ def login_then_sudo(events: DataFrame, *, window_s: int = 600, late: str = "10 m
     a = events.where("event_type = 'auth_success'").select(F.col("ts").alias("login_ts"), F.col("username").alias("user_a"), "source_ip").withWatermark("login_ts", late)
     b = events.where("event_type = 'sudo'").select(F.col("ts").alias("sudo_ts"), F.col("username").alias("user_b")).withWatermark("sudo_ts", late)
     return a.join(b, F.expr(f"user_a = user_b AND sudo_ts >= login_ts AND sudo_ts <= login_ts + INTERVAL {window_s} SECONDS")).select(F.col("user_a").alias("username"), "source_ip", "login_ts", "sudo_ts")
-
-
-def brute_then_success(events: DataFrame, *, window_s: int = 600, fails: int = 5, late: str = "10 minutes") -> DataFrame:
-    """Logins of an address after that many failures within the window.
-
-    The state of an address is the times of its recent failures, at most those of one window and the allowed lateness;
-    an address that stays silent is forgotten.
-    """
-    span = pd.Timedelta(seconds=window_s)
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("ts")
-        known = [pd.Timestamp(x, unit="us") for x in (state.get[0] if state.exists else [])]
-        known = sorted(known + rows.ts[rows.event_type == "auth_fail"].tolist())
-        out = []
-        for ts, user in rows.loc[rows.event_type == "auth_success", ["ts", "username"]].itertuples(index=False):
-            n = sum(ts - span <= x <= ts for x in known)
-            if n >= fails:
-                out.append((key[0], user, ts, n))
-        oldest = rows.ts.max() - 2 * span
-        state.update(([int(x.value // 1000) for x in known if x >= oldest],))
-        state.setTimeoutTimestamp(max(int(rows.ts.max().value // 1_000_000) + 2000 * window_s, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["source_ip", "username", "ts", "fails"])
-
-    rows = events.where(F.col("event_type").isin("auth_fail", "auth_success")).withWatermark("ts", late).groupBy("source_ip")
-    return rows.applyInPandasWithState(update, "source_ip string, username string, ts timestamp, fails long", "fails array<long>", "append", GroupStateTimeout.EventTimeTimeout)
