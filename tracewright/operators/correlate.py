@@ -105,10 +105,11 @@ def brute_then_success(events: DataFrame, *, window_s: int = WINDOW_S, fails: in
 
 
 def brute_evidence(events: DataFrame, incidents: DataFrame, *, window_s: int = WINDOW_S) -> DataFrame:
-    """The failures that each brute-force incident rests on: incident_seq, seq."""
-    found = incidents.select(F.col("seq").alias("incident_seq"), "source_ip", "end_us")
-    failed = _timed(events).where("event_type = 'auth_fail'")
-    return found.join(failed, "source_ip").where(F.col("us").between(F.col("end_us") - window_s * 1_000_000, F.col("end_us"))).select("incident_seq", "seq")
+    """The failures that each brute-force incident rests on: incident_seq, seq. They meet in slots of one window's length."""
+    w, end = window_s * 1_000_000, F.col("end_us")
+    found = incidents.select(F.col("seq").alias("incident_seq"), "source_ip", "end_us", F.explode(F.array(_slot(end, w), _slot(end, w) - w)).alias("slot"))
+    failed = _timed(events).where("event_type = 'auth_fail'").select("source_ip", "us", "seq", _slot(F.col("us"), w).alias("slot"))
+    return found.join(failed, ["source_ip", "slot"]).where(F.col("us").between(end - w, end)).select("incident_seq", "seq")
 
 
 def spray_then_pivot(events: DataFrame, *, window_s: int = WINDOW_S, users: int = USERS) -> DataFrame:

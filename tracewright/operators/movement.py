@@ -64,19 +64,32 @@ def sequential(hops_: DataFrame, *, window_s: int = WINDOW_S) -> DataFrame:
 
 
 def fan_out(hops_: DataFrame, *, window_s: int = WINDOW_S, hosts: int = HOSTS) -> DataFrame:
-    """Addresses that reach that many hosts within the window after their first timed hop; untimed hops count."""
-    us = F.unix_micros("ts")
-    rows = hops_.withColumn("us", us).withColumn("first", F.min("us").over(Window.partitionBy("source_ip")))
-    near = rows.where(F.col("us").isNull() | (F.col("us") - F.col("first") <= window_s * 1_000_000))
-    found = near.groupBy("source_ip").agg(F.array_sort(F.collect_set("target_host")).alias("target_hosts"), F.count("*").alias("hop_count"), F.array_sort(F.collect_set("username")).alias("usernames"), F.min("us").alias("start_us"), F.max("us").alias("end_us")).where(F.size("target_hosts") >= hosts)
-    return found.select("source_ip", F.lit("FAN_OUT").alias("pattern"), F.lit("HIGH").alias("severity"), F.round(capped(0.4, 0.05, F.size("target_hosts"), 0.85), 6).alias("confidence"), "hop_count", "target_hosts", "usernames", "start_us", "end_us")
+    """Addresses that reach that many hosts within the window after their first timed hop; untimed hops count.
+
+    What is near the first hop lies in its slot of one window's length or in the next, so only rows of two slots meet it. Hops
+    are summed up by address, host and user, then by address and host, before anything of an address comes together.
+    """
+    us, w = F.unix_micros("ts"), window_s * 1_000_000
+    slot = F.col("us") - F.pmod("us", F.lit(w))
+    rows = hops_.select("source_ip", "target_host", "username", us.alias("us"))
+    first = rows.where("us is not null").groupBy("source_ip").agg(F.min("us").alias("first"))
+    slots = first.select("source_ip", "first", F.explode(F.array(slot_of := F.col("first") - F.pmod("first", F.lit(w)), slot_of + w)).alias("slot"))
+    timed = rows.where("us is not null").withColumn("slot", slot).join(slots, ["source_ip", "slot"]).where(F.col("us") - F.col("first") <= w)
+    both = timed.select("source_ip", "target_host", "username", "us").unionByName(rows.where("us is null"))
+    pairs = both.groupBy("source_ip", "target_host", "username").agg(F.count("*").alias("n"), F.min("us").alias("start_us"), F.max("us").alias("end_us"))
+    ranges = [F.sum("n").alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")]
+    hosts_ = pairs.groupBy("source_ip", "target_host").agg(F.collect_set("username").alias("users"), *ranges)
+    found = hosts_.groupBy("source_ip").agg(F.array_sort(F.collect_list("target_host")).alias("target_hosts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("users")))).alias("usernames"), *ranges).where(F.size("target_hosts") >= hosts)
+    return found.select("source_ip", F.lit("FAN_OUT").alias("pattern"), F.lit("HIGH").alias("severity"), F.round(capped(0.4, 0.05, F.size("target_hosts"), 0.85), 6).alias("confidence"), F.col("n").alias("hop_count"), "target_hosts", "usernames", "start_us", "end_us")
 
 
 def credential_reuse(hops_: DataFrame) -> DataFrame:
-    """Users seen on two hosts or more; the address is that of the earliest hop."""
+    """Users seen on two hosts or more; the address is that of the earliest hop. Hops are summed up by user and host first."""
     us = F.unix_micros("ts")
-    found = hops_.groupBy("username").agg(F.array_sort(F.collect_set("target_host")).alias("target_hosts"), F.count("*").alias("hop_count"), F.min_by("source_ip", F.struct(F.col("ts").isNull(), "ts", "seq")).alias("source_ip"), F.min(us).alias("start_us"), F.max(us).alias("end_us")).where(F.size("target_hosts") >= 2)
-    return found.select("source_ip", F.lit("CREDENTIAL_REUSE").alias("pattern"), F.lit("MEDIUM").alias("severity"), F.round(capped(0.5, 0.05, F.size("target_hosts"), 0.8), 6).alias("confidence"), "hop_count", "target_hosts", F.array("username").alias("usernames"), "start_us", "end_us")
+    earliest = F.min(F.struct(F.col("ts").isNull(), "ts", "seq", "source_ip")).alias("earliest")
+    pairs = hops_.groupBy("username", "target_host").agg(F.count("*").alias("n"), earliest, F.min(us).alias("start_us"), F.max(us).alias("end_us"))
+    found = pairs.groupBy("username").agg(F.array_sort(F.collect_list("target_host")).alias("target_hosts"), F.sum("n").alias("hop_count"), F.min("earliest").alias("earliest"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).where(F.size("target_hosts") >= 2)
+    return found.select(F.col("earliest.source_ip").alias("source_ip"), F.lit("CREDENTIAL_REUSE").alias("pattern"), F.lit("MEDIUM").alias("severity"), F.round(capped(0.5, 0.05, F.size("target_hosts"), 0.8), 6).alias("confidence"), "hop_count", "target_hosts", F.array("username").alias("usernames"), "start_us", "end_us")
 
 
 def chains(hops_: DataFrame, *, window_s: int = WINDOW_S, hosts: int = HOSTS) -> DataFrame:

@@ -14,7 +14,7 @@ def _map(selection: dict, columns: list[str]) -> Column:
     for field, wanted in selection.items():
         actual = F.col(field) if field in columns else F.lit(None).cast("string")
         if isinstance(wanted, list):
-            hit = F.coalesce(actual.isin(wanted), F.lit(None in wanted))
+            hit = F.coalesce(actual.isin([x for x in wanted if x is not None]), F.lit(False)) | (actual.isNull() & F.lit(None in wanted))
         elif isinstance(wanted, str):
             hit = F.coalesce(actual.cast("string"), F.lit("None")) == wanted
         elif wanted is None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import tables as T
 from tracewright.functions.scalar import in_zone, iso
-from tracewright.operators import attack, correlate, diff, movement, rules, timeline
+from tracewright.operators import attack, correlate, diff, movement, rule_index, rules, timeline
 from tracewright.plans.derived import duck, view
 
 WEEK, DAY = 604_800, 86_400
@@ -19,6 +19,8 @@ RULES = [
     {"title": "All of", "detection": {"sel_a": {"target": "target3"}, "sel_b": {"host": "host5"}, "condition": "all of sel*"}},
     {"level": "high", "detection": {"sel": {"host": "host1"}, "condition": "sel"}},
 ]
+#: As many rules as a large rule set has, each of its own host, target and actors.
+MANY_RULES = [{"title": f"R{i}", "level": ["low", "high"][i % 2], "detection": {"sel": {"host": f"host{i % 12}", "target": f"target{i % 7}", "actor": [f"user{i % 20}", f"10.0.0.{i % 200}"]}, "late": {"severity": "critical", "category": "system"}, "condition": "sel and late" if i % 3 else "sel"}} for i in range(3000)]
 
 
 def ev(spark, d):
@@ -121,6 +123,11 @@ round(CASE WHEN n >= 3 THEN least(0.95, least(0.9, 0.4 + 0.1 * n) + 0.1) ELSE le
     "attack_coverage": (lambda s, d: attack.coverage(attack.mapped(tl(s, d))), f"{MAPPED} SELECT count(*) total, count(technique_id) mapped, count(*) - count(technique_id) unmapped, round(100.0 * count(technique_id) / count(*), 1) coverage_pct, count(DISTINCT technique_id) techniques FROM q"),
     "attack_tagging": (lambda s, d: attack.tagged(tl(s, d).select("seq", (F.col("seq") % 4 + 4623).alias("event_id"), F.lit("PowerShell.exe").alias("process_name"), F.when(F.col("seq") % 2 == 0, "x").alias("command_line"))).select("seq", F.array_join("attack_tags", ",").alias("tags")), "SELECT event_id seq, CASE event_id % 4 WHEN 2 THEN 'T1110,T1059' WHEN 1 THEN 'T1078,T1059' ELSE 'T1059' END tags FROM events"),
     "detection_rules": (lambda s, d: rules.evaluate(tl(s, d), RULES).where("flagged").select("seq", F.array_join(F.transform("rule_matches", lambda m: F.concat_ws(":", m["title"], m["level"])), ";").alias("matches")), f"""{TL}, m AS (SELECT seq, concat_ws(';', CASE WHEN category = 'authentication' AND severity IN ('high', 'critical') THEN 'High failures:high' END, CASE WHEN action IN ('log_clear', 'cron_add') AND host = 'host3' THEN 'Either:low' END, CASE WHEN target IN ('target1', 'target2') THEN 'Any of:medium' END, CASE WHEN target = 'target3' AND host = 'host5' THEN 'All of:medium' END) matches FROM z) SELECT * FROM m WHERE matches <> ''"""),
+    "indexed_rules": (
+        lambda s, d: rule_index.evaluate(tl(s, d), MANY_RULES).where("flagged").select("seq", F.explode("rule_matches").alias("m")).groupBy("seq").agg(F.count("*").alias("n"), F.min("m.title").alias("first"), F.count_if(F.col("m.level") == "high").alias("high")),
+        f"""{TL} SELECT seq, count(*) n, min(concat('R', i)) AS first, count(*) FILTER (i % 2 = 1) high FROM z JOIN (SELECT i, concat('host', i % 12) h, concat('target', i % 7) g, concat('user', i % 20) u, concat('10.0.0.', i % 200) a FROM range(3000) r(i)) ON host = h AND target = g AND (actor = u OR actor = a) AND (i % 3 = 0 OR severity = 'critical' AND category = 'system') GROUP BY seq""",
+    ),
+    "detection_rules_by_index": (lambda s, d: rule_index.evaluate(tl(s, d), RULES).where("flagged").select("seq", F.array_join(F.transform("rule_matches", lambda m: F.concat_ws(":", m["title"], m["level"])), ";").alias("matches")), None),
     "all_incidents": (lambda s, d: correlate.correlate(ev(s, d), window_s=DAY).groupBy("pattern", "severity").agg(F.count("*").alias("n"), F.sum("event_count").alias("events"), F.count_distinct("source_ip").alias("ips")), f"""{E}, w AS (SELECT *, count(*) FILTER (event_type = 'auth_fail') OVER v n FROM u WHERE event_type IN ('auth_fail', 'auth_success') WINDOW v AS (PARTITION BY source_ip ORDER BY us RANGE BETWEEN {DAY}000000 PRECEDING AND CURRENT ROW)),
 b AS (SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY seq) r FROM w WHERE event_type = 'auth_success' AND n >= 5),
 i AS (SELECT 'BRUTE_THEN_SUCCESS' pattern, 'CRITICAL' severity, n + 1 event_count, source_ip FROM b WHERE r = 1 UNION ALL SELECT pattern, severity, event_count, source_ip FROM ({_related(PRIV, "PRIVILEGE_ESCALATION", "HIGH", 0.8)}) UNION ALL SELECT pattern, severity, event_count, source_ip FROM ({_related(PERSIST, "PERSISTENCE", "HIGH", 0.75)})
@@ -134,3 +141,8 @@ SELECT pattern, severity, count(*) n, CAST(sum(event_count) AS BIGINT) events, c
     "added_by_category": (lambda s, d: diff.added_by_category(diff.changes(*halves(s, d))), f"{DIFF} SELECT category, count(*) added FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE {SAME}) GROUP BY 1"),
     "zoned_times": (lambda s, d: tl(s, d).select("seq", in_zone(F.col("ts"), "America/Sao_Paulo", F.col("raw")).alias("at")), f"{TL} SELECT seq, concat(strftime(ts - INTERVAL 3 HOURS, '%Y-%m-%dT%H:%M:%S'), '-03:00') AS at FROM z"),
 }
+QUERIES["detection_rules_by_index"] = QUERIES["detection_rules_by_index"][0], QUERIES["detection_rules"][1]
+QUERIES["chains_through_host"] = (lambda s, d: movement.through_host(movement.chains(hops(s, d), window_s=WEEK), "HOST3").select("pattern", "source_ip", "hop_count", F.size("target_hosts").cast("long").alias("hosts"), "start_us"), f"""{SEQ}, m AS (SELECT *, min(us) OVER (PARTITION BY source_ip) f FROM hop)
+SELECT CASE WHEN n >= 3 THEN 'MULTI_HOP_CHAIN' ELSE 'SEQUENTIAL_HOP' END pattern, source_ip, n hop_count, hosts, start_us FROM g JOIN (SELECT DISTINCT source_ip, chain FROM c WHERE target_host = 'host3') USING (source_ip, chain)
+UNION ALL SELECT 'FAN_OUT', source_ip, count(*), count(DISTINCT target_host), min(us) FROM m WHERE us - f <= {WEEK}000000 GROUP BY source_ip HAVING count(DISTINCT target_host) >= 3 AND bool_or(target_host = 'host3')
+UNION ALL SELECT 'CREDENTIAL_REUSE', arg_min(source_ip, (us, seq)), count(*), count(DISTINCT target_host), min(us) FROM hop GROUP BY username HAVING count(DISTINCT target_host) >= 2 AND bool_or(target_host = 'host3')""")

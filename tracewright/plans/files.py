@@ -11,7 +11,7 @@ from tracewright.plans import events as E
 from tracewright.plans.derived import duck, view
 from tracewright.plans.snapshots import QUERIES as SNAPSHOTS
 from tracewright.plans.snapshots import auth_lines, windows_rows
-from tracewright.sources import logs, records, windows
+from tracewright.sources import logs, records, timelines, windows
 from tracewright.sources.shared import fresh
 
 TL = f"WITH t AS ({duck('timeline')})"
@@ -81,6 +81,20 @@ def evidence_files(s, d):
     return records.evidence(s, path).select(F.regexp_extract("path", r"^k=(\d+)/", 1).cast("long").alias("s_suppkey"), "sha256").where("s_suppkey is not null")
 
 
+def evidence_chunks(s, d):
+    """The same with every file hashed by a task that reads it in chunks."""
+    path = fresh(s)
+    s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("k")).repartition("k").write.partitionBy("k").text(path)
+    return records.evidence(s, path, most=-1).select(F.regexp_extract("path", r"^k=(\d+)/", 1).cast("long").alias("s_suppkey"), "sha256").where("s_suppkey is not null")
+
+
+def stored_timeline(s, d):
+    """A case, a host and some days of a timeline that was written by case, day and host."""
+    path = fresh(s)
+    timelines.write_timeline(E.tl(s, d), path, hosts=2)
+    return timelines.read_timeline(s, path, case_id=" CASE7", since="2024-01-05", until="2024-01-25T12:00:00Z", host="HOST3").select("seq", "case_id", "host", F.unix_micros("ts").alias("us"))
+
+
 def windows_files(s, d):
     path = fresh(s)
     windows_rows(s, d).select("System", "EventData").write.format("xml").option("rootTag", "Events").option("rowTag", "Event").save(path)
@@ -146,6 +160,8 @@ QUERIES = {
     "observation_files": (observation_files, "SELECT concat('case', c_custkey) case_id, 'macos' platform, k AS key, v AS value FROM (SELECT c_custkey, unnest(['name', 'segment']) k, unnest([c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END]) v FROM customer) WHERE v IS NOT NULL"),
     "snapshot_files": (snapshot_files, f"WITH t AS ({duck('processes')}) SELECT subject, pid, ppid, name, path FROM t"),
     "evidence_files": (evidence_files, "SELECT s_suppkey, sha256(concat(s_name, chr(10))) sha256 FROM supplier"),
+    "evidence_chunks": (evidence_chunks, "SELECT s_suppkey, sha256(concat(s_name, chr(10))) sha256 FROM supplier"),
+    "stored_timeline": (stored_timeline, f"{TL} SELECT seq, case_id, host, epoch_us(ts) us FROM t WHERE case_id = 'case7' AND host = 'host3' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25 12:00:00'"),
     "windows_event_files": (windows_files, f"SELECT action, category, actor, count(*) n, max(\"at\") AS last FROM ({SNAPSHOTS['windows_events'][1]}) GROUP BY 1, 2, 3"),
     "auth_log_files": (log_files, f"SELECT \"at\", host, actor, target, action FROM ({SNAPSHOTS['auth_log_events'][1]})"),
     "export_run_csv": (written("csv"), f"{TL} SELECT CAST(seq AS VARCHAR) seq, {ISO.format('ts')} AS ts, concat('[', seq, ']') k, case_id, raw {KEPT}"),

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT = "timestamp STRING, source STRING, host STRING, hostname STRING, category STRING, severity STRING, actor STRING, target STRING, action STRING, event_type STRING, raw STRING, case_id STRING, metadata MAP<STRING,STRING>"
+CHUNK = 1 << 20
 OBSERVATION = "case_id STRING, collected_at STRING, platform STRING, observations MAP<STRING,STRING>"
 
 
@@ -41,15 +47,37 @@ def read_snapshot(spark: SparkSession, path: str, schema: str, field: str = "pro
     return rows.select(F.explode(F.coalesce(field, F.array(F.struct(*(c for c in rows.columns if c != field))))).alias("r")).select("r.*")
 
 
-def evidence(spark: SparkSession, root: str, *, skip: str = "integrity_manifest.json", most: int = 1 << 28) -> DataFrame:
-    """path (from the root) and sha256 of every file below it but the manifest.
+def sha256_of(uri: str) -> str:
+    """The hash of one file, read a MiB at a time; names are as Spark lists them, with nothing escaped."""
+    local = re.match("file:/+(.*)", uri)
+    system, path = (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+    digest = hashlib.sha256()
+    with system.open_input_stream(path) as stream:
+        while chunk := stream.read(CHUNK):
+            digest.update(chunk)
+    return digest.hexdigest()
 
-    A task holds one file at a time; files of over ``most`` bytes are refused by name before any is read.
+
+def evidence(spark: SparkSession, root: str, *, skip: str = "integrity_manifest.json", most: int = 1 << 26) -> DataFrame:
+    """path (from the root) and sha256 of every file below it but the manifest, whatever its size.
+
+    Files of up to ``most`` bytes are read whole by Spark. Larger ones, such as images of disks and memory, go to tasks by
+    name, which hash them in chunks of a MiB; their store has to be one that pyarrow opens (local or shared folders, HDFS
+    with its native library, S3, GCS). A hash runs through its file in order, so one file is one task.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    large = rows.where(F.col("length") > most).select("path", "length").head()
-    if large:
-        raise ValueError(f"{large['path']} has {large['length']} bytes; most={most} is what a task may hold")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^[a-z]+:/+", "/")
     below = F.lit(len(re.sub("^[a-z]+:/+", "/", root).rstrip("/")) + 2)
-    return rows.withColumn("p", path).select(F.substr("p", below).alias("path"), F.sha2("content", 256).alias("sha256")).where(F.col("path") != skip)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array([uri]), pa.array([sha256_of(uri)])], ["path", "sha256"])
+
+    small = listed.where(F.col("length") <= most).select("path", F.sha2("content", 256).alias("sha256"))
+    large = listed.where(F.col("length") > most).select("path").repartition("path").mapInArrow(run, "path string, sha256 string")
+    # a scan passes over files without bytes; their names are known from the listing that Spark holds anyway
+    names = spark.createDataFrame([(unquote(re.sub("^file:/+", "file:/", x)),) for x in listed.inputFiles()], "path string")
+    empty = names.join(listed.select("path"), "path", "left_anti").withColumn("sha256", F.lit(hashlib.sha256().hexdigest()))
+    both = small.unionByName(large).unionByName(empty).select(F.substr(path, below).alias("path"), "sha256")
+    return both.where(F.col("path") != skip)
