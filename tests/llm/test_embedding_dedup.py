@@ -115,3 +115,57 @@ def test_dense_and_loose_components(spark):
     for block in (16, 256):
         got = e.near_embeddings(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA).repartition(3), block=block).collect()
         assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+
+
+def bucketed(spark, rows, bits):
+    frame = e.vectors(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA).repartition(4), "vec_id", "embedding", "label")
+    reps = frame.selectExpr("row", "label", "v", "1L as copies")
+    return frame, reps, e.sided(reps, bits, 2, 1)
+
+
+def test_groups_are_buckets_and_none_exceeds_two_blocks(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, x.astype(np.float32).tolist(), 1 + i % 2) for i, x in enumerate(rng.normal(size=(3000, 16)))]
+    _, reps, sides = bucketed(spark, rows, 8)
+    dealt = e.centred(sides, ["t", "label", "side"], 256).groupBy("k").count().collect()
+    assert len(dealt) == sides.select("t", "label", "side").distinct().count() > 500 and max(r["count"] for r in dealt) <= 256
+    alike = [(i, [1.0, 2.0 + i * 1e-6], 1) for i in range(3000)]
+    _, reps, sides = bucketed(spark, alike, 8)
+    dealt = e.centred(sides.where("t = 0"), ["t", "label", "side"], 256).groupBy("k").count().collect()
+    assert len(dealt) >= 12 and max(r["count"] for r in dealt) <= 512 and sum(r["count"] for r in dealt) <= 3000 + len(dealt)
+
+
+def test_planes_grow_with_the_table():
+    bits, tables = e.planes(200, 0.98, 256)
+    assert bits == e.BITS and 4 <= tables <= 6
+    for n in (10_000, 1_000_000, 10**9):
+        bits, tables = e.planes(n, 0.98, 256)
+        assert n / 2**bits <= 128 and 1 - (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** tables >= 0.98
+
+
+def test_planes_apart_see_missed_rare_pairs(spark):
+    """Nothing found of ten pairs among thousands of vectors is not a recall of one."""
+    rng, rows = np.random.default_rng(2), []
+    for _ in range(10):
+        centre = rng.normal(size=16)
+        rows += [centre, centre + 0.05 * rng.normal(size=16)]
+    rows = [(i, x.astype(np.float32).tolist(), 1) for i, x in enumerate([*rows, *rng.normal(size=(2000, 16))])]
+    _, reps, _ = bucketed(spark, rows, 8)
+    reps = e.cut(reps)
+    apart = e.cut(e.compared(e.sided(reps, *e.planes(2020, 0.98, 256), 5), ["t", "label", "side"], reps, e.NEIGHBOURS, e.FLOOR, 0.98, 256))
+    assert e.known_share(apart.limit(0), apart, 0.98) == 0.0 and e.known_share(apart, apart, 0.98) == 1.0
+    assert e.known_share(apart.limit(0), apart.limit(0), 0.98) == 1.0
+
+
+def test_recall_over_rare_pairs_of_a_large_label(spark):
+    rng = np.random.default_rng(6)
+    pairs = rng.normal(size=(300, 32))
+    x = np.concatenate([pairs, pairs + 0.15 * rng.normal(size=(300, 32)), rng.normal(size=(5400, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like = unit @ unit.T
+    np.fill_diagonal(like, 0)
+    want = (like >= 0.98).sum(axis=1)
+    assert want.sum() > 200
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x.astype(np.float32))]
+    got = {r.vec_id: r.n_links for r in e.near_embeddings(spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA).repartition(4)).collect()}
+    assert sum(min(got[i], n) for i, n in enumerate(want)) >= 0.97 * want.sum()

@@ -1,13 +1,19 @@
 """Near duplicates among embeddings by NN-descent.
 
-Neighbour lists begin with random hyperplanes: vectors of one label that fall on the same sides meet in blocks of
-bounded size. Then lists are refined again and again: the neighbours of each vector, in both directions, meet under
-it and are compared, so neighbours of neighbours find each other. A list that is full of near vectors is saturated and
-grows twofold; those of lesser likeness keep places of their own in it. Lists only say who meets next: all near pairs of a
-meeting join their rows to components, whether a list has room for them or not, and links are counted exactly inside
-components: what lies within half the threshold's angle of one centre is linked throughout, the rest is compared block by
-block. After that the recall is audited against brute force for sampled queries of each size of
-group; if it is short in any, more hyperplanes are drawn and refined, and at last all blocks of each label are compared.
+Neighbour lists begin with random hyperplanes: vectors of one label that fall on the same sides are a bucket. The number of
+planes grows with the largest label, so buckets stay about as small as a block, and the number of tables grows with it, so
+that a pair at the threshold shares a bucket of one of them with probability 0.98. A bucket of more than a block is
+dealt to blocks that all hold its first vector; no two blocks are compared. Then lists are refined again and again: the
+neighbours of each vector, in both directions, meet under it, again in blocks that share it, so neighbours of neighbours
+find each other. A list that is full of near vectors is saturated and grows twofold; those of lesser likeness keep places
+of their own in it. Lists only say who meets next: all near pairs of a meeting join their rows to components, whether a
+list has room for them or not, and links are counted exactly inside components: what lies within half the threshold's
+angle of one centre is linked throughout, the rest is compared block by block.
+
+The recall is audited twice. A set of planes drawn apart finds pairs by itself, and what share of them was known, for each
+size of group, says what is missing, however rare links are; what it finds is added. And a sample of fixed size of each
+class of links is compared with all vectors. If either is short, more planes are drawn and lists refined; at last all
+blocks of each label are compared.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 from tracewright.llm._graph import components, roots
 from tracewright.llm._session import arrow_rows, cut, stored
 
-THRESHOLD, FLOOR, NEIGHBOURS, MOST, TABLES, BITS, BLOCK, WIDE, SEED = 0.98, 0.9, 8, 32, 4, 8, 256, 1024, 11
+THRESHOLD, FLOOR, NEIGHBOURS, MOST, BITS, BLOCK, WIDE, SEED, CHANCE = 0.98, 0.9, 8, 32, 8, 256, 1024, 11, 0.98
 QUERIES_AUDITED, RECALL, ROUNDS, TURNS = 128, 0.97, 3, 4
 
 
@@ -69,13 +75,27 @@ def _sides(bits: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def blocked(df: DataFrame, key: list[str], row: str = "row", block: int = BLOCK) -> DataFrame:
-    """Rows of a key dealt to pairs of its blocks; inside, each pair of rows meets once: k, side (2 for one block)."""
+    """Rows of a key dealt to all pairs of its blocks; inside, each pair of rows meets once: k, half (2 for one block)."""
     sizes = df.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64(row, F.lit(SEED)), F.col("blocks").cast("long")).cast("int")
     rows = df.join(sizes, key).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    half = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     k = F.xxhash64(*key, F.least("mine", "other"), F.greatest("mine", "other"))
-    return rows.withColumn("side", side).withColumn("k", k).drop("blocks", "mine", "other")
+    return rows.withColumn("k", k).withColumn("half", half).drop("blocks", "mine", "other")
+
+
+def centred(df: DataFrame, key: list[str], block: int, turn: int = 0) -> DataFrame:
+    """Rows of a key dealt to its blocks, about ``block`` rows each, and its first row (of a hash) to each of them: k, half, row.
+
+    Work grows with the rows of a key and not with their square. Who shares a block changes from turn to turn.
+    """
+    first = F.min(F.struct(F.xxhash64("row", F.lit(SEED + turn)).alias("h"), "row"))
+    sizes = df.groupBy(*key).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"), first.alias("first"))
+    mine = F.pmod(F.xxhash64("row", F.lit(SEED + 7 * turn)), F.col("blocks").cast("long")).cast("int")
+    sizes = stored(sizes)
+    rows = df.join(sizes.select(*key, "blocks"), key).select(*key, mine.alias("mine"), "row")
+    shared = sizes.where("blocks > 1").select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"), F.col("first.row").alias("row"))
+    return rows.unionByName(shared).select(F.xxhash64(*key, "mine").alias("k"), F.lit(2).alias("half"), "row").distinct()
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -98,14 +118,14 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def similarities(table: pa.Table) -> np.ndarray:
     """Cosines of all rows of a group; of rows that do not meet in it, of other lengths, and of each with itself -2."""
-    raw, side = table.column("v").to_pylist(), table.column("side").to_numpy()
+    raw, half = table.column("v").to_pylist(), table.column("half").to_numpy()
     size = np.array([len(x) for x in raw])
     out = np.full((len(raw), len(raw)), -2.0)
     for n in np.unique(size).tolist():
         at = np.flatnonzero(size == n)
         x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
         out[np.ix_(at, at)] = x @ x.T
-    out[(side[:, None] == side[None, :]) & (side[:, None] != 2)] = -2
+    out[(half[:, None] == half[None, :]) & (half[:, None] != 2)] = -2
     np.fill_diagonal(out, -2)
     return out
 
@@ -133,13 +153,29 @@ def _best(most: int, floor: float, threshold: float) -> Callable[[Iterator[pa.Re
     return run
 
 
-def compared(members: DataFrame, key: list[str], reps: DataFrame, most: int, floor: float, threshold: float, block: int) -> DataFrame:
-    """a, b, s, joined: what rows of one key find of each other."""
-    dealt = blocked(members, key, block=block).select("k", "side", "row").join(reps.select("row", "v"), "row")
+def compared(members: DataFrame, key: list[str], reps: DataFrame, most: int, floor: float, threshold: float, block: int, turn: int = 0) -> DataFrame:
+    """a, b, s, joined: what rows that share a key find of each other, in blocks with a row in common."""
+    dealt = centred(members, key, block, turn).join(reps.select("row", "v"), "row")
     found = dealt.repartition("k").sortWithinPartitions("k").mapInArrow(_best(most, floor, threshold), "a long, b long, s double")
     return found.withColumn("joined", F.isnull("s"))
 
 
+def planes(largest: int, threshold: float, block: int, bits: int = BITS) -> tuple[int, int]:
+    """How many planes a table has, so that a bucket of the largest label is about half a block, and how many tables."""
+    bits = max(bits, math.ceil(math.log2(max(1, largest) / block)) + 1)
+    shared = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return bits, 1 if shared > CHANCE else math.ceil(math.log(1 - CHANCE) / math.log(1 - shared))
+
+
+def sided(reps: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+    """row, label, side and t of each table of planes."""
+    drawn = [reps.select("row", "v").mapInArrow(_sides(bits, seed + t), "row long, side long").withColumn("t", F.lit(t)) for t in range(tables)]
+    members = drawn[0]
+    for d in drawn[1:]:
+        members = members.unionByName(d)
+    return members.join(reps.select("row", "label"), "row").select("row", "label", "side", "t")
+
+
 def lists(edges: DataFrame, most: int, threshold: float) -> DataFrame:
     """The best of each list: NEIGHBOURS, twice that for each time it is full of near vectors, most at last, and then as
     many of those below the threshold as if it held no others. What joins rows stays whole, with s null where it is not listed."""
@@ -160,11 +196,11 @@ def refine(edges: DataFrame, reps: DataFrame, *, threshold: float, floor: float,
     """Neighbours of neighbours meet until lists stay as they are, or for that many turns."""
     edges = cut(lists(edges, most, threshold))
     known = edges.agg(F.count("*"), F.sum("s")).first()
-    for _ in range(turns):
+    for turn in range(turns):
         listed = edges.where("s is not null")
         both = listed.select(F.col("a").alias("pivot"), F.col("b").alias("row")).unionByName(listed.select(F.col("b").alias("pivot"), F.col("a").alias("row")))
         members = both.unionByName(both.select("pivot", F.col("pivot").alias("row"))).distinct()
-        edges = cut(lists(edges.unionByName(compared(members, ["pivot"], reps, NEIGHBOURS, floor, threshold, block)), most, threshold))
+        edges = cut(lists(edges.unionByName(compared(members, ["pivot"], reps, NEIGHBOURS, floor, threshold, block, turn + 1)), most, threshold))
         now = edges.agg(F.count("*"), F.sum("s")).first()
         if now[0] == known[0] and abs((now[1] or 0) - (known[1] or 0)) <= 1e-6 * max(1.0, now[1] or 0):
             break
@@ -210,7 +246,7 @@ def _counts(members: DataFrame, key: str, reps: DataFrame, threshold: float, blo
     members = stored(members.select("row", F.col(key).alias("key")))
     sizes = stored(members.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("centre")))
     large = sizes.where(F.col("size") > block)
-    small = blocked(members.join(sizes.where(F.col("size") <= block).select("key"), "key", "left_semi"), ["key"], block=block).select("k", "side", "row")
+    small = blocked(members.join(sizes.where(F.col("size") <= block).select("key"), "key", "left_semi"), ["key"], block=block).select("k", "half", "row")
     if not large.limit(1).count():
         return _met(small, reps, threshold)
     centres = stored(large.join(reps.select(F.col("row").alias("centre"), F.col("v").alias("c")), "centre").select("key", "c"))
@@ -223,8 +259,8 @@ def _counts(members: DataFrame, key: str, reps: DataFrame, threshold: float, blo
     every = F.col("within") + F.col("beyond") - 1
     others = F.when(~F.col("inside"), F.sequence(F.lit(0), every)).when(F.col("beyond") > 0, F.sequence("within", every))
     dealt = rows.withColumn("mine", F.when(F.col("inside"), at("within")).otherwise(F.col("within") + at("beyond"))).withColumn("other", F.explode(others))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("ball")).alias("k"), side.alias("side"), "row")
+    half = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"), F.lit("ball")).alias("k"), half.alias("half"), "row")
     counted_ = rows.where("inside").select("row", (F.col("total") - F.col("copies")).alias("links"), "root").where("links > 0")
     return _met(small.unionByName(dealt), reps, threshold).unionByName(counted_)
 
@@ -245,18 +281,32 @@ def exact(reps: DataFrame, *, threshold: float, block: int = WIDE) -> DataFrame:
     return _counts(reps.select("row", "label"), "label", reps, threshold, block)
 
 
-def audit(reps: DataFrame, links: DataFrame, *, threshold: float, queries: int = QUERIES_AUDITED) -> float:
+def known_share(edges: DataFrame, apart: DataFrame, threshold: float) -> float:
+    """Of the pairs that planes drawn apart have joined, the share that was in one component: the least of all sizes of group.
+
+    Sizes are those of components with both; they double from class to class. Without any pair apart nothing is missing that
+    planes find with probability 0.98 each time.
+    """
+    near = lambda e: e.where((F.col("s") >= threshold) | F.col("joined")).select("a", "b")
+    old, both = components(near(edges)), components(near(edges).unionByName(near(apart)))
+    sizes = both.groupBy("component").agg(F.floor(F.log2(F.count("*"))).alias("class"))
+    classed = both.join(sizes, "component").join(old.withColumnRenamed("component", "old"), "vertex", "left").select("vertex", "class", F.coalesce("old", "vertex").alias("old"))
+    ends = near(apart).join(classed.select(F.col("vertex").alias("a"), "class", F.col("old").alias("of_a")), "a").join(classed.select(F.col("vertex").alias("b"), F.col("old").alias("of_b")), "b")
+    least = ends.groupBy("class").agg(F.avg((F.col("of_a") == F.col("of_b")).cast("int")).alias("known")).agg(F.min("known")).first()[0]
+    return 1.0 if least is None else float(least)
+
+
+def audit(reps: DataFrame, links: DataFrame, *, threshold: float, queries: int = QUERIES_AUDITED) -> float | None:
     """The mean share of a vector's links, against all vectors, that are found: the least of all sizes of group.
 
-    About that many vectors of smallest hash, or the root of the table's length if that is more, are asked of each class
-    of links found; means are over the vectors of each class of true links. Classes double.
+    About that many vectors of smallest hash are asked of each class of links found, whatever the table's length; means are
+    over the vectors of each class of true links. Classes double. None if no vector asked has a link: nothing is known.
     """
     got = reps.join(links.groupBy("row").agg(F.sum("links").alias("links")), "row", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     got = got.withColumn("class", F.floor(F.log2(F.col("links") + 1)))
     sizes = {r["class"]: r["count"] for r in got.groupBy("class").count().collect()}
     if not sizes:
-        return 1.0
-    queries = max(queries, math.ceil(math.sqrt(sum(sizes.values()))))
+        return None
     share = F.create_map(*(F.lit(x) for c, n in sizes.items() for x in (c, min(1.0, queries / n))))[F.col("class")]
     asked = F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(1 << 30)) < share * (1 << 30)
     sample = got.where(asked).select("row", "label", "v", "links").collect()
@@ -285,10 +335,10 @@ def audit(reps: DataFrame, links: DataFrame, *, threshold: float, queries: int =
     for r in sample:
         if n := true.get(r["row"]):
             shares.setdefault(int(math.log2(n + 1)), []).append(min(n, r["links"]) / n)
-    return min((sum(x) / len(x) for x in shares.values()), default=1.0)
+    return min((sum(x) / len(x) for x in shares.values()), default=None)
 
 
-def near_embeddings(table: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, tables: int = TABLES, bits: int = BITS, most: int = MOST, block: int = BLOCK, recall: float = RECALL, rounds: int = ROUNDS) -> DataFrame:
+def near_embeddings(table: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, floor: float = FLOOR, bits: int = BITS, most: int = MOST, block: int = BLOCK, recall: float = RECALL, rounds: int = ROUNDS) -> DataFrame:
     """Per vector: vec_id, n_links, component_id and kept.
 
     Vectors of one label are linked if their cosine is threshold or more; vectors without label, null, zero, or with
@@ -299,16 +349,19 @@ def near_embeddings(table: DataFrame, *, vec_id: str = "vec_id", embedding: str
     rows = vectors(table, vec_id, embedding, label)
     classes = rows.where("v is not null").groupBy("c", "d").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     reps = cut(rows.select("row", "label", "v").join(classes.select("row", "copies"), "row"))
-    edges = None
+    sizes = reps.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    bits, tables = planes(sizes or 0, threshold, block, bits)
+    key, edges = ["t", "label", "side"], None
+    meet = lambda seed: compared(sided(reps, bits, tables, seed), key, reps, NEIGHBOURS, floor, threshold, block)
     for r in range(rounds):
-        drawn = [reps.select("row", "v").mapInArrow(_sides(bits, SEED + 100 * r + t), "row long, side long").join(reps.select("row", "label"), "row").select("row", "label", "side", F.lit(t).alias("t")) for t in range(tables)]
-        members = drawn[0]
-        for d in drawn[1:]:
-            members = members.unionByName(d)
-        fresh = compared(members, ["t", "label", "side"], reps, NEIGHBOURS, floor, threshold, block)
+        fresh = meet(SEED + 1000 * r)
         edges = refine(fresh if edges is None else edges.unionByName(fresh), reps, threshold=threshold, floor=floor, most=most, block=block)
+        apart = stored(meet(SEED + 1000 * r + 500))
+        share = known_share(edges, apart, threshold)
+        edges = cut(lists(edges.unionByName(apart), most, threshold))
         links = counted(edges, reps, threshold=threshold, block=block)
-        if audit(reps, links, threshold=threshold) >= recall:
+        seen = audit(reps, links, threshold=threshold) if share >= recall else None
+        if share >= recall and (seen is None or seen >= recall):
             break
     else:
         links = exact(reps, threshold=threshold)
