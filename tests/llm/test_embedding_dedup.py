@@ -153,8 +153,8 @@ def test_planes_apart_see_missed_rare_pairs(spark):
     _, reps, _ = bucketed(spark, rows, 8)
     reps = e.cut(reps)
     apart = e.cut(e.compared(e.sided(reps, *e.planes(2020, 0.98, 256), 5), ["t", "label", "side"], reps, e.NEIGHBOURS, e.FLOOR, 0.98, 256))
-    assert e.known_share(apart.limit(0), apart, 0.98) == 0.0 and e.known_share(apart, apart, 0.98) == 1.0
-    assert e.known_share(apart.limit(0), apart.limit(0), 0.98) == 1.0
+    assert e.known_share(apart.limit(0), apart) == 0.0 and e.known_share(apart, apart) == 1.0
+    assert e.known_share(apart.limit(0), apart.limit(0)) == 1.0
 
 
 def test_recall_over_rare_pairs_of_a_large_label(spark):

@@ -272,8 +272,7 @@ def _met(dealt: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
 def counted(edges: DataFrame, reps: DataFrame, *, threshold: float, block: int) -> DataFrame:
     """row, links and root: exact counts inside the components of the links found."""
-    near = edges.where((F.col("s") >= threshold) | F.col("joined"))
-    return _counts(components(near.select("a", "b")).withColumnRenamed("vertex", "row"), "component", reps, threshold, block)
+    return _counts(components(edges.where("joined").select("a", "b")).withColumnRenamed("vertex", "row"), "component", reps, threshold, block)
 
 
 def exact(reps: DataFrame, *, threshold: float, block: int = WIDE) -> DataFrame:
@@ -281,13 +280,13 @@ def exact(reps: DataFrame, *, threshold: float, block: int = WIDE) -> DataFrame:
     return _counts(reps.select("row", "label"), "label", reps, threshold, block)
 
 
-def known_share(edges: DataFrame, apart: DataFrame, threshold: float) -> float:
+def known_share(edges: DataFrame, apart: DataFrame) -> float:
     """Of the pairs that planes drawn apart have joined, the share that was in one component: the least of all sizes of group.
 
     Sizes are those of components with both; they double from class to class. Without any pair apart nothing is missing that
     planes find with probability 0.98 each time.
     """
-    near = lambda e: e.where((F.col("s") >= threshold) | F.col("joined")).select("a", "b")
+    near = lambda e: e.where("joined").select("a", "b")  # noqa: E731  what is near is joined where it met
     old, both = components(near(edges)), components(near(edges).unionByName(near(apart)))
     sizes = both.groupBy("component").agg(F.floor(F.log2(F.count("*"))).alias("class"))
     classed = both.join(sizes, "component").join(old.withColumnRenamed("component", "old"), "vertex", "left").select("vertex", "class", F.coalesce("old", "vertex").alias("old"))
@@ -357,7 +356,7 @@ def near_embeddings(table: DataFrame, *, vec_id: str = "vec_id", embedding: str
         fresh = meet(SEED + 1000 * r)
         edges = refine(fresh if edges is None else edges.unionByName(fresh), reps, threshold=threshold, floor=floor, most=most, block=block)
         apart = stored(meet(SEED + 1000 * r + 500))
-        share = known_share(edges, apart, threshold)
+        share = known_share(edges, apart)
         edges = cut(lists(edges.unionByName(apart), most, threshold))
         links = counted(edges, reps, threshold=threshold, block=block)
         seen = audit(reps, links, threshold=threshold) if share >= recall else None
