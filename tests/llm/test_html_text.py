@@ -33,6 +33,37 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+RUSSIAN = "Городской совет проголосовал за строительство нового моста через реку, и решение далось депутатам совсем не просто. Многие жители города давно ждали этого, потому что старый мост был закрыт весной прошлого года, а объезд занимал больше часа."
+POLISH = "Rada miasta przegłosowała budowę nowego mostu przez rzekę, choć decyzja wcale nie była łatwa. Wielu mieszkańców czekało długo, ponieważ stary most zamknięto wiosną ubiegłego roku, objazd zajmował ponad godzinę dziennie każdemu kierowcy."
+MORE = "It was said by the council that the work on it is to begin in the first days of May and that it will be done by the end of the year, at a cost that is not yet known to all of those who will have to pay for it in the years to come."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><div class='search'><article>The only one.</article></div></body>", "The only one."),
+        (f"<body><div class='ad-free-story'><p>{LONG}</p><p>{MORE}</p></div></body>", f"{LONG}\n\n{MORE}"),
+        (f"<main><p>{LONG}</p><section id='related-work'><h2>Related work</h2><p>{MORE}</p></section></main>", f"{LONG}\n\nRelated work\n\n{MORE}"),
+        (f"<article><p>{LONG}</p><section class='share-price'><p>{MORE}</p></section></article>", f"{LONG}\n\n{MORE}"),
+        (f"<p>{RUSSIAN}</p><p>{RUSSIAN}</p><footer>The terms of the site are to be read by all of you</footer>", f"{RUSSIAN}\n\n{RUSSIAN}"),
+        (f"<p>{POLISH}</p><p>{POLISH}</p>", f"{POLISH}\n\n{POLISH}"),
+        ("<article><p>We have <math><mi>x</mi><annotation>x</annotation></math> and <button>press</button> here, as was said.</p><button>Like</button></article>", "We have x and press here, as was said."),
+        (f"<p>{LONG}</p><pre>{'for i in range(10): print(i) ' * 12}</pre><p>{MORE}</p>", f"{LONG}\n\n{('for i in range(10): print(i) ' * 12).strip()}\n\n{MORE}"),
+        (f"<article><p>{LONG}</p><h2>References</h2><ol><li><a href=x>Of bridges</a></li><li><a href=y>Of towns</a></li></ol></article>", f"{LONG}\n\nReferences\n\nOf bridges\n\nOf towns"),
+        (f"<p>The sign © is {MORE}</p><p>© 2024 the town</p>", f"The sign © is {MORE}"),
+        (f"<form action=x><main><p>{LONG}</p></main><input></form>", LONG),
+        (f"<div class=sidebar-layout><main><p>{LONG}</p></main></div>", LONG),
+        # names that stay what they are
+        (f"<div class=ad-container><p>{LONG}</p></div><article><p>{MORE}</p></article>", MORE),
+        (f"<article><p>{MORE}</p></article><div class=related-posts><article><p>{LONG}</p></article></div>", MORE),
+        (f"<article><p>{MORE}</p></article><div id=comments><article class=comment><p>{LONG}</p></article></div><article class=comment>{LONG}</article>", MORE),
+        (f"<article><p>{MORE}</p><div class=share-links>Send it</div><div class=related-now>Short one</div></article><div class=search><article>Teaser</article></div>", MORE),
+    ],
+)
+def test_names_are_weights(page, text):
+    assert main_text(page) == text
+
+
 def test_text_beside_teasers():
     teaser = "<article><h3><a href=q>The next story</a></h3><p>What is to come of it.</p></article>"
     page = f"<div class=menu>Menu</div><div><h1>Title</h1><p>{LONG}</p><p>It was said by the council.</p><p>{LONG}</p></div>{teaser}{teaser}<p>Of the day</p><footer>{LONG}</footer>"
@@ -43,7 +74,7 @@ def test_text_beside_teasers():
 
 
 def test_broken_markup_ends():
-    for page in ("<" * 20_000, "<a '" * 5_000, "<div>" * 20_000 + "x", "<!--" * 10_000, "</p>" * 10_000, "<script>" * 100, "&#xfffffff;&bogus;" * 100):
+    for page in ("<" * 20_000, "<a '" * 5_000, "<div>" * 20_000 + "x", "<!--" * 10_000, "</p>" * 10_000, "<li>" * 20_000 + "x", "<div class=share-price>" * 5_000 + "x", "<form><article>" * 5_000 + "x", "<script>" * 100, "&#xfffffff;&bogus;" * 100):
         main_text(f"<article>{page}")
 
 

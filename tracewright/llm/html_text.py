@@ -3,8 +3,13 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks by what encloses them (menus, forms,
 adverts and the like are boilerplate), by link density, length and stop-word density; short ones without a clear sign
 stay open. A run of blocks that are nearly text is text if it is long together. An article, or what names itself content,
-shifts the thresholds: inside, only links speak against a block; beside one, nothing but a long run is text. In the second pass open blocks take the label of their nearest
-decided neighbours; between two that differ, a sentence counts as text. Beside an article, an article is no such neighbour.
+shifts the thresholds: inside, only links speak against a block; beside one, nothing but a long run is text. In the second
+pass open blocks take the label of their nearest decided neighbours; between two that differ, a sentence counts as text.
+Beside an article, an article is no such neighbour.
+
+Names are weights. One that only opens with a word of boilerplate ("share-price") counts against what holds no long run
+of text; an article inside a form or what names itself search, header, advert and so on is an article all the same, if it
+is the only one or holds such a run. Stop words judge a block only in their own script; elsewhere sentences stand in.
 """
 
 from __future__ import annotations
@@ -30,49 +35,79 @@ STOP_WORDS = frozenset(
 )
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("hr br img input meta link area base col embed source track wbr".split())
-DROPPED = frozenset("script style noscript template textarea select svg iframe object canvas audio video head title button math map".split())
-OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
+DROPPED = frozenset("script style noscript template textarea select svg iframe object canvas audio video head title map annotation annotation-xml".split())
+OUTSIDE = frozenset("nav footer aside menu dialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTENT = frozenset("article articlebody content entry main maincontent post story".split())
-HINTS = frozenset("ad ads adv advert adverts advertisement advertising alert alerts announcement announcements banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted related replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split())
+#: Names of boilerplate, of which even an article inside is none (firm) or counts (open), and names of readers' comments.
+FIRM = frozenset("advertisement advertising breadcrumb breadcrumbs consent cookie cookies copyright footer gdpr menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup related sidebar signup sponsor sponsored widget widgets".split())
+OPEN = frozenset("ad ads adv advert adverts alert alerts announcement announcements banner header legal login masthead promo promoted search share sharing social subscribe toolbar topbar".split())
+READERS = frozenset("comment comments disqus replies respond".split())
+#: Words that begin names of other things too, and words that add nothing to the name before them.
+LOOSE = frozenset("ad ads alert announcement banner header legal promo related search share sharing social subscribe".split())
+PLAIN = frozenset("area articles bar block body box buttons container content entry form frame holder icons inner items label link links list main module panel posts row section slot space stories text unit wrap wrapper zone".split())
 MARKS = string.punctuation + "«»“”„‘’…¿¡–—"
 LINKS, SHORT, LONG, FEW, MANY = 0.33, 70, 200, 0.15, 0.30
+HARD, SOFT, WEAK = 3, 2, 1
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_RIGHTS = re.compile(r"^\W*(?:©|\(c\)\s|copyright\b)|©\s*(?:19|20)[0-9]{2}", re.I)
+
 
+def hinted(attributes: str) -> tuple[int, bool, bool]:
+    """How much class, id and role speak for boilerplate, whether for content, and whether they name readers' comments.
 
-def hinted(attributes: str) -> int:
-    """-1 if a class, id or role names boilerplate, 1 if one names content, else 0; "no-sidebar" says that there is none."""
-    found = 0
+    HARD for firm names, SOFT for those an article inside overrules, WEAK for a loose word that begins another name.
+    "no-sidebar" says that there is none.
+    """
+    against, content, readers = 0, False, False
     for m in _NAMES.finditer(attributes):
         for token in m[1].strip("\"'").lower().split():
             words = [w for w in _SPLIT.split(token) if w]
-            if words and words[0] not in ("no", "has", "with", "without"):
-                if words[0] in HINTS or words[-1] in HINTS:
-                    return -1
-                found = found or int(words[-1] in CONTENT)
-    return found
+            if not words or words[0] in ("no", "has", "with", "without"):
+                continue
+            content = content or words[-1] in CONTENT
+            named = [w for w in words if w not in PLAIN] or words
+            ends = {named[0], named[-1]}
+            readers = readers or bool(ends & READERS)
+            if len(named) > 1 and named[0] in LOOSE and named[-1] not in FIRM | OPEN | READERS:
+                against = max(against, WEAK)
+            elif ends & (FIRM | READERS):
+                against = HARD
+            elif ends & OPEN:
+                against = max(against, SOFT)
+    return against, content, readers
 
 
-def blocks(page: str) -> Iterator[tuple[str, int, int, bool]]:
-    """Text, length of it inside links, place (-1 boilerplate, 1 article, 0 neither) and whether it is a heading."""
-    stack: list[tuple[str, int]] = []
+def blocks(page: str) -> Iterator[tuple[str, int, int, str]]:
+    """Text, length of it inside links, place (-1 boilerplate, 1 article, 0 neither) and tag of each block.
+
+    What only holds if there is a long run of text in it is decided when all of it is read.
+    """
+    # an entry of the stack: tag, place (-1 boilerplate but for articles, -2 but for the main part, -3 in any case), and
+    # the question on which that rests (or -1)
+    stack: list[tuple[str, int, int]] = []
+    asked: list[tuple[int, bool]] = []  # of each question: the one around it, and whether an article asks it
+    found: list[tuple[str, int, int, str, int]] = []
     text: list[str] = []
-    linked, in_link, place, heading, breaks = [0], 0, 0, False, 0
+    linked, in_link, breaks = 0, False, 0
+    place, tag, rests = 0, "", -1
 
-    def flush() -> Iterator[tuple[str, int, int, bool]]:
+    def flush() -> None:
+        nonlocal linked
         block = " ".join(html.unescape("".join(text)).split())
         if block:
-            yield block, linked[0], place, heading
+            found.append((block, linked, place, tag, rests))
         text.clear()
-        linked[0] = 0
+        linked = 0
 
     def add(run: str) -> None:
+        nonlocal linked
         text.append(run)
         if in_link:
-            linked[0] += len("".join(html.unescape(run).split()))
+            linked += len("".join(html.unescape(run).split()))
 
     at, end = 0, len(page)
     while at < end:
@@ -92,61 +127,98 @@ def blocks(page: str) -> Iterator[tuple[str, int, int, bool]]:
             breaks += 1
             text.append(" ")
             if breaks > 1:
-                yield from flush()
+                flush()
             continue
         if name in DROPPED:
             if not m[1] and not m[3].endswith("/>"):
                 close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
                 if close:
                     at = page.find(">", close.start()) + 1 or end
-                elif name not in ("head", "title", "map", "button"):
+                elif name not in ("head", "title", "map", "annotation", "annotation-xml"):
                     at = end
             continue
-        if name == "a":
-            in_link = 0 if m[1] else 1
+        if name in ("a", "button"):
+            in_link = not m[1]
             continue
         if name not in BLOCKS:
             continue
         breaks = 0
-        yield from flush()
+        flush()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
                     break
-            in_link = 0
+            in_link = False
         elif name not in VOID:
-            before = stack[-1][1] if stack else 0
-            now = before
             if name in ("p", *HEADINGS):
                 while stack and stack[-1][0] in ("p", *HEADINGS):
                     stack.pop()
-                now = stack[-1][1] if stack else 0
-            if now >= 0 and name not in ("html", "body"):
-                hint = hinted(m[3]) if m[3] != ">" else 0
-                if name in OUTSIDE or name == "header" and now == 0 or name not in ("article", "main") and hint < 0:
-                    now = -1
-                elif name in ("article", "main") or hint > 0 and name in ("div", "section", "td"):
+            _, now, on = stack[-1] if stack else ("", 0, -1)
+            if now > -3 and name not in ("html", "body"):
+                against, content, readers = hinted(m[3]) if m[3] != ">" else (0, False, False)
+                article = name == "main" or name == "article" and not readers
+                if name in OUTSIDE or name == "header" and now == 0 or readers and not article:
+                    now = -3
+                elif against == HARD and not article:
+                    now = -2
+                elif article and (now > -2 or name == "main"):
+                    if now < 0:
+                        asked.append((on, True))
+                        on = len(asked) - 1
                     now = 1
-            stack.append((name, now))
-        place, heading = (stack[-1][1] if stack else 0), bool(stack) and stack[-1][0] in HEADINGS
-    yield from flush()
+                elif now >= 0 and (name in ("form", "fieldset") or against == SOFT):
+                    now = -1
+                elif now >= 0:
+                    now = 1 if content and name in ("div", "section", "td") else now
+                    if against == WEAK:
+                        asked.append((on, False))
+                        on = len(asked) - 1
+            stack.append((name, now, on))
+        _, place, rests = stack[-1] if stack else ("", 0, -1)
+        tag = stack[-2][0] if len(stack) > 1 and stack[-1][0] == "li" else stack[-1][0] if stack else ""
+    flush()
+    holds = [False] * len(asked)
+    for block, links, where, _, q in found:
+        if q >= 0 and where >= 0 and len(block) >= LONG and links <= LINKS * len(block) and spoken(block) >= FEW:
+            while q >= 0 and not holds[q]:
+                holds[q], q = True, asked[q][0]
+    sure = any(where > 0 and q < 0 for _, _, where, _, q in found)
+    stands: list[bool] = []
+    for k, (around, article) in enumerate(asked):
+        stands.append((holds[k] or article and not sure) and (around < 0 or stands[around]))
+    for block, links, where, of, q in found:
+        yield block, links, -1 if where < 0 or q >= 0 and not stands[q] else where, of
+
 
+def spoken(text: str) -> float:
+    """Share of stop words. Where they cannot tell, sentences stand in: MANY in another script, FEW in the same."""
+    words = text.lower().split()
+    share = sum(w.strip(MARKS) in STOP_WORDS for w in words) / len(words)
+    if share >= FEW:
+        return share
+    letters = [c for c in text if c.isalpha()]
+    if 2 * sum(c > "\u024f" for c in letters) > len(letters):
+        return MANY
+    plain = sum(w.strip(MARKS).isalpha() for w in words)
+    return FEW if text[0].isupper() and text[-1] in ".!?…" and len(words) >= 8 and plain >= 0.9 * len(words) else share
 
-def first_pass(text: str, linked: int, place: int, spoken: bool) -> int:
+
+def first_pass(text: str, linked: int, place: int, tag: str) -> int:
     """1 text, -1 boilerplate, 0 open, 2 nearly text."""
     size = len(text)
     density = linked / max(1, size - text.count(" "))
     if place < 0:
         return -1
     if place > 0:
-        return 1 if size >= LONG or density <= LINKS else -1 if density > 0.9 else 0
-    if density > LINKS or "\N{COPYRIGHT SIGN}" in text:
+        return 1 if size >= LONG or density <= LINKS or tag == "ol" else -1 if density > 0.9 else 0
+    if density > LINKS or size < LONG and _RIGHTS.search(text):
         return -1
+    if tag == "pre":
+        return 0
     if size < SHORT:
         return -1 if linked else 0
-    words = text.lower().split()
-    stop = sum(w.strip(MARKS) in STOP_WORDS for w in words) / len(words) if spoken else MANY
+    stop = spoken(text)
     return (1 if size > LONG else 2) if stop >= MANY else 2 if stop >= FEW else -1 if size > LONG else 0
 
 
@@ -155,9 +227,8 @@ def main_text(page: str | None) -> str:
     found = list(blocks(page or ""))
     if not found:
         return ""
-    spoken = any(w.strip(MARKS) in STOP_WORDS for text, *_ in found for w in text.lower().split())
     article = any(place > 0 for _, _, place, _ in found)
-    marks = [first_pass(text, linked, place, spoken) for text, linked, place, _ in found]
+    marks = [first_pass(*block) for block in found]
     beside = [article and not place for _, _, place, _ in found]
     k = 0
     while k < len(marks):
@@ -186,8 +257,8 @@ def main_text(page: str | None) -> str:
         after[k], gap_a[k] = (label(k, last), last - k) if last >= 0 else (-1, len(marks) + 1)
         last = k if marks[k] in (1, -1) else last
     out = []
-    for k, (text, _, _, heading) in enumerate(found):
-        m = marks[k]
+    for k, (text, _, _, tag) in enumerate(found):
+        m, heading = marks[k], tag in HEADINGS
         if m == 2:
             m = 1 if not known or before[k] == 1 or after[k] == 1 else -1 if len(text) < LONG or beside[k] else 1
         elif m == 0:
