@@ -73,3 +73,78 @@ def test_redact_keeps_other_columns_and_takes_overlaps(spark):
 
 def test_empty_table(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    """80,000 addresses: places are right to the last, and replaced texts too; twice as many take about twice as long."""
+    from time import monotonic
+
+    took = []
+    for n in (40_000, 80_000):
+        docs = spark.createDataFrame([(1, "10.0.0.1 " * n)], "doc_id long, text string")
+        start = monotonic()
+        (row,) = pii.find(docs).collect()
+        took.append(monotonic() - start)
+        assert [(s.start, s.end) for s in row.base] == [(9 * k, 9 * k + 8) for k in range(n)]
+    assert took[1] < 3 * took[0] + 2
+    assert pii.redact(docs).first().text == "[IP] " * 80_000
+
+
+def test_replaced_texts_by_a_loop(spark):
+    """Spans that overlap, over several chunks and behind wide characters."""
+    rows = [(k, ("😀 é a@b.co +4111 1111 1111 1111, 10.0.0.1x" * n) + "end") for k, n in enumerate((1, 100, 700))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    for r in pii.redact(docs).collect():
+        out, at, text = [], 0, rows[r.doc_id][1]
+        for s in spans[r.doc_id]:
+            if s.start >= at:
+                out += [text[at : s.start], f"[{s.kind.upper()}]"]
+            at = max(at, s.end)
+        assert r.text == "".join(out) + text[at:]
+
+
+def test_confident_patterns_by_loops(spark):
+    """Scores of the pattern-instance graph, turn by turn, one edge after the other."""
+    rng = random.Random(5)
+    shapes = {"phone": re.compile(r"^[^a-zA-Z0-9]*(?:[0-9][^a-zA-Z0-9]*){7,15}$"), "ip": re.compile(r"^[0-9]+(?:[^0-9a-zA-Z]+[0-9]+){3}$")}
+    edges = {}
+    for _ in range(600):
+        number, seed = rng.randint(0, 60), rng.random() < 0.6
+        kind = "phone" if number % 2 else "ip"
+        instance = f"555 000 {number:04d}" if kind == "phone" else f"10.0.{number}.1"
+        pattern = rng.choice(["call", "tel", "my tel"] if kind == "phone" else ["host", "at"]) if rng.random() < 0.9 else rng.choice(["of", "call", "host"])
+        key = pattern, instance, kind if seed and number < 40 else None
+        edges[key] = edges.get(key, 0) + 1
+    frame = spark.createDataFrame([(*k, n) for k, n in edges.items()], "pattern string, instance string, kind string, n long")
+    got = {r.pattern: (r.kind, round(r.confidence, 9)) for r in pii.confident(frame, turns=3, support=2, confidence=0.7).collect()}
+
+    import math
+
+    links, total = {}, {}
+    for (p, i, _), n in edges.items():
+        links[p, i] = links.get((p, i), 0) + n
+        total[p] = total.get(p, 0) + n
+    seeds = {(i, k): 1.0 for _, i, k in edges if k}
+    scores = dict(seeds)
+    for _ in range(3):
+        hit, distinct = {}, {}
+        for (p, i), n in links.items():
+            for (j, k), score in scores.items():
+                if i == j:
+                    hit[p, k] = hit.get((p, k), 0) + n * score
+                    distinct[p, k] = distinct.get((p, k), 0) + (score > 0.5)
+        good = {(p, k): h / total[p] * distinct[p, k] / (distinct[p, k] + 1) for (p, k), h in hit.items() if distinct[p, k] >= 2}
+        good = {x: c for x, c in good.items() if c >= 0.7 * 2 / 3}
+        miss = {}
+        for (p, i), _n in links.items():
+            for (q, k), c in good.items():
+                if p == q and shapes[k].match(i):
+                    miss[i, k] = miss.get((i, k), 0) + math.log(1 - min(c, 0.999))
+        scores = dict(seeds)
+        for x, m in miss.items():
+            scores[x] = max(scores.get(x, 0), 1 - math.exp(m))
+    want = {}
+    for (p, k), c in good.items():
+        want[p] = max(want.get(p, (0, "")), (c, k))
+    assert got == {p: (k, round(c, 9)) for p, (c, k) in want.items()} and len(got) >= 3

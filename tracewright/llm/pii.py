@@ -8,6 +8,8 @@ Tokens that a pattern of high confidence introduces become spans too. Base spans
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,30 +31,41 @@ SHAPES = {"email": r"^[^@]++@[^@]++$", "ip": r"^[0-9]++(?:[^0-9a-zA-Z]++[0-9]++)
 CHUNK, CELL, CONTEXT, TURNS, SUPPORT, CONFIDENCE = 256, 64, 60, 3, 3, 0.8
 
 
+def in_chunks(items: Column, total: Callable[[Column], Column], join: Callable[[Column, Column], Column], run: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``run`` (a chunk of the items, what the chunks before come to) of all chunks, one array after the other.
+
+    Every chunk is totalled once and hands its total on. What is bound by a one-element transform is not repeated.
+    """
+    last = lambda z: F.floor((F.size(z) - 1) / F.lit(CHUNK)).cast("int")
+    part = lambda z, c: F.transform(F.array(F.slice(z, c * CHUNK + 1, F.lit(CHUNK))), lambda p: F.struct(p.alias("part"), total(p).cast("long").alias("n")))[0]
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
+
+    def before(parts: Column) -> Column:
+        return F.aggregate(parts, begin, lambda a, x: F.struct(join(a["at"], x["n"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def whole(z: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), last(z)), lambda c: part(z, c))
+        return F.transform(F.array(parts), lambda p: F.flatten(F.zip_with(p, before(p), lambda x, at: run(x["part"], at))))[0]
+
+    return F.transform(F.array(items), lambda z: F.when(F.size(z) == 0, F.array().cast(kind)).otherwise(whole(z)))[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Array of (start, end, text, left) of the leftmost matches; places count code points, left is the text before.
 
-    The text is split at the matches and the lengths of the parts are summed chunk by chunk, so that a text with many
-    matches takes no time in their square.
+    The text is split at the matches, and the lengths of the parts are summed chunk by chunk.
     """
     found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     zipped = F.zip_with(parts, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("text"), F.right(p, F.lit(CONTEXT)).alias("left")))
-    zipped = F.slice(zipped, 1, F.size(found))
     kind = "array<struct<start:bigint,end:bigint,text:string,left:string>>"
 
-    def chunk(c: Column, all_: Column) -> Column:
-        before = F.aggregate(F.slice(all_, F.lit(1), c * CHUNK), F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["size"])
-        begin = F.struct(before.alias("at"), F.array().cast(kind).alias("out"))
-
-        def add(a: Column, x: Column) -> Column:
-            start, end = a["at"] + x["gap"], a["at"] + x["gap"] + x["size"]
-            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"), x["left"].alias("left")))).alias("out"))
-
-        return F.aggregate(F.slice(all_, c * CHUNK + 1, F.lit(CHUNK)), begin, add, lambda a: a["out"])
+    def add(a: Column, x: Column) -> Column:
+        start, end = a["at"] + x["gap"], a["at"] + x["gap"] + x["size"]
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"), x["left"].alias("left")))).alias("out"))
 
-    # the array is bound once by a one-element transform, so that no expression repeats it
-    bound = F.transform(F.array(zipped), lambda z: F.when(F.size(z) == 0, F.array().cast(kind)).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / F.lit(CHUNK)).cast("int")), lambda c: chunk(c, z)))))
-    return bound[0]
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x["gap"] + x["size"])
+    run = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), add, lambda a: a["out"])
+    return in_chunks(F.slice(zipped, 1, F.size(found)), total, lambda a, n: a + n, run, kind)
 
 
 def digits(c: Column) -> Column:
@@ -177,15 +190,25 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **opt
     A text without spans, a null one too, stays as it is.
     """
     found = find(docs, doc_id=doc_id, text=text, **options).where(F.size("spans") > 0).groupBy("doc_id", "h").agg(F.first("spans").alias("spans")).alias("f")
-    t, z = F.col(f"d.`{text}`"), "struct<at:bigint,out:array<string>>"
+    t, kind = F.col(f"d.`{text}`"), "array<string>"
+    furthest = lambda part: F.array_max(F.transform(part, lambda s: s["end"]))
+
+    def run(part: Column, at: Column) -> Column:
+        """What is left of the stretch of text from ``at`` to the end of the part's spans; it is cut out once."""
+        stretch = F.substr(t, (at + 1).cast("int"), F.greatest(F.lit(0), furthest(part) - at).cast("int"))
+
+        def replaced(x: Column) -> Column:
+            def add(a: Column, s: Column) -> Column:
+                gap = F.substr(x, (a["at"] - at + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+                fresh = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
+                return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+
+            return F.aggregate(part, F.struct(at.alias("at"), F.array().cast(kind).alias("out")), add, lambda a: a["out"])
 
-    def add(a: Column, s: Column) -> Column:
-        gap = F.substr(t, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        fresh = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
-        inside = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        return F.when(s["start"] >= a["at"], fresh).otherwise(inside)
+        return F.transform(F.array(stretch), replaced)[0]
 
-    rest = F.aggregate(F.col("f.spans"), F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")).cast(z), add, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(t, (a["at"] + 1).cast("int")))), ""))
+    spans = F.col("f.spans")
+    rest = F.array_join(F.concat(in_chunks(spans, furthest, F.greatest, run, kind), F.array(F.substr(t, (furthest(spans) + 1).cast("int")))), "")
     same = F.col(f"d.`{doc_id}`").eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(t) == F.col("f.h"))
     joined = docs.alias("d").join(found.hint("shuffle_hash"), same, "left")
     return joined.select(*(F.when(F.col("f.spans").isNotNull(), rest).otherwise(t).alias(c) if c == text else F.col(f"d.`{c}`") for c in docs.columns))
