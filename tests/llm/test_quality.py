@@ -86,3 +86,20 @@ def test_passages_do_not_depend_on_their_neighbours():
         for before, after in ((b"xx yy. ", b""), (b"", b"Qq zz"), (b"", b"")):
             x, bag = bare(before, text, after)
             assert np.array_equal(x[bag[1] : bag[2]], alone)
+
+
+def test_fitted_texts_are_whole(spark, monkeypatch):
+    """Texts are taken while their passages fit, none in part; those taken come with all their passages."""
+    sizes = {k: 64 * (k % 7 + 1) - (k % 2) * 3 for k in range(60)} | {60: 64 * 500, 61: 0}
+    docs = spark.createDataFrame([(k, " ".join(["word"] * n)) for k, n in sizes.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in sizes], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda x, bag, y: seen.append((len(x), np.diff(bag).tolist(), y.tolist())) or {})
+    whole = {k: max(1, -(-n // 64)) for k, n in sizes.items()}
+    import zlib
+
+    allowed = [k for k in sizes if zlib.crc32(str(k).encode()) % 3 != 1]
+    q.train(docs, labels, sample=100, most=100)
+    assert seen[0][1] == [whole[k] for k in sorted(allowed, key=str)] and seen[0][2] == [k % 2 for k in sorted(allowed, key=str)]
+    q.train(docs, labels, sample=50, most=2)
+    assert seen[1][0] <= 100 and seen[1][0] >= 93 and set(seen[1][1]) <= set(whole.values()) - {500}

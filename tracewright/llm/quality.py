@@ -4,8 +4,9 @@ A document is a bag of passages of ``PASSAGE`` words. Every passage of the whole
 classes, statistics of its words and hashed words go through a learned layer. A gated attention network weighs the
 passages, and the weighted sum is scored. Only the document's label trains all of it.
 
-The model is fitted on a sample of at most ``SAMPLE`` labelled documents, taken by the hash of their id; scoring runs in
-the tasks with the broadcast weights (a few thousand numbers, whatever the input).
+The model is fitted on whole documents, every passage of them: at most ``SAMPLE`` labelled ones, taken by the hash of
+their id while their passages are at most ``SAMPLE * BAG`` together. Scoring runs in the tasks with the broadcast weights
+(a few thousand numbers, whatever the input).
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm import _arrays as A
-from tracewright.llm._session import arrow_rows
+from tracewright.llm._session import arrow_rows, cut
 
-SAMPLE, BAG, PASSAGE, BUCKETS, HIDDEN, GATE, STEPS, SEED = 4000, 512, 64, 16, 24, 12, 600, 7
+SAMPLE, BAG, PASSAGE, BUCKETS, HIDDEN, GATE, STEPS, SEED = 4000, 50, 64, 16, 24, 12, 600, 7
 SPACES = A.word_table(lower_ascii_words=False)
+#: What SPACES cuts words into.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _classes() -> np.ndarray:
@@ -129,24 +132,34 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, most: int = BAG) -> dict[str, np.ndarray]:
-    """Weights from the labelled documents that are not held out, at most ``sample`` rows of them.
+    """Weights from labelled documents that are not held out: at most ``sample``, of ``most`` passages each on average.
 
-    Labels that are null or of ids without document are passed over; of an id with several labels each counts. To fit,
-    a text of more than ``most`` passages gives that many, evenly spread; when texts are scored, all passages count.
+    Labels that are null or of ids without document are passed over; of an id with several labels each counts; repeated
+    rows count once. Documents are taken by the hash of their id, each with all its passages; one whose passages are
+    more than what is left of ``sample * most`` is passed over for the next.
     """
     arrow_rows(docs.sparkSession)
     known = labels.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{label}`").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    joined = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "text", "label", F.xxhash64("text").alias("h"))
+    joined = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(known), "doc_id")
+    joined = joined.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "label", F.xxhash64("text").alias("h"))
+    count = F.greatest(F.lit(1), F.ceil(F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) / PASSAGE))
+    joined = cut(joined.dropDuplicates(["doc_id", "label", "h"]).withColumn("n", count))
+    left, chosen = sample * most, []
+    for r in joined.select("doc_id", "label", "h", "n").orderBy(F.xxhash64("doc_id"), "doc_id", "label", "h").limit(sample).collect():
+        if r.n <= left:
+            left -= r.n
+            chosen.append((r.doc_id, r.label, r.h))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in A.slices(batches, "text"):
             x, bag = passages(*A.text_bytes(batch.column(1)))
-            raw = [x[a:b][np.unique(np.linspace(0, b - a - 1, min(most, b - a)).astype(np.int64))].tobytes() for a, b in zip(bag[:-1].tolist(), bag[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), batch.column(3), pa.array(raw, pa.binary())], names=["doc_id", "label", "h", "x"])
+            raw = [x[a:b].tobytes() for a, b in zip(bag[:-1].tolist(), bag[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(raw, pa.binary())], names=["doc_id", "label", "h", "x"])
 
-    fitted = joined.mapInArrow(run, "doc_id string, label int, h long, x binary").orderBy("doc_id", "label", "h").limit(sample).drop("h")
-    rows = sorted(tuple(r) for r in fitted.collect())
+    taken = docs.sparkSession.createDataFrame(chosen, "doc_id string, label int, h long")
+    fitted = joined.drop("n").join(F.broadcast(taken), ["doc_id", "label", "h"]).select("doc_id", "text", "label", "h").mapInArrow(run, "doc_id string, label int, h long, x binary")
+    rows = [(r.doc_id, r.label, r.x) for r in sorted(fitted.collect(), key=lambda r: (r.doc_id, r.label, r.h))]
     bags = [np.frombuffer(r[2], np.float32).reshape(-1, FEATURES) for r in rows]
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, FEATURES))
     return fit(x, np.append(0, np.cumsum([len(b) for b in bags])).astype(np.int64), np.array([r[1] for r in rows], np.float64))
