@@ -115,3 +115,15 @@ def test_links_against_loops(spark, seed):
     clear = lambda rs: sorted((r for r in rs if r[:2] not in unsure), key=key)
     assert clear(got) == clear(want)
     assert sorted(((r[0], r[1], r[2], r[4]) for r in got), key=key) == sorted(((r[0], r[1], r[2], r[4]) for r in want), key=key)
+
+
+def test_places_sort_in_reply_order_and_rows_of_one_turn_keep_their_own_paths(spark):
+    rows = [(1, 0, "u", "start", 0, 0)] + [(1, t, "u", f"> start\nreply {t}", 0, 0) for t in range(1, 13)]
+    rows += [(1, 13, "u", "> reply 2\nlast", 0, 0), (1, 13, "u", "> reply 10\nlast", 0, 0), (1, 13, "u", "last", 0, 0), (1, 14, "u", "> last\nend", 0, 0), (2, -5, "u", "below", 0, 0), (2, None, "u", "none", 0, 0)]
+    found = chat.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, row int, hash int"))
+    got = [(r.p, r.path) for r in found.where("conv_id = 1").select(chat.place(found.path).alias("p"), "path").collect()]
+    assert [path for _, path in sorted(got)] == sorted(path for _, path in got)
+    assert sorted(path for _, path in got if path[-1] == 13) == [[0, 2, 13], [0, 10, 13], [13]]
+    assert [path for _, path in got if path[-1] == 14] == [[0, 10, 13, 14]]
+    low = sorted((r.p, r.turn) for r in found.where("conv_id = 2").select(chat.place(found.path).alias("p"), "turn").collect())
+    assert low == [("", None), ("7FFFFFFFFFFFFFFB", -5)]

@@ -93,21 +93,32 @@ def link(conversations: DataFrame, *, conv_id: str = "conv_id", turn: str = "tur
 
 
 def ordered(messages: DataFrame) -> DataFrame:
-    """Adds ``path``; each turn doubles the ancestors known, so that turns grow with the logarithm of the depth."""
+    """Adds ``path``; each turn doubles the ancestors known, so that turns grow with the logarithm of the depth.
+
+    A message stands under its own parent. A turn of several rows is, to those that reply to it, where its row of latest
+    parent stands. Messages without a parent are not joined.
+    """
     links = messages.where("parent_turn is not null").groupBy("conv_id", "turn").agg(F.max("parent_turn").alias("up")).withColumn("path", F.array("turn"))
     while links.where("up is not null").limit(1).count():
         higher = links.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
         joined = links.join(higher, ["conv_id", "up"], "left")
         top = F.when(F.col("up").isNull(), F.col("path")).when(F.col("above").isNull(), F.concat(F.array("up"), "path")).otherwise(F.concat("above", "path"))
         links = cut(joined.select("conv_id", "turn", F.when(F.col("above").isNotNull(), F.col("next")).alias("up"), top.alias("path")))
-    paths = links.select("conv_id", "turn", "path")
-    return messages.join(paths, ["conv_id", "turn"], "left").withColumn("path", F.coalesce("path", F.array("turn"))).select(*messages.columns, "path")
+    above = links.select("conv_id", F.col("turn").alias("parent_turn"), F.col("path").alias("above"))
+    replies = messages.where("parent_turn is not null").join(above, ["conv_id", "parent_turn"], "left")
+    replies = replies.select(*messages.columns, F.concat(F.coalesce("above", F.array("parent_turn")), F.array("turn")).alias("path"))
+    return replies.unionByName(messages.where("parent_turn is null").withColumn("path", F.array("turn")))
+
+
+def place(path: Column) -> Column:
+    """A text that sorts like the path: sixteen digits a turn, the lowest turn all zeros."""
+    return F.array_join(F.transform(path, lambda t: F.lpad(F.hex(t.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), "/")
 
 
 def op9_chat(spark, sf_dir: str) -> DataFrame:
-    """``link`` over the whole of conversations; the path as text."""
+    """``link`` over the whole of conversations; the path as text, and place, which sorts a conversation in reply order."""
     found = link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return found.withColumn("path", F.array_join(F.transform("path", lambda t: t.cast("string")), "/"))
+    return found.withColumn("place", place(F.col("path"))).withColumn("path", F.array_join(F.transform("path", lambda t: t.cast("string")), "/"))
 
 
 QUERIES = {"op9_chat": (op9_chat, None)}
