@@ -21,7 +21,9 @@ def test_permutation(n):
 
 def test_split_keeps_totals():
     totals = np.array([1000, 0, 37, 2])
-    parts = list(mixing.split(totals, 7, np.random.default_rng(1)))
+    sizes = list(mixing.even(1039, 7))
+    parts = list(mixing.split(totals, sizes, np.random.default_rng(1)))
+    assert [int(p.sum()) for p in parts] == sizes and max(sizes) - min(sizes) <= 1
     assert sum(parts).tolist() == totals.tolist() and all((p >= 0).all() for p in parts)
 
 
@@ -42,6 +44,38 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert ((by.taken - by.target).abs() <= 0.01 * by.target + 2).all()
 
 
+def test_permutations_of_many_sources_at_once():
+    n = np.repeat([1, 5, 300], [1, 5, 300])
+    at = np.concatenate([np.arange(k) for k in (1, 5, 300)])
+    got = mixing.permuted(at, n, np.repeat([7, 8, 9], [1, 5, 300]))
+    assert all(sorted(got[n == k].tolist()) == list(range(k)) for k in (1, 5, 300))
+    assert (got[n == 300] == mixing.permuted(np.arange(300), 300, 9)).all()
+
+
+def test_thousands_of_sources_are_dealt_in_bundles(spark):
+    """Sources of every size and one that holds a third of all words: counts close, blocks differ, no task has all shards."""
+    rng = np.random.default_rng(3)
+    want = rng.integers(1, 60, 5000)
+    want[17] = want.sum() // 2
+    blocks = np.maximum(1, want // 2)
+    drawn = mixing.slots(spark, want, blocks, shard_slots=500, seed=4, bundle=100)
+    assert drawn.rdd.getNumPartitions() > 100
+    got = drawn.toPandas()
+    assert got.groupby("source").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all()
+    assert np.bincount(got.source, minlength=5000).tolist() == want.tolist()
+    turns = got.assign(turn=got.slot // blocks[got.source])
+    assert not turns.duplicated(["source", "turn", "block"]).any() and (got.block < blocks[got.source]).all()
+    each = got.groupby("shard").slot.count()
+    assert each.max() <= 1000 and (got[got.source == 17].groupby("shard").slot.count() / each).between(0.15, 0.55).mean() > 0.99
+
+
+def test_mix_of_many_sources_and_a_very_long_text(spark):
+    rows = [(i, "w " * (i % 40), f"s{i % 2500}") for i in range(5000)] + [(9000, "long " * 2_000_000, "s0")]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), bundle=300).toPandas()
+    assert len(found) == 5001 and (found.taken <= 2 * found["size"]).all()
+    assert abs(found.taken.sum() - 1.5 * found["size"].sum()) <= 0.01 * found["size"].sum() + 5000
+
+
 def test_mixture_agrees_with_mix_and_stays_inside_documents(spark):
     slots = mixing.mixture(docs(spark)).toPandas()
     sizes = mixing.mix(docs(spark)).toPandas()

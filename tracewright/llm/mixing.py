@@ -9,7 +9,7 @@ of its block numbers (a new one each time round) turns slots into blocks, and th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tracewright.llm._session import cut
 
 WEIGHTS, SHARE, MOST, BLOCK_WORDS, LEAST_BLOCKS, SHARD_SLOTS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 64, 128, 1 << 14, 20_240
+#: Sources dealt together, and counts of groups of shards by bundle that the driver draws.
+BUNDLE, MOST_COUNTS = 1024, 200_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -40,38 +42,49 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def split(totals: np.ndarray, parts: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
-    """Deals totals to parts of about equal size: multinomial counts from what is left, all of it to the last."""
-    left = totals.astype(np.int64)
+def even(total: int, parts: int) -> Iterator[int]:
+    """A total in parts at most one apart."""
     for k in range(parts):
-        n = int(left.sum()) // (parts - k)
-        if k == parts - 1:
-            yield left
-            return
-        draw = np.minimum(rng.multinomial(n, left / max(1, left.sum())), left)
-        while (short := n - int(draw.sum())) > 0:
+        n = total // (parts - k)
+        total -= n
+        yield n
+
+
+def split(totals: np.ndarray, sizes: Iterable[int], rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Deals totals to parts of these sizes: multinomial counts from what is left, which the last part closes."""
+    left = totals.astype(np.int64)
+    for n in sizes:
+        draw = np.zeros_like(left)
+        while (short := int(n) - int(draw.sum())) > 0:
             room = left - draw
             draw += np.minimum(rng.multinomial(short, room / room.sum()), room)
         left = left - draw
         yield draw
 
 
-def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
-    """A keyed permutation of range(n): a Feistel network, walked until it falls inside."""
-    half = np.uint64(max(1, (max(1, n - 1).bit_length() + 1) // 2))
-    low = np.uint64((1 << int(half)) - 1)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = x * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ x >> np.uint64(32)
+
+
+def permuted(index: np.ndarray, n: np.ndarray | int, key: np.ndarray | int) -> np.ndarray:
+    """Of each index its image in the permutation of range(n) that key names: a Feistel network, walked until it falls inside."""
+    n, key = (np.broadcast_to(np.asarray(x), index.shape).astype(np.uint64) for x in (n, key))
+    # halves of so many bits hold n - 1; counts are below 2^52, exact as doubles
+    half = np.maximum(1, (np.frexp(np.maximum(n, 2).astype(np.float64) - 1)[1] + 1) // 2).astype(np.uint64)
+    low = (np.uint64(1) << half) - np.uint64(1)
+    keys = [mixed(key ^ mixed(np.array([r + 1], np.uint64))) for r in range(4)]
     out, todo = index.astype(np.uint64), np.arange(len(index))
-    rounds = np.random.default_rng(key).integers(0, 1 << 63, 4, np.uint64)
     with np.errstate(over="ignore"):
         while len(todo):
-            x = out[todo]
-            left, right = x >> half, x & low
-            for c in rounds:
-                f = (right + c) * np.uint64(0x9E3779B97F4A7C15)
-                f ^= f >> np.uint64(29)
-                left, right = right, left ^ ((f * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)) & low)
-            out[todo] = left << half | right
-            todo = todo[out[todo] >= n]
+            left, right = out[todo] >> half[todo], out[todo] & low[todo]
+            for k in keys:
+                left, right = right, left ^ (mixed(right + k[todo]) & low[todo])
+            out[todo] = left << half[todo] | right
+            todo = todo[out[todo] >= n[todo]]
     return out.astype(np.int64)
 
 
@@ -91,37 +104,47 @@ def packed(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     return joined.select("d.doc_id", "d.source", "d.size", (F.col("before") + F.col("local")).alias("at"))
 
 
-def slots(spark, names: list[str | None], want: np.ndarray, blocks: np.ndarray, *, shard_slots: int, seed: int) -> DataFrame:
-    """shard, source (number in names), slot and block of all draws."""
-    total = int(want.sum())
-    shards = max(1, -(-total // shard_slots))
-    groups = int(min(shards, max(1, 200_000 // max(1, len(names)))))
+def slots(spark, want: np.ndarray, blocks: np.ndarray, *, shard_slots: int, seed: int, bundle: int = BUNDLE) -> DataFrame:
+    """shard, source (its number), slot and block of all draws.
+
+    Sources are dealt in bundles: bundles to groups of shards on the driver, a bundle's sources to the groups in a task of
+    its own, and the shards of a group by bundle. Each count is multinomial, of bundles first and of sources inside them.
+    """
+    shards = max(1, -(-int(want.sum()) // shard_slots))
+    bundles = np.add.reduceat(want, np.arange(0, len(want), bundle)) if len(want) else np.zeros(1, np.int64)
+    groups = int(min(shards, max(1, MOST_COUNTS // len(bundles))))
     per = -(-shards // groups)
-    rows, start = [], np.zeros(len(want), np.int64)
-    for g, draw in enumerate(split(want, groups, np.random.default_rng([seed, 0]))):
-        rows.append((g, start.tolist(), draw.tolist()))
-        start = start + draw
-    sizes = blocks.tolist()
+    dealt = np.array(list(split(bundles, even(int(bundles.sum()), groups), np.random.default_rng([seed, 0]))))
+    rows = [(b, want[b * bundle : (b + 1) * bundle].tolist(), blocks[b * bundle : (b + 1) * bundle].tolist(), dealt[:, b].tolist()) for b in range(len(bundles))]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def by_group(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for b, mine, sizes, parts in frame.itertuples(index=False):
+                at = np.zeros(len(mine), np.int64)
+                for g, draw in enumerate(split(np.array(mine, np.int64), parts, np.random.default_rng([seed, 1, b]))):
+                    if draw.any():
+                        yield pd.DataFrame({"b": [b], "g": [g], "start": [at], "draw": [draw], "sizes": [np.array(sizes, np.int64)]})
+                    at = at + draw
+
+    def by_shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for g, begin, draw in frame.itertuples(index=False):
-                at = np.array(begin, np.int64)
-                for k, part in enumerate(split(np.array(draw, np.int64), per, np.random.default_rng([seed, 1, g]))):
-                    for s in np.flatnonzero(part).tolist():
-                        slot = np.arange(at[s], at[s] + part[s])
-                        turn, index = slot // sizes[s], slot % sizes[s]
-                        block = np.empty_like(slot)
-                        for t in np.unique(turn).tolist():
-                            block[turn == t] = permuted(index[turn == t], sizes[s], hash((seed, s, t)) & (1 << 62) - 1)
-                        yield pd.DataFrame({"shard": g * per + k, "source": s, "slot": slot, "block": block})
+            for b, g, at, draw, sizes in frame.itertuples(index=False):
+                at, draw, sizes = (np.array(x, np.int64) for x in (at, draw, sizes))
+                mine = (part[b] for part in split(dealt[g], even(int(dealt[g].sum()), per), np.random.default_rng([seed, 2, g])))
+                for k, part in enumerate(split(draw, mine, np.random.default_rng([seed, 3, b, g]))):
+                    s = np.repeat(np.arange(len(part)), part)
+                    slot = at[s] + np.arange(len(s)) - (np.cumsum(part) - part)[s]
+                    turn, source = slot // sizes[s], s + b * bundle
+                    key = mixed(mixed(source.astype(np.uint64) + np.uint64(seed) * np.uint64(1 << 32)) + turn.astype(np.uint64))
+                    yield pd.DataFrame({"shard": g * per + k, "source": source, "slot": slot, "block": permuted(slot % sizes[s], sizes[s], key)})
                     at = at + part
 
-    table = spark.createDataFrame(rows, "g long, start array<long>, draw array<long>").repartition(max(1, min(groups, 512)), "g")
-    return table.mapInPandas(run, "shard long, source int, slot long, block long")
+    table = spark.createDataFrame(rows, "b long, want array<long>, sizes array<long>, parts array<long>").repartition(min(len(rows), 512), "b")
+    told = table.mapInPandas(by_group, "b long, g long, start array<long>, draw array<long>, sizes array<long>")
+    return told.repartition(int(min(groups * len(rows), 512)), "b", "g").mapInPandas(by_shard, "shard long, source int, slot long, block long")
 
 
-def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame, dict, dict]:
+def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, bundle: int = BUNDLE) -> tuple[DataFrame, DataFrame, dict, dict]:
     """Documents in place, the draws, and the sizes and targets by source (one entry each)."""
     spark = docs.sparkSession
     placed = cut(packed(docs, doc_id, text, source))
@@ -132,7 +155,7 @@ def plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     length = [-(-sizes[s] // -(-sizes[s] // n)) for s, n in zip(names, length, strict=True)]
     blocks = np.array([-(-sizes[s] // n) for s, n in zip(names, length, strict=True)], np.int64)
     count = np.array([min(int(most * b), round(want[s] / sizes[s] * b)) for s, b in zip(names, blocks, strict=True)], np.int64)
-    drawn = slots(spark, names, count, blocks, shard_slots=shard_slots, seed=seed)
+    drawn = slots(spark, count, blocks, shard_slots=shard_slots, seed=seed, bundle=bundle)
     known = spark.createDataFrame([(s, k, n) for k, (s, n) in enumerate(zip(names, length, strict=True))], "s string, k int, length long")
     return placed.join(known, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"), drawn, sizes, want
 
