@@ -152,6 +152,19 @@ def test_decontaminate_long_texts_and_repeated_rows(spark):
         assert got == [(1, 120_012, 12, ["1"]), (1, 120_012, 12, ["1"]), (2, 0, 0, []), (3, 1, 0, [])]
 
 
+@pytest.mark.parametrize("block_words", [2_000_000, 100])
+def test_decontaminate_by_a_passage_that_all_items_share(spark, block_words):
+    """300 items end alike; each list of items is that of a set of items, told once, however many windows have it."""
+    shared = " ".join(f"s{k}" for k in range(30))
+    items = [(i, f"{' '.join(f'i{i}x{k}' for k in range(10))} {shared}") for i in range(300)]
+    docs = frame(spark, [(1, f"before {shared} after"), (2, items[7][1]), (3, " ".join(shared.split()[4:16])), (4, "i5x1 i5x2"), *((k, shared) for k in range(10, 60))])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.decontaminate(docs, bench, block_words=block_words).collect()}
+    every = sorted(str(i) for i in range(300))
+    assert got[1] == (30, every) and got[2] == (40, every) and got[4] == (0, [])
+    assert got[3] == (12, every) and all(got[k] == (30, every) for k in range(10, 60))
+
+
 def test_decontaminate_with_empty_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(frame(spark, [(1, "a b")]), none).collect()[0].n_hit == 0

@@ -136,8 +136,10 @@ def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[], A.Pre
     return A.word_hashes(data, starts, ends), first, functools.cache(lambda: A.Prefix(A.word_hashes(data, starts, ends, A.BASE_CHECK), A.BASE_CHECK))
 
 
-def item_windows(pieces: DataFrame, window: int, k: int) -> DataFrame:
-    """n (words), w and x (the window's hash) and items (all that have it), and whether w is that of a fingerprint (n = 0)."""
+def item_windows(pieces: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Windows: n (words, 0 for a fingerprint), w and x (the window's hash), e and f (of the set of items that have it).
+    Sets: e, f, item. Neither holds a list, so that a window that all items share is a row like any other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +154,10 @@ def item_windows(pieces: DataFrame, window: int, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int32)), pa.array(w.view(np.int64)), pa.array(x.view(np.int64)), pa.array([item if s else None for s in sizes.tolist()], pa.string())], names=["n", "w", "x", "item"])
 
     rows = pieces.mapInArrow(run, "n int, w long, x long, item string")
-    return stored(rows.groupBy("n", "w", "x").agg(F.collect_set("item").alias("items")))
+    each = stored(rows.distinct())
+    windows = stored(each.groupBy("n", "w", "x").agg(F.bit_xor(F.xxhash64("item")).alias("e"), F.bit_xor(F.xxhash64("item", F.lit(1))).alias("f")))
+    one = windows.where("n > 0").groupBy("e", "f").agg(F.min(F.struct("n", "w", "x")).alias("r")).select("e", "f", "r.*")
+    return windows, stored(one.join(each, ["n", "w", "x"]).select("e", "f", "item"))
 
 
 def text_key(text: Column) -> list[Column]:
@@ -163,7 +168,7 @@ def text_key(text: Column) -> list[Column]:
 def joined(docs: DataFrame, text: str, pieces: DataFrame, window: int, k: int) -> DataFrame:
     """c, d, items and cuts (start, n) of the texts hit, for a benchmark of any size: joins on fingerprints, then on windows."""
     arrow_rows(docs.sparkSession)
-    known = item_windows(pieces, window, k)
+    known, sets = item_windows(pieces, window, k)
     t = F.col(f"`{text}`")
     texts = docs.where(t.isNotNull()).select(*text_key(t), t.alias("text"))
     shorter = sorted(r["n"] for r in known.where(F.col("n").between(1, window - 1)).select("n").distinct().collect())
@@ -220,8 +225,10 @@ def joined(docs: DataFrame, text: str, pieces: DataFrame, window: int, k: int) -
             yield rows(batch, row, at - first[row], np.ones(len(at), np.int64), window, A.Prefix(one, A.BASE_WORDS).hashes(at, at + window), second().hashes(at, at + window))
 
     long = texts.dropDuplicates(["c", "d"]).join(near, ["c", "d"]).select("c", "d", "text", "cuts").mapInArrow(extended, kinds)
-    hit = long.unionByName(short).join(known.where("n > 0"), ["n", "w", "x"])
-    return hit.groupBy("c", "d").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.collect_set(F.struct("start", "n")).alias("cuts"))
+    hit = stored(long.unionByName(short).join(known.where("n > 0"), ["n", "w", "x"]).select("c", "d", "start", "n", "e", "f"))
+    cuts = hit.groupBy("c", "d").agg(F.collect_set(F.struct("start", "n")).alias("cuts"))
+    named = hit.select("c", "d", "e", "f").distinct().join(sets, ["e", "f"])
+    return cuts.join(named.groupBy("c", "d").agg(F.array_sort(F.collect_set("item")).alias("items")), ["c", "d"])
 
 
 def _benchmark(items: DataFrame, item_id: str, item_text: str, window: int, k: int, block_words: int) -> tuple[DataFrame, dict | None]:
