@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from tracewright.functions import tables as T
 from tracewright.functions.scalar import entropy, formula_safe, internal, is_ip
 from tracewright.operators import checks, export, records, timeline
+from tracewright.plans import parsed
 from tracewright.plans.derived import duck, view
 from tracewright.plans.events import tl
 from tracewright.sources import logs, windows
 from tracewright.sources.records import exploded
 
-P, N, S, R, M = (f"WITH t AS ({duck(n)})" for n in ("processes", "connections", "scripts", "registry", "memory"))
-C, A, TL, AL = (f"WITH t AS ({duck(n)})" for n in ("containers", "artifacts", "timeline", "auth_lines"))
+P, N, R, M = (f"WITH t AS ({duck(n)})" for n in ("processes", "connections", "registry", "memory"))
+A, TL, AL = (f"WITH t AS ({duck(n)})" for n in ("artifacts", "timeline", "auth_lines"))
 
 
 def names(values: list) -> str:
@@ -50,14 +51,14 @@ REGISTRY = fired("t", {
     "REG-P-005": ("kind = 'ifeo_entries' AND debugger <> ''", "debugger"), "REG-P-006": ("kind = 'appinit_dlls' AND value <> ''", "value"), "REG-P-007": ("kind = 'winlogon_entries' AND (key = 'Taskman' OR key = 'Shell' AND value <> 'explorer.exe')", "value"),
 }, "CAST(NULL AS BIGINT)", "name")
 BASE = "regexp_extract(rtrim(exe, ' (deleted)'), '[^/]*$')"
-MEMORY = fired("(SELECT *, maps[1] m FROM t WHERE accessible)", {
-    "MA-001": ("pid % 3 = 1", "'7f00-7f01'"), "MA-002": ("pid % 3 = 2", "'/dev/shm/q8Zx7Kp2Vw9Lm (deleted)'"), "MA-003": ("pid % 3 = 2", "'/dev/shm/q8Zx7Kp2Vw9Lm (deleted)'"), "MA-007": ("pid % 3 = 2", "'/dev/shm/q8Zx7Kp2Vw9Lm (deleted)'"),
-    "MA-004": (f"{BASE} <> '' AND NOT contains({BASE}, comm) AND NOT contains(comm, {BASE})", f"concat(comm, ' / ', {BASE})"), "MA-005": (f"lower(parent_comm) IN {names(T.SERVER_PARENTS)} AND comm IN {names(T.UNIX_SHELLS)}", "concat(parent_comm, ' > ', comm)"), "MA-006": ("contains(exe, '(deleted)')", "exe"),
-}, "pid", "comm")
+MEMORY = " UNION ALL ".join([fired("x", {
+    "MA-001": ("path = ''", "span"), "MA-002": ("ends_with(path, ' (deleted)')", "path"), "MA-003": (parsed.STAGED, "path"), "MA-007": (f"base <> '' AND bits >= {checks.BITS}", "path"),
+}, "pid", "comm"), fired("(SELECT * FROM t WHERE accessible)", {
+    "MA-004": (f"{BASE} <> '' AND NOT contains({BASE}, comm) AND NOT contains(comm, {BASE})", f"concat(comm, ' / ', {BASE})"), "MA-005": (f"lower(parent_comm) IN {names(T.SERVER_PARENTS)} AND comm IN {names(T.UNIX_SHELLS)}", "concat(parent_comm, ' > ', comm)"),
+    "MA-006": ("contains(exe, '(deleted)')", "exe"),
+}, "pid", "comm")])
 WEIGHTS = ", ".join(f"('{c}', {w})" for c, (_, w) in T.CHECKS.items())
 SCORE = "SELECT subject, CAST(least(100, sum(weight)) AS BIGINT) risk_score, CAST(sum(n) AS BIGINT) findings, count(*) checks FROM (SELECT subject, check_id, any_value(weight) weight, count(*) n FROM f GROUP BY 1, 2) GROUP BY 1"
-#: By the remainder of the artifact's number: the checks that its text fires.
-SCRIPT = "CASE CAST(artifact_id AS INT) % 12 WHEN 0 THEN 'PSA-001' WHEN 1 THEN 'PSA-002' WHEN 2 THEN 'PSA-003' WHEN 3 THEN 'PSA-004' WHEN 4 THEN 'PSA-005' WHEN 5 THEN 'PSA-006' WHEN 6 THEN 'PSA-001,PSA-007' WHEN 7 THEN 'PSA-006' WHEN 9 THEN 'PSA-002' ELSE '' END"
 
 
 def finding(df):
@@ -106,28 +107,23 @@ QUERIES = {
     "connection_scores": (lambda s, d: checks.scores(checks.connection_findings(view(s, d, "connections"))), f"{N}, f AS ({CONNECTION}) {SCORE}"),
     "internal_addresses": (lambda s, d: view(s, d, "connections").groupBy("remote_addr").agg(F.bool_or(internal(F.col("remote_addr"))).alias("internal"), F.bool_or(is_ip(F.col("remote_addr"))).alias("is_ip"), F.count("*").alias("n")), f"{N} SELECT remote_addr, {INTERNAL} internal, NOT starts_with(remote_addr, '[') is_ip, count(*) n FROM t GROUP BY 1"),
     "name_entropy": (lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.round(entropy(F.col("p_name")), 6).alias("bits")), "SELECT p_partkey, round(-sum(c / n * log2(c / n)), 6) bits FROM (SELECT p_partkey, ch, count(*) c, max(n) n FROM (SELECT p_partkey, length(p_name) n, unnest(string_split(p_name, '')) ch FROM part) GROUP BY 1, 2) GROUP BY 1"),
-    "script_risk": (lambda s, d: checks.script_risk(checks.script_checks(view(s, d, "scripts"))).select("artifact_id", F.array_join("checks.check_id", ",").alias("checks"), F.col("risk_score").cast("long").alias("risk_score"), "threat_level"), f"{S}, c AS (SELECT artifact_id, {SCRIPT} checks FROM t), w AS (SELECT *, CASE checks WHEN '' THEN 0 WHEN 'PSA-003' THEN 30 WHEN 'PSA-004' THEN 25 WHEN 'PSA-005' THEN 25 WHEN 'PSA-006' THEN 20 WHEN 'PSA-001,PSA-007' THEN 90 ELSE 45 END r FROM c) SELECT artifact_id, checks, CAST(r AS BIGINT) risk_score, CASE WHEN r >= 70 THEN 'CRITICAL' WHEN r >= 40 THEN 'HIGH' WHEN r >= 20 THEN 'MEDIUM' ELSE 'LOW' END threat_level FROM w"),
-    # RE2's word boundary knows ASCII only, so the SQL names what may stand beside a word
-    "script_scan_of_documents": (lambda s, d: checks.script_checks(s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("command_text"))).select("doc_id", F.array_join("checks.check_id", ",").alias("checks")), r"""SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)-EncodedCommand|-enc' || '(?:$|[^\p{L}\p{N}_])' || '|-e' || '(?:$|[^\p{L}\p{N}_])') THEN 'PSA-001' END, CASE WHEN regexp_matches(text, '(?i)System\.Management\.Automation\.AmsiUtils|amsiContext|AmsiScanBuffer') OR regexp_matches(text, '(?is)bypass.*amsi|amsi.*bypass') THEN 'PSA-002' END,
-CASE WHEN regexp_matches(text, '(?i)' || '(?:^|[^\p{L}\p{N}_])' || '(?:IEX|Invoke-Expression)' || '(?:$|[^\p{L}\p{N}_])') AND regexp_matches(text, '(?i)Net\.WebClient|WebRequest|DownloadString|DownloadFile|curl|wget') THEN 'PSA-003' END, CASE WHEN regexp_matches(text, '(?i)-ExecutionPolicy\s+Bypass|-ep\s+Bypass|Set-ExecutionPolicy\s+(?:Bypass|Unrestricted)') THEN 'PSA-004' END, CASE WHEN regexp_matches(text, '(?i)' || '(?:^|[^\p{L}\p{N}_])' || '(?:certutil|mshta|rundll32|regsvr32|wscript|cscript|msiexec|installutil)' || '(?:$|[^\p{L}\p{N}_])') THEN 'PSA-005' END,
-CASE WHEN regexp_matches(text, '`[A-Za-z]') OR regexp_matches(text, '(?i)\[char\[\]\]') OR len(regexp_extract_all(text, '"\s*\+\s*"')) + len(regexp_extract_all(text, '''\s*\+\s*''')) >= 3 THEN 'PSA-006' END, CASE WHEN regexp_matches(text, '(?i)Mimikatz|mimi' || '(?:$|[^\p{L}\p{N}_])' || '|sekurlsa|kerberos::|PowerView|Invoke-BloodHound|SharpHound|Empire|Cobalt\s*Strike') THEN 'PSA-007' END) checks FROM documents"""),
+    "script_risk": (lambda s, d: checks.script_risk(checks.script_checks(view(s, d, "scripts"))).select("artifact_id", F.array_join("checks.check_id", ",").alias("checks"), F.col("risk_score").cast("long").alias("risk_score"), "threat_level"), parsed.SCRIPT_RISK),
+    "script_scan_of_documents": (lambda s, d: checks.script_checks(s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.col("text").alias("command_text"))).select("doc_id", F.array_join("checks.check_id", ",").alias("checks")), f"SELECT doc_id, {parsed.scan('text')} checks FROM documents"),
     "registry_findings": (lambda s, d: finding(checks.registry_findings(view(s, d, "registry"))).drop("pid"), f"{R} SELECT subject, process_name, check_id, severity, weight, evidence FROM ({REGISTRY})"),
-    "memory_findings": (lambda s, d: finding(checks.memory_findings(view(s, d, "memory"))), f"{M} {MEMORY}"),
-    "memory_maps": (lambda s, d: checks.map_rows(view(s, d, "memory")).groupBy("perms", "path").agg(F.count("*").alias("n")), f"{M} SELECT CASE WHEN i = 2 THEN 'rw-p' WHEN pid % 3 = 1 THEN 'rwxp' ELSE 'r-xp' END perms, CASE WHEN i = 2 THEN '/tmp/data' WHEN pid % 3 = 0 THEN '/usr/lib/libc.so.6' WHEN pid % 3 = 1 THEN '' ELSE '/dev/shm/q8Zx7Kp2Vw9Lm (deleted)' END path, count(*) n FROM t, (SELECT unnest([1, 2]) i) GROUP BY 1, 2"),
+    "memory_findings": (lambda s, d: finding(checks.memory_findings(view(s, d, "memory"))), f"{M}, x AS ({parsed.EXECUTABLE}) {MEMORY}"),
+    "memory_maps": (lambda s, d: checks.map_rows(view(s, d, "memory")).groupBy("perms", "path").agg(F.count("*").alias("n")), f"SELECT perms, path, count(*) n FROM ({parsed.MAPS}) GROUP BY 1, 2"),
     "parent_names": (lambda s, d: checks.with_parent_name(view(s, d, "memory").withColumn("subject", F.lit("all"))).select("pid", F.coalesce("parent_comm", F.lit("-")).alias("parent")), f"{M} SELECT t.pid, coalesce(p.comm, '-') parent FROM t LEFT JOIN t p ON p.pid = t.ppid"),
-    "container_context": (lambda s, d: records.security_context(c := view(s, d, "containers")).join(records.container_identity(c), "container_id").select("container_id", "privileged", F.array_join("cap_add", ",").alias("cap_add"), "network_mode", "user", F.coalesce("image", F.lit("-")).alias("image"), "running"), f"{C} SELECT container_id, n % 10 <> 0 AND n % 3 = 0 privileged, CASE WHEN n % 10 = 0 THEN '' ELSE 'NET_ADMIN' END cap_add, CASE WHEN n % 10 = 0 THEN '' ELSE 'host' END network_mode, CASE WHEN n % 10 = 0 THEN '' ELSE 'u' END AS user, CASE WHEN n % 10 = 0 THEN '-' ELSE concat('img', s_nationkey) END image, n % 10 <> 0 AND n % 2 = 0 running FROM (SELECT container_id, CAST(container_id AS BIGINT) n FROM t) JOIN supplier ON s_suppkey = n"),
-    "container_env": (lambda s, d: records.masked_env(view(s, d, "containers")).select("container_id", F.array_join("env", ";").alias("env")), f"{C} SELECT container_id, CASE WHEN CAST(container_id AS BIGINT) % 10 = 0 THEN '' ELSE 'API_KEY=****[MASKED];PATH=/usr/bin;NO_EQUALS' END env FROM t"),
-    "container_mounts": (lambda s, d: records.mounts(view(s, d, "containers")).select("container_id", "source", "destination", "rw"), f"{C} SELECT container_id, concat('/s', CAST(container_id AS BIGINT) % 4) source, '/d' destination, true rw FROM t WHERE CAST(container_id AS BIGINT) % 10 <> 0"),
+    "container_context": (lambda s, d: records.security_context(c := view(s, d, "containers")).join(records.container_identity(c), "container_id").select("container_id", "privileged", F.array_join("cap_add", ",").alias("cap_add"), "network_mode", "user", F.coalesce("image", F.lit("-")).alias("image"), "running"), parsed.CONTEXT),
+    "container_env": (lambda s, d: records.masked_env(view(s, d, "containers")).select("container_id", F.array_join("env", ";").alias("env")), parsed.ENV),
+    "container_mounts": (lambda s, d: records.mounts(view(s, d, "containers")).select("container_id", "source", "destination", "rw"), parsed.MOUNTS),
     "artifact_summary": (lambda s, d: records.artifact_summary(view(s, d, "artifacts")), f"{A} SELECT container_id, CAST(sum(size_bytes) AS BIGINT) total_bytes, count(*) FILTER (coalesce(error, '') = '') succeeded, count(*) FILTER (coalesce(error, '') <> '') failed FROM t GROUP BY 1"),
     "first_artifacts": (lambda s, d: records.first_artifact(view(s, d, "artifacts"), "type1"), f"{A} SELECT container_id, arg_min(content, seq) content FROM t WHERE artifact_type = 'type1' GROUP BY 1"),
     "rejected_artifacts": (lambda s, d: records.rejects(view(s, d, "artifacts"), ("seq", "error", "host")).groupBy(F.array_join("missing", ",").alias("missing")).agg(F.count("*").alias("n")), f"{A} SELECT CASE WHEN error IS NULL THEN 'error,host' ELSE 'host' END missing, count(*) n FROM t GROUP BY 1"),
     "valid_case_ids": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", records.valid_case_id(F.col("source")).alias("ok")), "SELECT doc_id, coalesce(trim(source) NOT IN ('', '.', '..') AND NOT contains(source, '/') AND NOT contains(source, chr(92)), false) ok FROM documents"),
     "valid_whole_case_ids": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", records.valid_case_id(F.col("text")).alias("ok")), "SELECT doc_id, coalesce(trim(text) NOT IN ('', '.', '..') AND NOT contains(text, '/') AND NOT contains(text, chr(92)), false) ok FROM documents"),
     "manifest_mismatches": (lambda s, d: records.manifest_mismatches(files(s, d, changed=False), files(s, d, changed=True)).select("path", F.coalesce("actual", F.lit("-")).alias("actual")), "SELECT concat('doc/', doc_id) path, CASE WHEN doc_id % 150 = 0 THEN '-' ELSE sha256(concat(text, '!')) END actual FROM documents WHERE doc_id % 150 = 0 OR doc_id % 100 = 0"),
-    "auth_log_events": (lambda s, d: logs.auth_events(auth_lines(s, d), year=2024).select(F.unix_seconds("ts").alias("at"), "host", "category", "severity", "actor", "target", "action", F.coalesce(F.col("metadata")["src_port"], F.lit("")).alias("port"), F.coalesce(F.col("metadata")["command"], F.lit("")).alias("command")), f"""{AL} SELECT CAST(epoch(date_trunc('second', t)) AS BIGINT) AS at, h host, CASE kind WHEN 2 THEN 'privilege_escalation' ELSE 'authentication' END category, CASE kind WHEN 1 THEN 'low' ELSE 'medium' END severity, CASE kind WHEN 2 THEN u ELSE ip END actor, CASE kind WHEN 2 THEN 'root' ELSE u END target,
-CASE kind WHEN 0 THEN 'ssh_login_failed' WHEN 1 THEN 'ssh_login_success' ELSE 'sudo_command' END action, CASE kind WHEN 0 THEN '22' ELSE '' END port, CASE kind WHEN 2 THEN concat('/bin/run ', k) ELSE '' END command FROM t WHERE kind < 3"""),
-    "mac_log_events": (lambda s, d: logs.mac_events(mac_lines(s, d)).select(F.unix_seconds("ts").alias("at"), "category", "severity", F.coalesce("actor", F.lit("-")).alias("actor"), "target", "action"), f"""{AL} SELECT CAST(epoch(date_trunc('second', t)) AS BIGINT) + CASE WHEN seq % 2 = 0 THEN 0 ELSE 10800 END AS at, CASE kind WHEN 2 THEN 'privilege_escalation' WHEN 3 THEN 'system' ELSE 'authentication' END category, CASE kind WHEN 0 THEN 'medium' WHEN 1 THEN 'info' ELSE 'high' END severity, CASE kind WHEN 0 THEN ip WHEN 2 THEN u ELSE '-' END actor, CASE kind WHEN 2 THEN 'root' WHEN 3 THEN '/Library/LaunchDaemons/a.plist' ELSE u END target,
-CASE kind WHEN 0 THEN 'macos_authentication_failure' WHEN 1 THEN 'macos_authentication_success' WHEN 2 THEN 'macos_sudo_execution' ELSE 'macos_launchd_persistence_unloaded' END action FROM t WHERE kind < 4"""),
+    "auth_log_events": (lambda s, d: logs.auth_events(auth_lines(s, d), year=2024).select(F.unix_seconds("ts").alias("at"), "host", "category", "severity", "actor", "target", "action", F.coalesce(F.col("metadata")["src_port"], F.lit("")).alias("port"), F.coalesce(F.col("metadata")["command"], F.lit("")).alias("command")), parsed.AUTH),
+    "mac_log_events": (lambda s, d: logs.mac_events(mac_lines(s, d)).select(F.unix_seconds("ts").alias("at"), "category", "severity", F.coalesce("actor", F.lit("-")).alias("actor"), "target", "action"), parsed.MAC),
     "windows_events": (lambda s, d: windows.windows_events(windows_rows(s, d)).select(F.unix_seconds("ts").alias("at"), "category", "severity", F.coalesce("actor", F.lit("-")).alias("actor"), F.coalesce("target", F.lit("-")).alias("target"), "action"), f"""{AL} SELECT CAST(epoch(date_trunc('second', t)) AS BIGINT) AS at, CASE kind WHEN 0 THEN 'authentication' WHEN 1 THEN 'authentication' WHEN 2 THEN 'privilege_escalation' ELSE 'system' END category, CASE kind WHEN 0 THEN 'info' WHEN 1 THEN 'medium' WHEN 4 THEN 'info' ELSE 'high' END severity,
 CASE WHEN kind < 2 THEN CASE WHEN seq % 3 = 0 THEN 'ws' ELSE ip END WHEN kind = 2 THEN 'adm' ELSE '-' END actor, CASE WHEN kind < 2 THEN u WHEN kind = 2 THEN h WHEN kind = 3 THEN 'svc' ELSE '-' END target, CASE kind WHEN 0 THEN 'windows_logon_success' WHEN 1 THEN 'windows_logon_failure' WHEN 2 THEN 'windows_group_member_added_global' WHEN 3 THEN 'windows_service_installed' ELSE 'windows_event_999' END action FROM t WHERE seq % 7 <> 0"""),
     "export_cef": (lambda s, d: export.cef_lines(tl(s, d), case_id="c=1", vendor="acme", product="pro|duct", version="1"), f"""{TL} SELECT concat('CEF:0|acme|pro', chr(92), '|duct|1|', action, '|', category, ':', action, '|', CASE severity WHEN 'low' THEN 3 WHEN 'medium' THEN 6 WHEN 'high' THEN 8 ELSE 1 END, '|deviceExternalId=c', chr(92), '=1 cat=', category, ' act=', action, ' fname=', source, ' msg=', replace(raw, '=', concat(chr(92), '=')), ' rt=', epoch_us(ts) // 1000, CASE WHEN starts_with(actor, 'user') THEN ' suser=' ELSE ' src=' END, actor, ' dhost=', target) AS value FROM t"""),
@@ -137,7 +133,7 @@ CASE WHEN kind < 2 THEN CASE WHEN seq % 3 = 0 THEN 'ws' ELSE ip END WHEN kind =
     "export_jsonl": (lambda s, d: export.json_lines(tl(s, d).select("seq", "case_id", "severity")), f"{TL} SELECT concat('{{\"seq\":', seq, ',\"case_id\":\"', case_id, '\",\"severity\":\"', severity, '\"}}') AS value FROM t"),
     "formula_cells": (lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.sha2(formula_safe(F.concat(F.element_at(F.array(*map(F.lit, (" =", "+", "@", "-", "x"))), (F.col("doc_id") % 5 + 1).cast("int")), F.col("text"))), 256).alias("sha")), "SELECT doc_id, sha256(concat(CASE WHEN doc_id % 5 < 4 THEN chr(39) ELSE '' END, CASE doc_id % 5 WHEN 0 THEN ' =' WHEN 1 THEN '+' WHEN 2 THEN '@' WHEN 3 THEN '-' ELSE 'x' END, text)) sha FROM documents"),
     "observations": (lambda s, d: exploded(s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("case"), (F.col("c_custkey") % 9).cast("string")).alias("case_id"), F.lit("t").alias("collected_at"), F.lit("macos").alias("platform"), F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))).alias("observations"))).groupBy("case_id", "key").agg(F.count("*").alias("n"), F.max("value").alias("last")), "SELECT concat('case', c_custkey % 9) case_id, 'name' AS key, count(*) n, max(c_name) AS last FROM customer GROUP BY 1 UNION ALL SELECT concat('case', c_custkey % 9), 'segment', count(*), max(c_mktsegment) FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1"),
-    "auth_user_filter": (lambda s, d: logs.of_user(logs.auth_events(auth_lines(s, d), year=2024), "user7").groupBy("action").agg(F.count("*").alias("n")), f"{AL} SELECT CASE kind WHEN 0 THEN 'ssh_login_failed' WHEN 1 THEN 'ssh_login_success' ELSE 'sudo_command' END action, count(*) n FROM t WHERE kind < 3 AND u = 'user7' GROUP BY 1"),
+    "auth_user_filter": (lambda s, d: logs.of_user(logs.auth_events(auth_lines(s, d), year=2024), "user7").groupBy("action").agg(F.count("*").alias("n")), f"SELECT action, count(*) n FROM ({parsed.AUTH}) WHERE target = 'user7' OR action = 'sudo_command' AND actor = 'user7' GROUP BY 1"),
     "attack_only": (lambda s, d: (lambda r: r.where(F.size(records.attack_tags(r)) > 0).select("seq"))(tl(s, d).withColumn("mitre_attack", F.when(F.col("seq") % 3 == 0, " , ").when(F.col("seq") % 3 == 1, "T1, T2"))), f"{TL} SELECT seq FROM t WHERE seq % 3 = 1"),
     "finding_lookup": (lambda s, d: checks.select_findings(checks.process_findings(view(s, d, "processes")), check="PT-007", process="MIMIKATZ.exe").select("subject", "pid"), f"{P} SELECT subject, pid FROM t WHERE name = 'Mimikatz.exe'"),
     "integrity": (lambda s, d: records.verified(files(s, d, changed=False), files(s, d, changed=True)), "SELECT count(*) = 0 ok, count(*) mismatches FROM documents WHERE doc_id % 150 = 0 OR doc_id % 100 = 0"),
