@@ -129,3 +129,21 @@ def test_evidence_of_unknown_addresses_meets_in_slots(spark):
     found = correlate.brute_evidence(events, correlate.brute_then_success(events))
     assert sorted(r.seq for r in found.collect()) == [6, 7, 8, 9, 10, 11]
     assert "slot" in found._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_head_of_a_busy_key_meets_its_rows_once(spark, seed):
+    """A third of all rows follow one head; equal times, equal seqs and repeated rows; the same as over slots."""
+    rng = random.Random(seed)
+    start = datetime.datetime(2026, 1, 1, tzinfo=datetime.UTC)
+    of = lambda k: rng.choice(["", "unknown", f"a{k % 40}"])
+    row = lambda k: (rng.randrange(900), of(k), f"u{k % 7}", "s", start + datetime.timedelta(seconds=rng.randrange(3000)))
+    names = "seq long, source_ip string, username string, source string, ts timestamp"
+    later = [row(k) for k in range(2000)]
+    timed = lambda rows: spark.createDataFrame(rows, names).withColumn("us", F.unix_micros("ts"))
+    once = {r[1]: r for r in (row(k) for k in range(300))}.values()
+    heads, rows = timed(list(once)), timed([*later, *later[:200]])
+    found = correlate.followed_once(heads, rows, "source_ip", window_s=600)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, found.select("seq", "us", "source_ip", "related").collect()))
+    assert got and got == sorted(map(str, correlate.followed(heads, rows, ["source_ip"], window_s=600).select("seq", "us", "source_ip", "related").collect()))

@@ -138,7 +138,7 @@ def followed(heads: DataFrame, later: DataFrame, keys: list[str], *, window_s: i
 
     Heads and later rows meet slot by slot and never as pairs. What follows a head are the rest of its slot, read
     backwards, and the beginning of the next one: in either the smallest seq so far, the second smallest and so on are
-    running minima. seq, us, source, source_ip, username and related (array of seq, us, source).
+    running minima; a repeated row is one. seq, us, source, source_ip, username and related (array of seq, us, source).
     """
     w, us, none = window_s * 1_000_000, F.col("us"), F.lit(None)
     own = _slot(us, w)
@@ -156,13 +156,23 @@ def followed(heads: DataFrame, later: DataFrame, keys: list[str], *, window_s: i
         rows = rows.withColumn(f"least{k}", F.min(value).over(so_far))
         if k + 1 < most:
             known = F.min(value).over(before)
-            rows = rows.withColumn("known", known).withColumn(f"next{k}", F.when(F.col(value).isNotNull() & F.col("known").isNotNull(), F.greatest(value, "known"))).drop("known")
+            rows = rows.withColumn("known", known).withColumn(f"next{k}", F.when(F.col(value) != F.col("known"), F.greatest(value, "known"))).drop("known")
             value = f"next{k}"
     found = rows.where("head is not null and least0 is not null").select("head", F.filter(F.array(*(f"least{k}" for k in range(most))), lambda x: x.isNotNull()).alias("some"))
     related = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("some")))), 1, most)
     return found.groupBy("head").agg(related.alias("related")).select("head.*", "related")
 
 
+def followed_once(heads: DataFrame, later: DataFrame, key: str, *, window_s: int = WINDOW_S, most: int = RELATED) -> DataFrame:
+    """As ``followed`` by one key of which there is one head: later rows meet that head alone, and before they are sorted
+    each task keeps only the ``most`` of a key that came in first."""
+    head = heads.where(F.col(key) != "").select(F.col(key).alias("key"), F.struct("seq", "us", "source", "source_ip", "username").alias("head"))
+    rows = later.select(F.col(key).alias("key"), F.struct("seq", "us", "source").cast(LATER).alias("v"))
+    near = rows.join(head, "key").where(F.col("v.us").between(F.col("head.us"), F.col("head.us") + window_s * 1_000_000))
+    least = near.withColumn("n", F.dense_rank().over(Window.partitionBy("key").orderBy("v"))).where(F.col("n") <= most)
+    return least.groupBy("key", "head").agg(F.array_sort(F.collect_set("v")).alias("related")).select("head.*", "related")
+
+
 def _chain(rows: DataFrame) -> DataFrame:
     last = F.array_max(F.transform("related", lambda r: r["us"]))
     sources = _set(F.concat(F.array("source"), F.transform("related", lambda r: r["source"])))
@@ -172,8 +182,9 @@ def _chain(rows: DataFrame) -> DataFrame:
 def privilege_escalation(events: DataFrame, *, window_s: int = WINDOW_S) -> DataFrame:
     """The first login of a user that a sudo of the user follows within the window."""
     rows = _timed(events)
-    held = followed(rows.where("event_type = 'auth_success'"), rows.where("event_type = 'sudo'"), ["username"], window_s=window_s)
-    return _incident(_chain(_first(held, "username", "us", "source", "source_ip", "related")), "PRIVILEGE_ESCALATION", "HIGH", F.lit(0.8))
+    logins, sudos = rows.where("event_type = 'auth_success'"), rows.where("event_type = 'sudo'")
+    held = _first(followed(logins, sudos, ["username"], window_s=window_s, most=1), "username", "us", "source", "source_ip")
+    return _incident(_chain(followed_once(held, sudos, "username", window_s=window_s)), "PRIVILEGE_ESCALATION", "HIGH", F.lit(0.8))
 
 
 def persistence(events: DataFrame, *, window_s: int = WINDOW_S) -> DataFrame:
@@ -187,7 +198,7 @@ def recon_then_exploit(events: DataFrame, *, window_s: int = WINDOW_S) -> DataFr
     """The scan of an address that came in last, and exploits from it within the window after."""
     rows = _timed(events)
     last = rows.where("event_type = 'net_scan'").groupBy("source_ip").agg(F.max(F.struct("seq", "us", "source", "username")).alias("r")).select("source_ip", "r.*")
-    return _incident(_chain(followed(last, rows.where("event_type = 'exploit'"), ["source_ip"], window_s=window_s)), "RECON_THEN_EXPLOIT", "CRITICAL", F.lit(0.85))
+    return _incident(_chain(followed_once(last, rows.where("event_type = 'exploit'"), "source_ip", window_s=window_s)), "RECON_THEN_EXPLOIT", "CRITICAL", F.lit(0.85))
 
 
 def anomalous_time(events: DataFrame, *, start_hour: int = 7, end_hour: int = 19) -> DataFrame:
