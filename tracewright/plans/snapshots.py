@@ -90,6 +90,15 @@ def exported(s, d):
     return tl(s, d).withColumn("metadata", F.create_map(F.lit("host"), F.col("host")))
 
 
+def ecs_counts(s, d):
+    """ECS documents counted by what they say; gaps are counted also where there are none."""
+    lines = export.ecs_lines(timeline.interleaved(exported(s, d).drop("start", "end"), threshold_min=60), case_id="c1", product="p")
+    of = lambda path: F.coalesce(F.get_json_object("value", path), F.lit("-"))
+    told = lines.select(F.get_json_object("value", "$.event.action").alias("action"), F.get_json_object("value", "$.event.kind").alias("kind"), of("$.event.severity").alias("severity"), of("$.source.ip").alias("ip"), of("$.related.hosts[0]").alias("related"), F.lit(1).alias("n"))
+    none = s.range(1).select(F.lit("timeline_gap").alias("action"), F.lit("state").alias("kind"), *(F.lit("-").alias(c) for c in ("severity", "ip", "related")), F.lit(0).alias("n"))
+    return told.unionByName(none).groupBy("action", "kind", "severity", "ip", "related").agg(F.sum("n").alias("n"))
+
+
 def files(s, d, *, changed: bool):
     """Documents as evidence files; of the changed ones every hundredth differs and every 150th is gone."""
     docs = s.read.parquet(f"{d}/documents.parquet").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "text")
@@ -127,7 +136,7 @@ QUERIES = {
     "windows_events": (lambda s, d: windows.windows_events(windows_rows(s, d)).select(F.unix_seconds("ts").alias("at"), "category", "severity", F.coalesce("actor", F.lit("-")).alias("actor"), F.coalesce("target", F.lit("-")).alias("target"), "action"), f"""{AL} SELECT CAST(epoch(date_trunc('second', t)) AS BIGINT) AS at, CASE kind WHEN 0 THEN 'authentication' WHEN 1 THEN 'authentication' WHEN 2 THEN 'privilege_escalation' ELSE 'system' END category, CASE kind WHEN 0 THEN 'info' WHEN 1 THEN 'medium' WHEN 4 THEN 'info' ELSE 'high' END severity,
 CASE WHEN kind < 2 THEN CASE WHEN seq % 3 = 0 THEN 'ws' ELSE ip END WHEN kind = 2 THEN 'adm' ELSE '-' END actor, CASE WHEN kind < 2 THEN u WHEN kind = 2 THEN h WHEN kind = 3 THEN 'svc' ELSE '-' END target, CASE kind WHEN 0 THEN 'windows_logon_success' WHEN 1 THEN 'windows_logon_failure' WHEN 2 THEN 'windows_group_member_added_global' WHEN 3 THEN 'windows_service_installed' ELSE 'windows_event_999' END action FROM t WHERE seq % 7 <> 0"""),
     "export_cef": (lambda s, d: export.cef_lines(tl(s, d), case_id="c=1", vendor="acme", product="pro|duct", version="1"), f"""{TL} SELECT concat('CEF:0|acme|pro', chr(92), '|duct|1|', action, '|', category, ':', action, '|', CASE severity WHEN 'low' THEN 3 WHEN 'medium' THEN 6 WHEN 'high' THEN 8 ELSE 1 END, '|deviceExternalId=c', chr(92), '=1 cat=', category, ' act=', action, ' fname=', source, ' msg=', replace(raw, '=', concat(chr(92), '=')), ' rt=', epoch_us(ts) // 1000, CASE WHEN starts_with(actor, 'user') THEN ' suser=' ELSE ' src=' END, actor, ' dhost=', target) AS value FROM t"""),
-    "export_ecs": (lambda s, d: export.ecs_lines(timeline.interleaved(exported(s, d).drop("start", "end"), threshold_min=60), case_id="c1", product="p").select(F.get_json_object("value", "$.event.action").alias("action"), F.get_json_object("value", "$.event.kind").alias("kind"), F.coalesce(F.get_json_object("value", "$.event.severity"), F.lit("-")).alias("severity"), F.coalesce(F.get_json_object("value", "$.source.ip"), F.lit("-")).alias("ip"), F.coalesce(F.get_json_object("value", "$.related.hosts[0]"), F.lit("-")).alias("related")).groupBy("action", "kind", "severity", "ip", "related").agg(F.count("*").alias("n")), f"""{TL}, l AS (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY case_id ORDER BY ts, source, action) p FROM t) SELECT action, 'event' kind, CASE severity WHEN 'low' THEN '21' WHEN 'medium' THEN '47' WHEN 'high' THEN '73' ELSE '1' END severity, CASE WHEN starts_with(actor, '10.') THEN actor ELSE '-' END ip, host related, count(*) n FROM t GROUP BY ALL UNION ALL SELECT 'timeline_gap', 'state', '-', '-', '-', count(*) FROM l WHERE epoch_us(ts) - p > 3600000000"""),
+    "export_ecs": (ecs_counts, f"""{TL}, l AS (SELECT *, lag(epoch_us(ts)) OVER (PARTITION BY case_id ORDER BY ts, source, action) p FROM t) SELECT action, 'event' kind, CASE severity WHEN 'low' THEN '21' WHEN 'medium' THEN '47' WHEN 'high' THEN '73' ELSE '1' END severity, CASE WHEN starts_with(actor, '10.') THEN actor ELSE '-' END ip, host related, count(*) n FROM t GROUP BY ALL UNION ALL SELECT 'timeline_gap', 'state', '-', '-', '-', count(*) FROM l WHERE epoch_us(ts) - p > 3600000000"""),
     "export_csv": (lambda s, d: export.csv_rows(tl(s, d)).select("timestamp", "severity", "actor", "source_file", "raw", "metadata"), f"{TL} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, severity, actor, source source_file, concat(chr(39), raw) raw, '{{}}' metadata FROM t"),
     "export_timesketch": (lambda s, d: export.timesketch(tl(s, d).withColumn("tags", F.concat_ws(" , ", "action", "severity", "action")), parser="tw").select("datetime", "source", "hostname", F.array_join("attack_tags", ";").alias("tags"), "seq"), f"{TL} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS datetime, source, host hostname, concat(action, ';', severity) tags, seq FROM t"),
     "export_jsonl": (lambda s, d: export.json_lines(tl(s, d).select("seq", "case_id", "severity")), f"{TL} SELECT concat('{{\"seq\":', seq, ',\"case_id\":\"', case_id, '\",\"severity\":\"', severity, '\"}}') AS value FROM t"),
