@@ -74,18 +74,26 @@ def snapshot_files(s, d):
     return records.read_snapshot(s, path, "subject STRING, pid BIGINT, ppid BIGINT, name STRING, path STRING", lines=True)
 
 
+def supplier_files(s, d):
+    """A folder with a file for each supplier, a thousand to a folder of its own."""
+    path, key = fresh(s), F.col("s_suppkey")
+    files = s.read.parquet(f"{d}/supplier.parquet").select(F.concat_ws("/", F.floor(key / 1000), F.concat(F.lit("k="), key)).alias("path"), F.concat("s_name", F.lit("\n")).alias("content"))
+    records.write_files(files.repartition("path"), path)
+    return path
+
+
+def of_suppliers(manifest):
+    return manifest.select(F.regexp_extract("path", r"^\d+/k=(\d+)$", 1).cast("long").alias("s_suppkey"), "sha256").where("s_suppkey is not null")
+
+
 def evidence_files(s, d):
     """The manifest of a folder with a file for each supplier."""
-    path = fresh(s)
-    s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("k")).repartition("k").write.partitionBy("k").text(path)
-    return records.evidence(s, path).select(F.regexp_extract("path", r"^k=(\d+)/", 1).cast("long").alias("s_suppkey"), "sha256").where("s_suppkey is not null")
+    return of_suppliers(records.evidence(s, supplier_files(s, d)))
 
 
 def evidence_chunks(s, d):
     """The same with every file hashed by a task that reads it in chunks."""
-    path = fresh(s)
-    s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_name").alias("value"), F.col("s_suppkey").alias("k")).repartition("k").write.partitionBy("k").text(path)
-    return records.evidence(s, path, most=-1).select(F.regexp_extract("path", r"^k=(\d+)/", 1).cast("long").alias("s_suppkey"), "sha256").where("s_suppkey is not null")
+    return of_suppliers(records.evidence(s, supplier_files(s, d), most=-1))
 
 
 def stored_timeline(s, d):

@@ -1,4 +1,4 @@
-"""Readers of JSON events, host observations, snapshots and evidence files."""
+"""Readers of JSON events, host observations, snapshots and evidence files; and a writer of many small files."""
 
 from __future__ import annotations
 
@@ -47,10 +47,15 @@ def read_snapshot(spark: SparkSession, path: str, schema: str, field: str = "pro
     return rows.select(F.explode(F.coalesce(field, F.array(F.struct(*(c for c in rows.columns if c != field))))).alias("r")).select("r.*")
 
 
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a name and its path there; names are as Spark lists them, with nothing escaped."""
+    local = re.match("(?:file:)?/+(.*)", uri)
+    return (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+
+
 def sha256_of(uri: str) -> str:
-    """The hash of one file, read a MiB at a time; names are as Spark lists them, with nothing escaped."""
-    local = re.match("file:/+(.*)", uri)
-    system, path = (fs.LocalFileSystem(), f"/{local[1]}") if local else fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+    """The hash of one file, read a MiB at a time."""
+    system, path = _opened(uri)
     digest = hashlib.sha256()
     with system.open_input_stream(path) as stream:
         while chunk := stream.read(CHUNK):
@@ -58,6 +63,28 @@ def sha256_of(uri: str) -> str:
     return digest.hexdigest()
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """A file below the root for each row (path, content as text), written by the tasks; one that runs again writes the same.
+
+    Spark's own writers make a file a task and folder, and the driver moves them one by one. The store is one that pyarrow opens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, written = set(), 0
+        for batch in batches:
+            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, name = _opened(f"{root.rstrip('/')}/{path}")
+                if (folder := name.rpartition("/")[0]) not in known:
+                    system.create_dir(folder, recursive=True)
+                    known.add(folder)
+                with system.open_output_stream(name) as stream:
+                    stream.write((content or "").encode())
+                written += 1
+        yield pa.record_batch([pa.array([written], pa.int64())], ["written"])
+
+    files.select("path", "content").mapInArrow(run, "written long").agg(F.sum("written")).collect()
+
+
 def evidence(spark: SparkSession, root: str, *, skip: str = "integrity_manifest.json", most: int = 1 << 26) -> DataFrame:
     """path (from the root) and sha256 of every file below it but the manifest, whatever its size.
 
