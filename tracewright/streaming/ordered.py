@@ -1,8 +1,8 @@
 """Rules over time on streams, with state of their own and event-time timers.
 
-What a rule needs is the rows of a key in order of time. Rows wait in the state of their key until the watermark says
-that no earlier one can come; a timer then releases them in order to a ``Step``, which keeps what the rule has to know of
-the past: failures of one window, an open chain, the last scan. Rows behind the watermark are late and are dropped, as
+What a rule needs is the rows of a key in order of time. Rows wait, packed by Spark's own aggregation, in slots of a key
+until the watermark has passed the slot; then a ``Step`` takes them in order and keeps what the rule has to know of the
+past: failures of one window, an open chain, the last scan. Rows of a slot that is over are late and are dropped, as
 everywhere on streams. Results equal those of the batch operator over all rows that were not late.
 
 Some incidents can be overtaken by what is still to come. Such streams are changes: ``revision`` counts them for each
@@ -11,10 +11,13 @@ key, the greatest one holds, and an ``event_count`` of 0 takes the incident back
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import Counter, deque
 from collections.abc import Iterator
+from types import SimpleNamespace
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -49,64 +52,109 @@ class Step:
 
 
 class Released(StatefulProcessor):
-    """Hands the rows of a key to a step once the watermark has passed them."""
+    """Hands the rows of a key to a step, slot by slot once the watermark has passed them."""
 
-    def __init__(self, step: Step, row: StructType) -> None:
-        self.step, self.row, self.fields, self.columns = step, row, row.names, StructType.fromDDL(step.out).names
+    def __init__(self, step: Step, slot_us: int) -> None:
+        self.step, self.slot_us, self.columns = step, slot_us, StructType.fromDDL(step.out).names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting, self.kept = handle.getListState("waiting", self.row), handle.getValueState("kept", self.step.kept)
+        self.kept = handle.getValueState("kept", self.step.kept)
 
-    def _timer(self, us: int) -> None:
-        """Fires when the watermark, in milliseconds, has passed a time."""
-        self.handle.registerTimer(us // 1000 + 1)
+    def _now(self, timer_values: Any) -> int:
+        """The time up to which all slots have come: the watermark, down to the begin of its slot."""
+        now = timer_values.getCurrentWatermarkInMs() * 1000
+        return now - now % self.slot_us
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        new = [tuple(r[f] for f in self.fields) for r in rows]
-        if new:
-            self.waiting.appendList(new)
-            self._timer(min(r[self.fields.index("us")] for r in new))
-        return iter(())
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        row = Row(*self.fields)
-        waiting = [row(*r) for r in self.waiting.get()] if self.waiting.exists() else []
-        ready, rest = [r for r in waiting if r.us < now], [tuple(r) for r in waiting if r.us >= now]
-        kept = before = tuple(self.kept.get()) if self.kept.exists() else None
-        out: list[tuple] = []
-        if ready:
-            out, kept = self.step.rows(tuple(key), kept, sorted(ready, key=self.step.order))
-            if rest:
-                self.waiting.put(rest)
-                self._timer(min(r[self.fields.index("us")] for r in rest))
-            else:
-                self.waiting.clear()
-        due = self.step.due(kept)
+    def _stored(self, key: tuple, before: tuple | None, kept: tuple | None, now: int) -> list[tuple]:
+        """Closes what is due, keeps the rest and sets the timer for it: one slot on, when its slot has come."""
+        out, due = [], self.step.due(kept)
         if kept is not None and due is not None and due < now:
-            more, kept = self.step.closed(tuple(key), kept, now)
-            out, due = out + more, self.step.due(kept)
+            out, kept = self.step.closed(key, kept, now)
+            due = self.step.due(kept)
         if kept is None:
-            self.kept.clear()
+            if before is not None:
+                self.kept.clear()
         elif kept != before:
             self.kept.update(kept)
         if kept is not None and due is not None:
-            self._timer(due)
+            self.handle.registerTimer((due - due % self.slot_us + self.slot_us) // 1000 + 1)
+        return out
+
+    def _run(self, key: Any, released: list[SimpleNamespace], timer_values: Any) -> Iterator[Row]:
+        key, out = tuple(key), []
+        kept = before = self.kept.get()
+        kept = before = tuple(before) if before is not None else None
+        if released:
+            out, kept = self.step.rows(key, kept, sorted(released, key=self.step.order))
         told = Row(*self.columns)
-        for r in out:
+        for r in [*out, *self._stored(key, before, kept, self._now(timer_values))]:
             yield told(*r)
 
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        return self._run(key, [SimpleNamespace(**r) for slot in rows for r in slot.rows], timerValues)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:  # noqa: N802, N803
+        return self._run(key, [], timerValues)
+
     def close(self) -> None:
         pass
 
 
-def released(rows: DataFrame, key: list[str], step: Step, *, mode: str = "append") -> DataFrame:
-    """The rows (ts with its watermark, and all that the step reads) through the step. State is in RocksDB, not on the heap."""
+def _slots(rows: DataFrame, key: list[str], seconds: int, *aggregates: Column) -> DataFrame:
+    """Rows (ts with its watermark) packed by key and slot; given out when the watermark has passed the slot. State is in RocksDB."""
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows.groupBy(F.window("ts", f"{seconds} seconds").alias("slot"), *key).agg(*aggregates)
+
+
+def released(rows: DataFrame, key: list[str], step: Step, *, slot_s: int) -> DataFrame:
+    """The rows (ts with its watermark, and all that the step reads) through the step, in slots of so many seconds."""
     timed = rows.withColumn("us", F.unix_micros("ts"))
-    schema = StructType([f for f in timed.schema if f.name not in ("ts", *key)])
-    return timed.groupBy(*key).transformWithState(Released(step, schema), step.out, mode, "eventTime")
+    fields = [c for c in timed.columns if c not in ("ts", *key)]
+    packed = _slots(timed, key, slot_s, F.collect_list(F.struct(*fields)).alias("rows"))
+    return packed.groupBy(*key).transformWithState(Released(step, slot_s * 1_000_000), step.out, "append", "eventTime")
+
+
+class HandedOn(StatefulProcessor):
+    """Adds to a slot of a key how many rows were before it, and the time of the last one. Rows pass through as one text a slot.
+
+    Slots of a batch come in any order: their texts wait in state, so that no more than one is in memory.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept, self.texts = handle.getValueState("kept", "last bigint, nth bigint"), handle.getMapState("texts", "first bigint", "rows string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        slots = []
+        for r in rows:
+            slots.append((r.first, r.last, r.n))
+            self.texts.updateValue((r.first,), (r.rows,))
+        kept = self.kept.get()
+        before, nth = tuple(kept) if kept is not None else (None, 0)
+        for first, last, n in sorted(slots):
+            yield Row(key=key[0], before=before, nth=nth, rows=self.texts.getValue((first,))[0])
+            self.texts.removeKey((first,))
+            before, nth = last, nth + n
+        self.kept.update((before, nth))
+
+    def close(self) -> None:
+        pass
+
+
+def neighbours(rows: DataFrame, *, order: list[str], slot_s: int) -> DataFrame:
+    """Rows (key, ts with its watermark, row, and what else orders them) with us, before (time of the row before) and nth.
+
+    Inside slots Spark orders them; of the past a slot needs a count and one time. Columns: key, us, before, nth, row.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(F.unix_micros("ts").alias("us"), *order, "row")))
+    text = F.to_json(F.transform(ordered, lambda r: F.struct(r["us"].alias("us"), r["row"].alias("row"))))
+    us = F.unix_micros("ts")
+    packed = _slots(rows, ["key"], slot_s, text.alias("rows"), F.min(us).alias("first"), F.max(us).alias("last"), F.count("*").alias("n"))
+    told = packed.groupBy("key").transformWithState(HandedOn(), "key string, before bigint, nth bigint, rows string", "append", "eventTime")
+    back = told.withColumn("rows", F.from_json("rows", "array<struct<us: bigint, row: string>>"))
+    zipped = F.arrays_zip(F.col("rows.us").alias("us"), F.concat(F.array("before"), F.col("rows.us")).alias("before"), F.col("rows.row").alias("row"))
+    each = back.select("key", "nth", F.posexplode(zipped).alias("i", "r")).where("r.us is not null")
+    return each.select("key", "r.us", "r.before", (F.col("nth") + F.col("i") + 1).alias("nth"), "r.row")
 
 
 def only(kinds: tuple[str, ...]) -> Column:
@@ -169,13 +217,13 @@ class AfterFailures(Step):
 def brute_then_success(events: DataFrame, *, window_s: int = 600, fails: int = 5, late: str = "10 minutes") -> DataFrame:
     """Changes, by address: the first login after that many failures within the window."""
     step = AfterFailures("BRUTE_THEN_SUCCESS", window_s * 1_000_000, fails, users=False, base=0.6, step=0.01, most=0.95)
-    return released(_typed(events, ("auth_fail", "auth_success"), late), ["source_ip"], step, mode="update")
+    return released(_typed(events, ("auth_fail", "auth_success"), late), ["source_ip"], step, slot_s=window_s)
 
 
 def spray_then_pivot(events: DataFrame, *, window_s: int = 600, users: int = 5, late: str = "10 minutes") -> DataFrame:
     """Changes, by address: the first login after failures of that many users within the window."""
     step = AfterFailures("SPRAY_THEN_PIVOT", window_s * 1_000_000, users, users=True, base=0.5, step=0.02, most=0.9)
-    return released(_typed(events, ("auth_fail", "auth_success"), late), ["source_ip"], step, mode="update")
+    return released(_typed(events, ("auth_fail", "auth_success"), late), ["source_ip"], step, slot_s=window_s)
 
 
 def _related(pattern: str, severity: str, confidence: float, head: tuple, related: list[tuple]) -> tuple:
@@ -221,47 +269,84 @@ def recon_then_exploit(events: DataFrame, *, window_s: int = 600, most: int = 3,
 
     An address that scanned is remembered by that scan; no exploit is kept that came before it.
     """
-    return released(_typed(events, ("net_scan", "exploit"), late), ["source_ip"], LastScan(window_s * 1_000_000, most), mode="update")
-
+    return released(_typed(events, ("net_scan", "exploit"), late), ["source_ip"], LastScan(window_s * 1_000_000, most), slot_s=window_s)
 
-class FirstOf(Step):
-    """The first ``most`` of the rows that follow one head, told once its window is over."""
 
-    kept = "us bigint, source string, source_ip string, username string, related array<struct<seq: bigint, us: bigint, source: string>>"
-    out = INCIDENT
+PERSISTED = "array<struct<seq: bigint, us: bigint, source: string, source_ip: string, username: string, related: array<struct<seq: bigint, us: bigint, source: string>>>>"
 
-    def __init__(self, pattern: str, severity: str, confidence: float, window_us: int, most: int) -> None:
-        self.what, self.window_us, self.most = (pattern, severity, confidence), window_us, most
 
-    def order(self, row: Row) -> tuple:
-        return (row.us, row.later_seq)
+def _least(found: list[tuple], row: tuple, most: int) -> None:
+    """Keeps the least ``most`` rows, in order; a repeated row is one."""
+    if (len(found) < most or row < found[-1]) and row not in found:
+        insort(found, row)
+        del found[most:]
 
-    def rows(self, key: tuple, kept: tuple | None, released: list[Row]) -> tuple[list[tuple], tuple | None]:
-        related = {tuple(r) for r in kept[4]} if kept else set()
-        related |= {(r.later_seq, r.us, r.later_source) for r in released}
-        r = released[0]
-        return [], (r.head_us, r.source, r.source_ip, r.username, sorted(related, key=lambda x: x[:2])[: self.most])
 
-    def due(self, kept: tuple | None) -> int | None:
-        return kept[0] + self.window_us if kept else None
+def first_following(rows: list[tuple], begin_us: int, window_us: int, most: int) -> list[tuple]:
+    """Of the rows (us, later, seq, ...) of two slots: heads of the first one, and the first ``most`` by seq that follow each within the window.
 
-    def closed(self, key: tuple, kept: tuple, now_us: int) -> tuple[list[tuple], tuple | None]:
-        return [_related(*self.what, (key[0], *kept[:4]), [tuple(r) for r in kept[4]])], None
+    What follows a head is the rest of its slot, read backwards, and the beginning of the next one: two running minima.
+    """
+    rest: list[tuple] = []
+    heads, after = [], []
+    for r in sorted(rows, key=lambda r: (r[0], r[1]), reverse=True):
+        if r[1]:
+            if r[0] < begin_us + window_us:
+                _least(rest, (r[2], r[0], r[3] is not None, r[3] or ""), most)
+            else:
+                after.append(r)
+        elif r[0] < begin_us + window_us:
+            heads.append((r, [*rest]))
+    following: list[tuple] = []
+    out = []
+    for head, own in reversed(heads):
+        while after and after[-1][0] <= head[0] + window_us:
+            r = after.pop()
+            _least(following, (r[2], r[0], r[3] is not None, r[3] or ""), most)
+        both = sorted({*own, *following})[:most]
+        if both:
+            out.append((head, both))
+    return out
+
+
+def _follow(window_us: int, most: int):
+    """``first_following`` for packed pairs of slots."""
+
+    @F.arrow_udf(PERSISTED)
+    def follow(begin: pa.Array, packed: pa.Array) -> pa.Array:
+        names = ("us", "later", "seq", "source", "source_ip", "username")
+        kind = pa.list_(pa.struct([("seq", pa.int64()), ("us", pa.int64()), ("source", pa.string()), ("source_ip", pa.string()), ("username", pa.string()), ("related", pa.list_(pa.struct([("seq", pa.int64()), ("us", pa.int64()), ("source", pa.string())])))]))
+        ends, out = packed.offsets.to_pylist(), []
+        for k, at in enumerate(begin.to_pylist()):
+            part = packed.values.slice(ends[k], ends[k + 1] - ends[k])
+            rows = list(zip(*(part.field(n).to_pylist() for n in names), strict=True))
+            found = first_following(rows, at, window_us, most)
+            out.append([{"seq": h[2], "us": h[0], "source": h[3], "source_ip": h[4], "username": h[5], "related": [{"seq": r[0], "us": r[1], "source": r[3] if r[2] else None} for r in related]} for h, related in found])
+        return pa.array(out, kind)
+
+    return follow
 
 
 def persistence(events: DataFrame, *, window_s: int = 600, most: int = 3, late: str = "10 minutes") -> DataFrame:
     """Each login that new users or autostarts of the same user or address follow within the window; told when it is over.
 
-    Two interval joins, by user and by address, find what follows; state by login keeps the first of both.
+    Rows of a user or address meet in pairs of slots of one window's length and never as pairs of rows; an aggregation by
+    login keeps the first of both. A pair of slots is over when the watermark has passed it.
     """
-    known = events.select("ts", "seq", "source", "event_type", "source_ip", "username")
-    logins = known.withWatermark("ts", late).where(only(("auth_success",))).select(F.col("ts").alias("login_ts"), "seq", "source", "source_ip", "username")
-    later = known.withWatermark("ts", late).where(only(("user_add", "persistence"))).select("ts", F.col("seq").alias("later_seq"), F.col("source").alias("later_source"), F.col("source_ip").alias("later_ip"), F.col("username").alias("later_user"))
-    near = F.expr(f"ts >= login_ts AND ts <= login_ts + INTERVAL {window_s} SECONDS")
-    pairs = [logins.join(later, (F.col(a) == F.col(b)) & (F.col(a) != "") & (F.col(b) != "") & near) for a, b in (("username", "later_user"), ("source_ip", "later_ip"))]
-    both = pairs[0].unionByName(pairs[1]).select("ts", "seq", F.unix_micros("login_ts").alias("head_us"), "source", "source_ip", "username", "later_seq", "later_source")
-    step = FirstOf("PERSISTENCE", "HIGH", 0.75, window_s * 1_000_000, most)
-    return released(both, ["seq"], step)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    known = events.select("ts", "seq", "source", "event_type", "source_ip", "username").withWatermark("ts", late).where(only(("auth_success", "user_add", "persistence")))
+    keys = F.explode(F.array(*(F.struct(F.lit(c).alias("of"), F.col(c).alias("key")) for c in ("username", "source_ip")))).alias("k")
+    row = F.struct(F.unix_micros("ts").alias("us"), (F.col("event_type") != "auth_success").alias("later"), "seq", "source", "source_ip", "username")
+    keyed = known.select("ts", keys, row.alias("row")).where(F.col("k.key") != "")
+    packed = keyed.groupBy(F.window("ts", f"{2 * window_s} seconds", f"{window_s} seconds").alias("slots"), "k.of", "k.key").agg(F.collect_list("row").alias("rows"))
+    both = F.exists("rows", lambda r: r["later"]) & F.exists("rows", lambda r: ~r["later"])
+    found = packed.where(both).select("slots", F.explode(_follow(window_s * 1_000_000, most)(F.unix_micros("slots.start"), F.col("rows"))).alias("h"))
+    heads = found.groupBy("slots", "h.seq", "h.us", "h.source", "h.source_ip", "h.username").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("h.related")))), 1, most).alias("related"))
+    return heads.select(
+        F.lit("PERSISTENCE").alias("pattern"), F.lit("HIGH").alias("severity"), F.lit(0.75).alias("confidence"), "seq", "source_ip", "username",
+        (F.size("related") + 1).cast("long").alias("event_count"), F.col("us").alias("start_us"), F.greatest("us", F.array_max("related.us")).alias("end_us"),
+        F.array_sort(F.array_distinct(F.filter(F.concat(F.array("source"), F.col("related.source")), lambda x: x.isNotNull()))).alias("sources"),
+    )
 
 
 class Chain(Step):
@@ -300,71 +385,30 @@ class Chain(Step):
 def sequential(hops: DataFrame, *, window_s: int = 3600, late: str = "10 minutes") -> DataFrame:
     """Chains of at least two hops. hops: ts, seq, source_ip, target_host, username; a hop without time is in no stream's order."""
     rows = hops.select("ts", "seq", "source_ip", "target_host", "username").withWatermark("ts", late).where(F.col("ts").isNotNull())
-    return released(rows, ["source_ip"], Chain(window_s * 1_000_000))
-
-
-class Gap(Step):
-    """Silences between neighbours of a key that are longer than a threshold."""
-
-    kept = "last bigint"
-    out = "key string, start timestamp, end timestamp, duration_s double"
-
-    def __init__(self, threshold_us: int) -> None:
-        self.threshold_us = threshold_us
-
-    def rows(self, key: tuple, kept: tuple | None, released: list[Row]) -> tuple[list[tuple], tuple | None]:
-        out, last = [], kept[0] if kept else None
-        for r in released:
-            if last is not None and r.us - last > self.threshold_us:
-                out.append((key[0], _time(last), _time(r.us), (r.us - last) / 1e6))
-            last = r.us
-        return out, (last,)
+    return released(rows, ["source_ip"], Chain(window_s * 1_000_000), slot_s=window_s)
 
 
-def _time(us: int):
-    import datetime
-
-    return datetime.datetime.fromtimestamp(0, datetime.UTC) + datetime.timedelta(microseconds=us)
-
-
-def gaps(events: DataFrame, *, threshold_s: float = 300, key: str = "case_id", late: str = "10 minutes") -> DataFrame:
-    """Silences longer than the threshold between neighbours of one key, told with the event that ends them."""
-    rows = events.select("ts", F.col(key).alias("key"), F.lit(0).alias("seq")).withWatermark("ts", late).where(F.col("ts").isNotNull())
-    return released(rows, ["key"], Gap(round(threshold_s * 1_000_000))).withColumnRenamed("key", key)
-
-
-class Interleaved(Step):
-    """Events of a key in order, with their place, and gap rows between them."""
-
-    kept = "last bigint, nth bigint"
-    out = "key string, entry_type string, pos long, row string, start timestamp, end timestamp, duration_min double"
-
-    def __init__(self, threshold_min: float) -> None:
-        self.threshold_min = threshold_min
-
-    def order(self, row: Row) -> tuple:
-        return (row.us, row.source is not None, row.source or "", row.action is not None, row.action or "", row.row)
-
-    def rows(self, key: tuple, kept: tuple | None, released: list[Row]) -> tuple[list[tuple], tuple | None]:
-        out = []
-        last, nth = kept or (None, 0)
-        for r in released:
-            nth += 1
-            if last is not None and (minutes := (r.us - last) / 1e6 / 60) > self.threshold_min:
-                out.append((key[0], "gap", 2 * nth - 1, None, _time(last), _time(r.us), round(minutes, 1)))
-            out.append((key[0], "event", 2 * nth, r.row, None, None, None))
-            last = r.us
-        return out, (last, nth)
+def gaps(events: DataFrame, *, threshold_s: float = 300, key: str = "case_id", late: str = "10 minutes", slot_s: int = 3600) -> DataFrame:
+    """Silences longer than the threshold between neighbours of one key, told when the slot of the event that ends them is over."""
+    rows = events.select("ts", F.col(key).alias("key"), F.lit("").alias("row")).withWatermark("ts", late).where(F.col("ts").isNotNull())
+    silence = F.col("us") - F.col("before")
+    near = neighbours(rows, order=[], slot_s=slot_s).where(silence > round(threshold_s * 1_000_000))
+    return near.select(F.col("key").alias(key), F.timestamp_micros("before").alias("start"), F.timestamp_micros("us").alias("end"), (silence / 1e6).alias("duration_s"))
 
 
-def interleaved(events: DataFrame, *, threshold_min: float = 30, key: str = "case_id", late: str = "10 minutes") -> DataFrame:
+def interleaved(events: DataFrame, *, threshold_min: float = 30, key: str = "case_id", late: str = "10 minutes", slot_s: int = 3600) -> DataFrame:
     """Events and gap rows of each key, with pos; the columns are those of the batch operator."""
     own = [f for f in events.schema if f.name not in ("start", "end", "duration_min", "entry_type", "pos")]
-    rows = events.select("ts", F.col(key).alias("key"), "source", "action", F.lit(0).alias("seq"), F.to_json(F.struct(*(f.name for f in own)), MICROS).alias("row"))
-    told = released(rows.withWatermark("ts", late).where(F.col("ts").isNotNull()), ["key"], Interleaved(threshold_min))
-    back = F.from_json("row", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own), MICROS)
+    rows = events.select("ts", F.col(key).alias("key"), "source", "action", F.to_json(F.struct(*(f.name for f in own)), MICROS).alias("row"))
+    placed = neighbours(rows.withWatermark("ts", late).where(F.col("ts").isNotNull()), order=["source", "action"], slot_s=slot_s)
+    silence = (F.col("us") - F.col("before")) / 1e6 / 60
+    event = F.struct(F.lit("event").alias("entry_type"), (2 * F.col("nth")).alias("pos"), F.lit(None).cast("double").alias("duration_min"), "row")
+    gap = F.struct(F.lit("gap").alias("entry_type"), (2 * F.col("nth") - 1).alias("pos"), F.round(silence, 1).alias("duration_min"), F.lit(None).cast("string").alias("row"))
+    told = placed.select("key", "us", "before", F.explode(F.when(silence > threshold_min, F.array(gap, event)).otherwise(F.array(event))).alias("e"))
+    back = F.from_json("e.row", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own), MICROS)
     cells = [F.col("key").alias(key) if f.name == key else back[f.name].alias(f.name) for f in own]
-    return told.select(*cells, "start", "end", "entry_type", "pos", "duration_min")
+    is_gap = F.col("e.entry_type") == "gap"
+    return told.select(*cells, F.when(is_gap, F.timestamp_micros("before")).alias("start"), F.when(is_gap, F.timestamp_micros("us")).alias("end"), "e.entry_type", "e.pos", "e.duration_min")
 
 
 def deduplicated(events: DataFrame, *, late: str = "10 minutes") -> DataFrame:
@@ -384,7 +428,7 @@ def write_changes(rows: DataFrame, path: str, checkpoint: str, **trigger):
     def batch(df: DataFrame, k: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={k}")
 
-    return rows.writeStream.foreachBatch(batch).outputMode("update" if "revision" in rows.columns else "append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
+    return rows.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
